@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming, watermark, window or stateful operator;
+each rerun recomputes every report from the full tables. Incremental
+refresh of these reports would be a new feature, not a rebuild, so none
+is provided. The batch operators are plain DataFrame transformations and
+can be applied inside ``foreachBatch`` by a caller that needs it.
+"""
