@@ -179,9 +179,9 @@ def queries() -> dict[str, Query]:
         ),
         "retarget_buyers_over_120": lambda s, d: op.retarget_buyers(orders(s, d), "over_120", P.AS_OF),
         "retarget_non_buyer_buckets": lambda s, d: op.non_buyer_buckets(orders(s, d), P.AS_OF),
-        "retarget_non_buyers_30": lambda s, d: op.retarget_non_buyers(orders(s, d), P.NON_BUYER_BUCKET, P.AS_OF),
+        "retarget_non_buyers_60": lambda s, d: op.retarget_non_buyers(orders(s, d), P.NON_BUYER_BUCKET, P.AS_OF),
         # dormant
-        "non_buyers_cumulative": lambda s, d: op.non_buyers_cumulative(orders(s, d), 60, P.AS_OF),
+        "non_buyers_cumulative": lambda s, d: op.non_buyers_cumulative(orders(s, d), P.NON_BUYER_CUMULATIVE_DAYS, P.AS_OF),
         "checkout_payment_screen": lambda s, d: op.checkout_payment_screen(
             users(s, d), fx.raw_payment_screen(s, d), orders(s, d)
         ),

@@ -368,7 +368,6 @@ WHERE bucket IS NOT NULL
 
 # --- query bodies ------------------------------------------------------------
 
-_W = lambda body: body  # noqa: E731  (readability marker for SELECT bodies)
 
 BODIES: dict[str, str] = {
     "csv_roundtrip": "SELECT * FROM raw_orders",
@@ -500,9 +499,9 @@ FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_custome
         + ")"
     ),
     "retarget_non_buyer_buckets": "SELECT * FROM non_buyer_buckets_std",
-    "retarget_non_buyers_30": f"SELECT {_EXPORT} FROM non_buyer_buckets_std WHERE bucket = '{P.NON_BUYER_BUCKET}'",
+    "retarget_non_buyers_60": f"SELECT {_EXPORT} FROM non_buyer_buckets_std WHERE bucket = '{P.NON_BUYER_BUCKET}'",
     "non_buyers_cumulative": (
-        f"SELECT {_EXPORT} FROM non_buyers_std WHERE {_days(_ts(P.AS_OF), 'previous_order_date')} <= 60"
+        f"SELECT {_EXPORT} FROM non_buyers_std WHERE {_days(_ts(P.AS_OF), 'previous_order_date')} <= {P.NON_BUYER_CUMULATIVE_DAYS}"
     ),
     "checkout_payment_screen": """
 SELECT * EXCLUDE (_rn) FROM (

@@ -22,6 +22,7 @@ EXCLUDED_CUSTOMERS = ("5", "15", "25")
 LTV_CATEGORIES = ("Airtime", "Alimentation", "Shopping")
 
 BUYER_DAYS = 120
-NON_BUYER_BUCKET = 30
+NON_BUYER_BUCKET = 60
+NON_BUYER_CUMULATIVE_DAYS = 120
 MAP_WILAYA = "NATION_3"
-USERS_COUNTRY = "NATION_2"
+USERS_COUNTRY = "NATION_5"

@@ -72,8 +72,11 @@ def _sequence_per_customer(orders: DataFrame) -> DataFrame:
         F.lag("_last_ts").over(w_days).alias("_prev_day_last"),
     )
     w_rows = Window.partitionBy("o_custkey", "_day").orderBy("o_orderdate", "o_orderkey")
+    # Every order finds its own day row, so left and inner give the same
+    # rows; the left form lets the optimizer drop this whole branch when a
+    # report does not use the two sequence columns.
     return (
-        o.join(per_day, ["o_custkey", "_day"])
+        o.join(per_day, ["o_custkey", "_day"], "left")
         .withColumn("occurrence", (F.col("_before") + F.row_number().over(w_rows)).cast("long"))
         .withColumn(
             "previous_order_date",
