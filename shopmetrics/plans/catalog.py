@@ -22,68 +22,87 @@ from . import params as P
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# --- cleaned inputs -------------------------------------------------------
+# --- shared inputs of one query ---------------------------------------------
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.clean_orders(fx.raw_orders(spark, sf_dir), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS)
+class Inputs:
+    """The logical tables of one query, each built once.
 
+    A query that needs the sign-ups in three places (funnel) builds and
+    analyses them once, and every driver table is opened once.
+    """
 
-def ltv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.clean_ltv(
-        fx.raw_ltv(spark, sf_dir), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS, P.LTV_CATEGORIES
-    )
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.t = fx.table_source(spark, sf_dir)
+        self._memo: dict = {}
 
+    def _get(self, key, build):
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.clean_users(fx.raw_users(spark, sf_dir), P.EXCLUDED_CUSTOMERS)
+    def raw(self, name: str) -> DataFrame:
+        return self._get(("raw", name), lambda: fx.RAW_TABLES[name](self.t))
 
+    @property
+    def orders(self) -> DataFrame:
+        return self._get("orders", lambda: op.clean_orders(
+            self.raw("raw_orders"), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS))
 
-def _counts(spark, sf_dir, origin=None, category=None):
-    return op.cohort_counts(orders(spark, sf_dir), origin, category, P.SLICE_START, P.SLICE_END)
+    @property
+    def ltv(self) -> DataFrame:
+        return self._get("ltv", lambda: op.clean_ltv(
+            self.raw("raw_ltv"), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS, P.LTV_CATEGORIES))
 
+    @property
+    def users(self) -> DataFrame:
+        return self._get("users", lambda: op.clean_users(self.raw("raw_users"), P.EXCLUDED_CUSTOMERS))
 
-def _category_ltv(spark, sf_dir):
-    return op.category_ltv(ltv_rows(spark, sf_dir), None, P.SLICE_START, P.SLICE_END)
+    def counts(self, origin=None, category=None) -> DataFrame:
+        return self._get(("counts", origin, category), lambda: op.cohort_counts(
+            self.orders, origin, category, P.SLICE_START, P.SLICE_END))
 
+    @property
+    def category_ltv(self) -> DataFrame:
+        return self._get("category_ltv", lambda: op.category_ltv(self.ltv, None, P.SLICE_START, P.SLICE_END))
 
-def _summary(spark, sf_dir, formatted=False):
-    return op.category_ltv_summary(_category_ltv(spark, sf_dir), formatted)
+    def summary(self, formatted=False) -> DataFrame:
+        return self._get(("summary", formatted), lambda: op.category_ltv_summary(self.category_ltv, formatted))
 
+    @property
+    def communes(self) -> DataFrame:
+        return self._get("communes", lambda: op.customers_by_commune(self.raw("raw_geo")))
 
-def _communes(spark, sf_dir):
-    return op.customers_by_commune(fx.raw_geo(spark, sf_dir))
+    @property
+    def signups(self) -> DataFrame:
+        return self._get("signups", lambda: op.new_signups(self.users, None, None, P.USERS_START, P.USERS_END))
 
+    @property
+    def signup_orders(self) -> DataFrame:
+        return self._get("signup_orders", lambda: op.signup_orders(self.orders, self.signups, P.FUNNEL_SINCE))
 
-def _signups(spark, sf_dir):
-    return op.new_signups(users(spark, sf_dir), None, None, P.USERS_START, P.USERS_END)
+    def flags(self, category=None) -> DataFrame:
+        return self._get(("flags", category), lambda: op.signup_flags(self.signup_orders, category))
 
+    def segments(self) -> dict[str, DataFrame]:
+        return self._get("segments", lambda: op.funnel_segments(self.signups, self.flags()))
 
-def _signup_orders(spark, sf_dir):
-    return op.signup_orders(orders(spark, sf_dir), _signups(spark, sf_dir), P.FUNNEL_SINCE)
+    @property
+    def first_open(self) -> DataFrame:
+        return self._get("first_open", lambda: op.first_open_signups(
+            self.users, self.raw("raw_first_open"), None, P.USERS_START, P.USERS_END))
 
+    def funnel(self, category=None, formatted=False) -> DataFrame:
+        dl = op.downloads_slice(self.raw("raw_downloads"), None, P.USERS_START, P.USERS_END)
+        return op.funnel_metrics(dl, self.signups, self.first_open, self.flags(category), formatted)
 
-def _flags(spark, sf_dir, category=None):
-    return op.signup_flags(_signup_orders(spark, sf_dir), category)
 
+def _q(build: Callable[[Inputs], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(Inputs(spark, sf_dir))
 
-def _segment(name: str) -> Query:
-    def q(spark, sf_dir):
-        return op.funnel_segments(_signups(spark, sf_dir), _flags(spark, sf_dir))[name]
-
-    return q
-
-
-def _first_open(spark, sf_dir):
-    return op.first_open_signups(
-        users(spark, sf_dir), fx.raw_first_open(spark, sf_dir), None, P.USERS_START, P.USERS_END
-    )
-
-
-def _funnel(spark, sf_dir, category=None, formatted=False):
-    dl = op.downloads_slice(fx.raw_downloads(spark, sf_dir), None, P.USERS_START, P.USERS_END)
-    return op.funnel_metrics(
-        dl, _signups(spark, sf_dir), _first_open(spark, sf_dir), _flags(spark, sf_dir, category), formatted
-    )
+    run.__doc__ = build.__doc__
+    return run
 
 
 # --- queries with side effects (files round trip) -------------------------
@@ -92,98 +111,90 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order export written as CSV to the shared folder and read back by
     explicit schema (S1–S3)."""
     path = scratch_path(spark, "csv_roundtrip")
-    fx.raw_orders(spark, sf_dir).write.option("header", True).csv(path)
+    Inputs(spark, sf_dir).raw("raw_orders").write.option("header", True).csv(path)
     return read_csv_table(spark, path, RAW_ORDERS)
 
 
 def segment_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All funnel segments written partitioned by segment and read back."""
-    segs = op.funnel_segments(_signups(spark, sf_dir), _flags(spark, sf_dir))
     path = scratch_path(spark, "segments")
-    write_segments(op.segments_long(segs), path)
+    write_segments(op.segments_long(Inputs(spark, sf_dir).segments()), path)
     return spark.read.parquet(path).select("segment", "customer_id", "email", "phone")
 
 
+def _segment(name: str) -> Query:
+    return _q(lambda i: i.segments()[name])
+
+
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {
+    return {
         # sources and cleaning
         "csv_roundtrip": csv_roundtrip,
-        "clean_orders": orders,
-        "clean_ltv": ltv_rows,
-        "clean_users": users,
-        "external_orders": lambda s, d: op.external_orders(orders(s, d)),
-        "payment_screen_view": lambda s, d: op.payment_screen_view(orders(s, d)),
+        "clean_orders": _q(lambda i: i.orders),
+        "clean_ltv": _q(lambda i: i.ltv),
+        "clean_users": _q(lambda i: i.users),
+        "external_orders": _q(lambda i: op.external_orders(i.orders)),
+        "payment_screen_view": _q(lambda i: op.payment_screen_view(i.orders)),
         # slices
-        "slice_orders": lambda s, d: op.slice_rows(
-            orders(s, d), {"origin": "Local", "business_cat": "Alimentation"}, "date", P.SLICE_START, P.SLICE_END
-        ),
-        "slice_ltv": lambda s, d: op.slice_rows(
-            ltv_rows(s, d), {"origin": "Diaspora", "business_cat": "Shopping"}, "date", P.SLICE_START, P.SLICE_END
-        ),
-        "slice_summary": lambda s, d: op.slice_rows(
-            ltv_rows(s, d), {"origin": "Local"}, "date", P.SLICE_START, P.SLICE_END
-        ),
-        "slice_users": lambda s, d: op.slice_rows(
-            users(s, d), {"origin": "Local", "customer_country": P.USERS_COUNTRY}, "date", P.USERS_START, P.USERS_END
-        ),
-        "slice_by_status": lambda s, d: op.slice_rows(
-            orders(s, d), {"status": "In_Progress"}, "date", P.SLICE_START, P.SLICE_END
-        ),
-        "default_date_range": lambda s, d: op.default_range(orders(s, d), P.DEFAULT_RANGE_AS_OF),
-        "choices_origin": lambda s, d: op.choices(orders(s, d), "origin"),
+        "slice_orders": _q(lambda i: op.slice_rows(
+            i.orders, {"origin": "Local", "business_cat": "Alimentation"}, "date", P.SLICE_START, P.SLICE_END)),
+        "slice_ltv": _q(lambda i: op.slice_rows(
+            i.ltv, {"origin": "Diaspora", "business_cat": "Shopping"}, "date", P.SLICE_START, P.SLICE_END)),
+        "slice_summary": _q(lambda i: op.slice_rows(i.ltv, {"origin": "Local"}, "date", P.SLICE_START, P.SLICE_END)),
+        "slice_users": _q(lambda i: op.slice_rows(
+            i.users, {"origin": "Local", "customer_country": P.USERS_COUNTRY}, "date", P.USERS_START, P.USERS_END)),
+        "slice_by_status": _q(lambda i: op.slice_rows(
+            i.orders, {"status": "In_Progress"}, "date", P.SLICE_START, P.SLICE_END)),
+        "default_date_range": _q(lambda i: op.default_range(i.orders, P.DEFAULT_RANGE_AS_OF)),
+        "choices_origin": _q(lambda i: op.choices(i.orders, "origin")),
         # retention
-        "cohort_counts": _counts,
-        "cohort_counts_local_airtime": lambda s, d: _counts(s, d, "Local", "Airtime"),
-        "cohort_matrix": lambda s, d: op.cohort_matrix(_counts(s, d), P.COHORT_PERIODS),
-        "retention": lambda s, d: op.retention(_counts(s, d)),
-        "retention_matrix": lambda s, d: op.retention_matrix(_counts(s, d), P.COHORT_PERIODS),
-        "retention_text": lambda s, d: op.retention_text(_counts(s, d)),
-        "churn_deltas": lambda s, d: op.churn_deltas(_counts(s, d)),
+        "cohort_counts": _q(lambda i: i.counts()),
+        "cohort_counts_local_airtime": _q(lambda i: i.counts("Local", "Airtime")),
+        "cohort_matrix": _q(lambda i: op.cohort_matrix(i.counts(), P.COHORT_PERIODS)),
+        "retention": _q(lambda i: op.retention(i.counts())),
+        "retention_matrix": _q(lambda i: op.retention_matrix(i.counts(), P.COHORT_PERIODS)),
+        "retention_text": _q(lambda i: op.retention_text(i.counts())),
+        "churn_deltas": _q(lambda i: op.churn_deltas(i.counts())),
         # lifetime value
-        "customer_ltv": lambda s, d: op.customer_ltv(ltv_rows(s, d), None, None, P.SLICE_START, P.SLICE_END),
-        "customer_ltv_local_shopping": lambda s, d: op.customer_ltv(
-            ltv_rows(s, d), "Local", "Shopping", P.SLICE_START, P.SLICE_END
-        ),
-        "category_ltv": _category_ltv,
-        "category_ltv_summary": lambda s, d: _summary(s, d),
-        "category_ltv_summary_text": lambda s, d: _summary(s, d, True),
-        "ltv_series_eur": lambda s, d: op.ltv_series(_summary(s, d), "EUR"),
-        "ltv_series_dzd": lambda s, d: op.ltv_series(_summary(s, d), "DZD"),
+        "customer_ltv": _q(lambda i: op.customer_ltv(i.ltv, None, None, P.SLICE_START, P.SLICE_END)),
+        "customer_ltv_local_shopping": _q(lambda i: op.customer_ltv(
+            i.ltv, "Local", "Shopping", P.SLICE_START, P.SLICE_END)),
+        "category_ltv": _q(lambda i: i.category_ltv),
+        "category_ltv_summary": _q(lambda i: i.summary()),
+        "category_ltv_summary_text": _q(lambda i: i.summary(True)),
+        "ltv_series_eur": _q(lambda i: op.ltv_series(i.summary(), "EUR")),
+        "ltv_series_dzd": _q(lambda i: op.ltv_series(i.summary(), "DZD")),
         # geography
-        "customers_by_commune": _communes,
-        "commune_map_points": lambda s, d: op.commune_map_points(_communes(s, d), P.MAP_WILAYA),
-        "wilaya_centres": lambda s, d: op.wilaya_centres(_communes(s, d)),
+        "customers_by_commune": _q(lambda i: i.communes),
+        "commune_map_points": _q(lambda i: op.commune_map_points(i.communes, P.MAP_WILAYA)),
+        "wilaya_centres": _q(lambda i: op.wilaya_centres(i.communes)),
         # acquisition
-        "new_signups": _signups,
-        "signups_by_month": lambda s, d: op.signups_by_period(_signups(s, d), "month"),
-        "signups_by_week": lambda s, d: op.signups_by_period(_signups(s, d), "week"),
-        "signups_by_day": lambda s, d: op.signups_by_period(_signups(s, d), "day"),
-        "first_open_signups": _first_open,
-        "signup_orders": _signup_orders,
+        "new_signups": _q(lambda i: i.signups),
+        "signups_by_month": _q(lambda i: op.signups_by_period(i.signups, "month")),
+        "signups_by_week": _q(lambda i: op.signups_by_period(i.signups, "week")),
+        "signups_by_day": _q(lambda i: op.signups_by_period(i.signups, "day")),
+        "first_open_signups": _q(lambda i: i.first_open),
+        "signup_orders": _q(lambda i: i.signup_orders),
         "segment_ordered": _segment("ordered"),
         "segment_not_ordered": _segment("not_ordered"),
         "segment_completed": _segment("completed"),
         "segment_in_progress": _segment("in_progress"),
         "segment_checkout_abandoned": _segment("checkout_abandoned"),
         "segment_not_completed": _segment("not_completed"),
-        "funnel_metrics": lambda s, d: _funnel(s, d),
-        "funnel_metrics_text": lambda s, d: _funnel(s, d, formatted=True),
-        "funnel_metrics_alimentation": lambda s, d: _funnel(s, d, "Alimentation"),
+        "funnel_metrics": _q(lambda i: i.funnel()),
+        "funnel_metrics_text": _q(lambda i: i.funnel(formatted=True)),
+        "funnel_metrics_alimentation": _q(lambda i: i.funnel("Alimentation")),
         "segment_export_roundtrip": segment_export_roundtrip,
         # retargeting
-        "retarget_buyers_rows": lambda s, d: op.retarget_buyers(
-            orders(s, d), P.BUYER_DAYS, P.AS_OF, latest_only=False
-        ),
-        "retarget_buyers": lambda s, d: op.retarget_buyers(
-            orders(s, d), P.BUYER_DAYS, P.AS_OF, ["Local"], ["Airtime", "Alimentation"]
-        ),
-        "retarget_buyers_over_120": lambda s, d: op.retarget_buyers(orders(s, d), "over_120", P.AS_OF),
-        "retarget_non_buyer_buckets": lambda s, d: op.non_buyer_buckets(orders(s, d), P.AS_OF),
-        "retarget_non_buyers_60": lambda s, d: op.retarget_non_buyers(orders(s, d), P.NON_BUYER_BUCKET, P.AS_OF),
+        "retarget_buyers_rows": _q(lambda i: op.retarget_buyers(i.orders, P.BUYER_DAYS, P.AS_OF, latest_only=False)),
+        "retarget_buyers": _q(lambda i: op.retarget_buyers(
+            i.orders, P.BUYER_DAYS, P.AS_OF, ["Local"], ["Airtime", "Alimentation"])),
+        "retarget_buyers_over_120": _q(lambda i: op.retarget_buyers(i.orders, "over_120", P.AS_OF)),
+        "retarget_non_buyer_buckets": _q(lambda i: op.non_buyer_buckets(i.orders, P.AS_OF)),
+        "retarget_non_buyers_60": _q(lambda i: op.retarget_non_buyers(i.orders, P.NON_BUYER_BUCKET, P.AS_OF)),
         # dormant
-        "non_buyers_cumulative": lambda s, d: op.non_buyers_cumulative(orders(s, d), P.NON_BUYER_CUMULATIVE_DAYS, P.AS_OF),
-        "checkout_payment_screen": lambda s, d: op.checkout_payment_screen(
-            users(s, d), fx.raw_payment_screen(s, d), orders(s, d)
-        ),
+        "non_buyers_cumulative": _q(lambda i: op.non_buyers_cumulative(
+            i.orders, P.NON_BUYER_CUMULATIVE_DAYS, P.AS_OF)),
+        "checkout_payment_screen": _q(lambda i: op.checkout_payment_screen(
+            i.users, i.raw("raw_payment_screen"), i.orders)),
     }
-    return q

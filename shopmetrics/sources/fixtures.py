@@ -15,11 +15,28 @@ to a single task (see ``_sequence_per_customer``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .readers import read_table
 
+Tables = Callable[[str], DataFrame]
+
+
+def table_source(spark: SparkSession, sf_dir: str) -> Tables:
+    """``name -> DataFrame`` over ``<sf_dir>/<name>.parquet``, each table
+    opened once (file listing and footer read happen once per source)."""
+    opened: dict[str, DataFrame] = {}
+
+    def get(name: str) -> DataFrame:
+        if name not in opened:
+            opened[name] = read_table(spark, sf_dir, name)
+        return opened[name]
+
+    return get
+
 
 def _origin(regionkey: str = "n_regionkey"):
     return F.expr(f"CASE WHEN {regionkey} IN (0, 1) THEN 'Local' ELSE 'Diaspora' END")
@@ -37,11 +54,9 @@ def _phone():
     return F.concat(F.lit("+213"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
-    )
-    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+def _customers(t: Tables) -> DataFrame:
+    customer = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    nation = t("nation").select("n_nationkey", "n_name", "n_regionkey")
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
 
 
@@ -86,13 +101,13 @@ def _sequence_per_customer(orders: DataFrame) -> DataFrame:
     )
 
 
-def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_orders(t: Tables) -> DataFrame:
     """Order export (FIXTURES.md ``raw_orders``)."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = t("orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     seq = _sequence_per_customer(orders)
-    cust = _customers(spark, sf_dir).select(
+    cust = _customers(t).select(
         "c_custkey", "c_name", "n_regionkey"
     )
     j = seq.join(cust, seq.o_custkey == cust.c_custkey, "inner")
@@ -125,15 +140,15 @@ def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_ltv(t: Tables) -> DataFrame:
     """LTV export (FIXTURES.md ``raw_ltv``): exact decimals for money."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    orders = t("orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     # Line margins are summed per order before the join (partial
     # aggregation map-side; lineitem is the largest table).
     margin = (
-        read_table(spark, sf_dir, "lineitem")
+        t("lineitem")
         .select("l_orderkey", "l_extendedprice", "l_discount")
         .groupBy("l_orderkey")
         .agg(
@@ -144,7 +159,7 @@ def raw_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("marge_dzd")
         )
     )
-    cust = _customers(spark, sf_dir).select("c_custkey", "n_regionkey")
+    cust = _customers(t).select("c_custkey", "n_regionkey")
     j = (
         orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
         .join(margin, orders.o_orderkey == margin.l_orderkey, "left")
@@ -173,9 +188,9 @@ def raw_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_users(t: Tables) -> DataFrame:
     """User table (FIXTURES.md ``raw_users``)."""
-    c = _customers(spark, sf_dir)
+    c = _customers(t)
     return c.select(
         _text_id("c_custkey").alias("customer_id"),
         F.expr("date_add(DATE'1995-01-01', CAST((c_custkey * 37) % 2400 AS INT))").alias("date"),
@@ -192,13 +207,13 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_geo(t: Tables) -> DataFrame:
     """Customer location table (FIXTURES.md ``raw_geo``).
 
     Coordinates are built in exact decimal arithmetic and cast once, so the
     double is the correctly rounded value in any engine.
     """
-    c = _customers(spark, sf_dir)
+    c = _customers(t)
     offset = "(n_nationkey % 10) * 0.25 + (c_custkey % 8) * 0.01 + (c_custkey % 5) * 0.001"
     return c.select(
         F.col("c_custkey").cast("long").alias("row_key"),
@@ -216,9 +231,9 @@ def raw_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_downloads(t: Tables) -> DataFrame:
     """Downloads sheet (FIXTURES.md ``raw_downloads``): one row per day and origin."""
-    ev = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    ev = t("events").select("ts", "user_id", "event_type")
     return (
         ev.filter(F.col("event_type") == "view")
         .select(
@@ -232,10 +247,10 @@ def raw_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_first_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_first_open(t: Tables) -> DataFrame:
     """First-open sheets (FIXTURES.md ``raw_first_open``), ``sheet_no`` 0–2."""
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    users = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    ev = t("events").select("event_id", "ts", "user_id", "event_type")
+    users = t("customer").select("c_custkey", "c_name")
     sign = ev.filter(F.col("event_type") == "signup")
     return sign.join(users, sign.user_id == users.c_custkey, "inner").select(
         F.col("event_id").cast("long").alias("row_key"),
@@ -245,15 +260,15 @@ def raw_first_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_payment_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_payment_screen(t: Tables) -> DataFrame:
     """Payment-screen sheet, all text (FIXTURES.md ``raw_payment_screen``):
     the e-mail and day of every seventh order."""
     orders = (
-        read_table(spark, sf_dir, "orders")
+        t("orders")
         .select("o_orderkey", "o_custkey", "o_orderdate")
         .filter(F.col("o_orderkey") % 7 == 0)
     )
-    cust = _customers(spark, sf_dir).select("c_custkey", "c_name")
+    cust = _customers(t).select("c_custkey", "c_name")
     return orders.join(cust, orders.o_custkey == cust.c_custkey, "inner").select(
         _email().alias("email"),
         F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("Date de Payment method screen"),

@@ -9,6 +9,7 @@ session (``fs.s3a.*``), never from code.
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -17,9 +18,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    """Parquet table ``<base_dir>/<name>.parquet``."""
-    return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
+# Opened tables per session and path, with the time they were opened. Only
+# the file listing and schema are kept (no rows); like the reference's
+# 600-second load cache, a table is re-listed once it is older than the TTL.
+TABLE_TTL_SECONDS = 600.0
+_opened: dict[tuple[int, str], tuple[float, DataFrame]] = {}
+
+
+def read_table(spark: SparkSession, base_dir: str, name: str, ttl: float | None = None) -> DataFrame:
+    """Parquet table ``<base_dir>/<name>.parquet``.
+
+    Re-opening the same path in the same session within ``ttl`` seconds
+    reuses the listing; ``ttl=0`` always lists again.
+    """
+    path = os.path.join(base_dir, f"{name}.parquet")
+    ttl = TABLE_TTL_SECONDS if ttl is None else ttl
+    key = (id(spark), path)
+    now = time.monotonic()
+    hit = _opened.get(key)
+    if hit is not None and now - hit[0] < ttl:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _opened[key] = (now, df)
+    return df
+
+
+def forget_tables() -> None:
+    """Drop every cached table listing (e.g. after files were rewritten)."""
+    _opened.clear()
 
 
 def read_csv_table(

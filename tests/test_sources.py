@@ -91,6 +91,6 @@ def test_sequence_matches_plain_window_with_a_hot_customer(spark):
 
 
 def test_fixture_tables_have_expected_schemas(spark, small_dir):
-    got = [(f.name, f.dataType) for f in fx.raw_orders(spark, small_dir).schema.fields]
+    got = [(f.name, f.dataType) for f in fx.raw_orders(fx.table_source(spark, small_dir)).schema.fields]
     assert got == [(f.name, f.dataType) for f in RAW_ORDERS.fields]
-    assert fx.raw_geo(spark, small_dir).columns == ["row_key", "commune", "wilaya", "Latitude", "Longitude"]
+    assert fx.raw_geo(fx.table_source(spark, small_dir)).columns == ["row_key", "commune", "wilaya", "Latitude", "Longitude"]
