@@ -53,6 +53,7 @@ def clean_orders(
     category_map: Mapping[str, str] | None = None,
     drop_status: Iterable[str] = DROPPED_STATUSES,
     order_type_overrides: Iterable[str] = (),
+    null_id_text: str | None = None,
 ) -> DataFrame:
     """Order export → cleaned orders.
 
@@ -61,11 +62,18 @@ def clean_orders(
     excluded orders and customers removed (NULL ids kept, T4), order type
     overridden for listed customers (T18), projection, NULL category
     dropped.
+
+    A missing customer id stays NULL, and customer-level reports drop it
+    (T3). ``null_id_text="nan"`` reproduces the reference instead, where
+    every missing id became the same text and so one customer.
     """
     cmap = DEFAULT_CATEGORY_MAP if category_map is None else category_map
+    cid = strip_float_suffix(F.col("customer_id").cast("string"))
+    if null_id_text is not None:
+        cid = F.coalesce(cid, F.lit(null_id_text))
     df = (
         raw.withColumn("order_id", F.col("order_id").cast("string"))
-        .withColumn("customer_id", strip_float_suffix(F.col("customer_id").cast("string")))
+        .withColumn("customer_id", cid)
         .withColumnRenamed("job_status", "status")
         .filter(not_in_null_safe("status", drop_status))
         .withColumn("businessCat", remap_values("businessCat", cmap))

@@ -108,23 +108,28 @@ def churn_deltas(counts: DataFrame) -> DataFrame:
     previous column is empty for that cohort; ``churn_label`` names the
     matrix column (``Churn_<k>``).
     """
-    periods = counts.select("period_number").distinct()
-    prev = periods.select(
+    # One pass over the counts, two windows. The previous pivot column is the
+    # largest period number below k seen in any cohort: a range frame over
+    # all cells (the counts table has at most #months^2 rows, so a window
+    # without partition key is bounded). The previous cell of the same
+    # cohort comes from lag; it is the wanted cell only when its period is
+    # that previous column, otherwise the column is empty for the cohort.
+    all_before = Window.orderBy("period_number").rangeBetween(Window.unboundedPreceding, -1)
+    by_cohort = Window.partitionBy("cohort").orderBy("period_number")
+    prev_col = F.max("period_number").over(all_before)
+    cells = counts.select(
+        "cohort",
         "period_number",
-        F.lag("period_number").over(Window.orderBy("period_number")).alias("prev_period"),
-    )
-    # Both tables here are tiny: at most (#months)^2 cells and #months periods.
-    cur = counts.join(prev, "period_number")
-    before = counts.select(
-        F.col("cohort").alias("_c"), F.col("period_number").alias("_p"), F.col("n_customers").alias("_n")
-    )
-    j = cur.join(
-        before, (cur.cohort == before._c) & (cur.prev_period == before._p), "left"
+        "n_customers",
+        prev_col.alias("_prev_col"),
+        F.lag("period_number").over(by_cohort).alias("_lag_p"),
+        F.lag("n_customers").over(by_cohort).alias("_lag_n"),
     )
-    churn = F.when(F.col("prev_period").isNull(), F.col("n_customers")).otherwise(
-        F.col("n_customers") - F.col("_n")
+    churn = (
+        F.when(F.col("_prev_col").isNull(), F.col("n_customers"))
+        .when(F.col("_lag_p") == F.col("_prev_col"), F.col("n_customers") - F.col("_lag_n"))
     )
-    return j.select(
+    return cells.select(
         "cohort",
         "period_number",
         F.concat(F.lit("Churn_"), F.col("period_number").cast("string")).alias("churn_label"),

@@ -49,6 +49,11 @@ class Inputs:
         return self._get("orders", lambda: op.clean_orders(
             self.raw("raw_orders"), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS))
 
+    @property
+    def orders_nan_ids(self) -> DataFrame:
+        return self._get("orders_nan", lambda: op.clean_orders(
+            self.raw("raw_orders"), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS, null_id_text="nan"))
+
     @property
     def ltv(self) -> DataFrame:
         return self._get("ltv", lambda: op.clean_ltv(
@@ -150,6 +155,8 @@ def queries() -> dict[str, Query]:
         # retention
         "cohort_counts": _q(lambda i: i.counts()),
         "cohort_counts_local_airtime": _q(lambda i: i.counts("Local", "Airtime")),
+        "cohort_counts_nan_ids": _q(lambda i: op.cohort_counts(
+            i.orders_nan_ids, None, None, P.SLICE_START, P.SLICE_END)),
         "cohort_matrix": _q(lambda i: op.cohort_matrix(i.counts(), P.COHORT_PERIODS)),
         "retention": _q(lambda i: op.retention(i.counts())),
         "retention_matrix": _q(lambda i: op.retention_matrix(i.counts(), P.COHORT_PERIODS)),
@@ -166,6 +173,7 @@ def queries() -> dict[str, Query]:
         "ltv_series_dzd": _q(lambda i: op.ltv_series(i.summary(), "DZD")),
         # geography
         "customers_by_commune": _q(lambda i: i.communes),
+        "communes_ranked": _q(lambda i: op.by_count_desc(i.communes, "n_customers", "commune")),
         "commune_map_points": _q(lambda i: op.commune_map_points(i.communes, P.MAP_WILAYA)),
         "wilaya_centres": _q(lambda i: op.wilaya_centres(i.communes)),
         # acquisition
@@ -173,6 +181,8 @@ def queries() -> dict[str, Query]:
         "signups_by_month": _q(lambda i: op.signups_by_period(i.signups, "month")),
         "signups_by_week": _q(lambda i: op.signups_by_period(i.signups, "week")),
         "signups_by_day": _q(lambda i: op.signups_by_period(i.signups, "day")),
+        "signups_by_month_ranked": _q(lambda i: op.by_total_asc(
+            op.signups_by_period(i.signups, "month"), "n_signups", "period")),
         "first_open_signups": _q(lambda i: i.first_open),
         "signup_orders": _q(lambda i: i.signup_orders),
         "segment_ordered": _segment("ordered"),

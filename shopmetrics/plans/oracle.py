@@ -121,6 +121,10 @@ SELECT * FROM (
 ) WHERE business_cat IS NOT NULL
 """
 
+BASE["orders_clean_nan"] = """
+SELECT * REPLACE (coalesce(customer_id, 'nan') AS customer_id) FROM orders_clean
+"""
+
 BASE["margin_per_order"] = """
 SELECT l_orderkey,
   CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS marge_dzd
@@ -210,7 +214,7 @@ WHERE o.o_orderkey % 7 = 0
 # --- report CTEs -----------------------------------------------------------
 
 
-def _cohort_sql(where_extra: str = "TRUE") -> str:
+def _cohort_sql(where_extra: str = "TRUE", table: str = "orders_clean") -> str:
     return f"""
 SELECT cohort, CAST((year(order_month) - year(cohort)) * 12 + month(order_month) - month(cohort) AS INTEGER)
   AS period_number, count(*) AS n_customers
@@ -218,7 +222,7 @@ FROM (
   SELECT customer_id, order_month, min(order_month) OVER (PARTITION BY customer_id) AS cohort
   FROM (
     SELECT DISTINCT customer_id, CAST(date_trunc('month', date) AS DATE) AS order_month
-    FROM orders_clean
+    FROM {table}
     WHERE date >= {_ts_day(P.SLICE_START)} AND date <= {_ts_day(P.SLICE_END)}
       AND status = 'COMPLETED' AND customer_id IS NOT NULL AND {where_extra}
   )
@@ -393,6 +397,7 @@ BODIES: dict[str, str] = {
     ),
     "cohort_counts": "SELECT * FROM cohort_counts_std",
     "cohort_counts_local_airtime": _cohort_sql("origin = 'Local' AND business_cat = 'Airtime'"),
+    "cohort_counts_nan_ids": _cohort_sql(table="orders_clean_nan"),
     "cohort_matrix": "SELECT cohort, "
     + ", ".join(
         f"max(CASE WHEN period_number = {p} THEN n_customers END) AS period_{p}" for p in P.COHORT_PERIODS
@@ -438,6 +443,7 @@ LEFT JOIN cohort_counts_std b ON b.cohort = c.cohort AND b.period_number = p.pre
         "UNION ALL SELECT category_label, 'ltv_margin_dzd', ltv_margin_dzd FROM ltv_summary_std"
     ),
     "customers_by_commune": "SELECT * FROM communes_std",
+    "communes_ranked": "SELECT * FROM communes_std ORDER BY n_customers DESC, commune",
     "commune_map_points": f"""
 SELECT wilaya, commune, latitude, longitude, n_customers,
   round(CASE WHEN mn = mx THEN CAST(20.0 AS DOUBLE)
@@ -458,6 +464,10 @@ FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_custome
         "SELECT date - CAST(dayofweek(date) AS INTEGER) AS period, count(*) AS n_signups FROM signups_std GROUP BY 1"
     ),
     "signups_by_day": "SELECT date AS period, count(*) AS n_signups FROM signups_std GROUP BY 1",
+    "signups_by_month_ranked": (
+        "SELECT strftime(date, '%Y-%m') AS period, count(*) AS n_signups FROM signups_std GROUP BY 1 "
+        "ORDER BY n_signups, period"
+    ),
     "first_open_signups": "SELECT * FROM first_open_std",
     "signup_orders": "SELECT * FROM signup_orders_std",
     "segment_ordered": "SELECT * EXCLUDE (any_completed) FROM flags_std",
