@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..vocab import COMPLETED, NOT_COMPLETED
+
 # Above this many literal ids an exclusion becomes an anti join instead of
 # an IN-set expression; the list then ships as a small DataFrame whose
 # join strategy Catalyst picks from its measured size.
@@ -47,7 +49,7 @@ def strip_list_marks(c) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(c), r"\[|\]", ""), "['\"]", "")
 
 
-def fold_status(c, done: str = "COMPLETED", other: str = "NOT COMPLETED") -> Column:
+def fold_status(c, done: str = COMPLETED, other: str = NOT_COMPLETED) -> Column:
     """Two-value status; NULL falls to ``other``."""
     return F.when(_col(c) == done, F.lit(done)).otherwise(F.lit(other))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import fold_status
 from ..functions.textfmt import thousands
 from ..functions.timefn import month_label, sunday_week_start
+from ..vocab import COMPLETED, IN_PROGRESS
 from .dedupe import keep_first
 from .slices import since as since_filter
 from .slices import slice_rows
@@ -119,7 +120,7 @@ def signup_flags(sorders: DataFrame, category=None, order_by: Sequence[str] = OR
         rows.groupBy("customer_id")
         .agg(
             F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first"),
-            F.max((F.col("new_status") == "COMPLETED").cast("int")).alias("_any_completed"),
+            F.max((F.col("new_status") == COMPLETED).cast("int")).alias("_any_completed"),
         )
         .select("customer_id", *[F.col(f"_first.{c}").alias(c) for c in rest],
                 (F.col("_any_completed") == 1).alias("any_completed"))
@@ -133,7 +134,7 @@ def distinct_signups(signups: DataFrame, order_by: Sequence[str] = SIGNUP_ORDER)
 
 def funnel_segments(signups: DataFrame, flags: DataFrame) -> dict[str, DataFrame]:
     """The six customer sets of the funnel (R15), one row per customer."""
-    first_ok = F.col("new_status") == "COMPLETED"
+    first_ok = F.col("new_status") == COMPLETED
     ordered = flags.drop("any_completed")
     return {
         "ordered": ordered,
@@ -141,9 +142,9 @@ def funnel_segments(signups: DataFrame, flags: DataFrame) -> dict[str, DataFrame
             flags.select("customer_id"), "customer_id", "left_anti"
         ),
         "completed": flags.filter(first_ok).drop("any_completed"),
-        "in_progress": flags.filter(F.col("status") == "In_Progress").drop("any_completed"),
+        "in_progress": flags.filter(F.col("status") == IN_PROGRESS).drop("any_completed"),
         "checkout_abandoned": flags.filter(
-            (F.col("status") == "In_Progress") & ~F.col("any_completed")
+            (F.col("status") == IN_PROGRESS) & ~F.col("any_completed")
         ).drop("any_completed"),
         "not_completed": flags.filter(~first_ok).drop("any_completed"),
     }
@@ -174,8 +175,8 @@ def funnel_metrics(
     s = distinct_signups(signups).select("customer_id")
     f = flags.select(
         "customer_id",
-        (F.col("new_status") == "COMPLETED").alias("_first_ok"),
-        (F.col("status") == "In_Progress").alias("_in_progress"),
+        (F.col("new_status") == COMPLETED).alias("_first_ok"),
+        (F.col("status") == IN_PROGRESS).alias("_in_progress"),
         "any_completed",
     )
     sj = s.join(f, "customer_id", "left")

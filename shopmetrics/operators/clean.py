@@ -17,12 +17,11 @@ from ..functions.predicates import (
     strip_float_suffix,
     strip_list_marks,
 )
+from ..vocab import ABANDONED, CATEGORY_MAP, COMPLETED, EXTERNAL_ORDER_TYPE, LTV_CATEGORIES
 
-# The two mobile-recharge labels the reference folds into one
-# category, and the three categories its LTV pages keep.
-DEFAULT_CATEGORY_MAP = {"Recharge mobile": "Airtime", "Recharge mobile / ADSL": "Airtime"}
-DEFAULT_LTV_CATEGORIES = ("Airtime", "Alimentation", "Shopping")
-DROPPED_STATUSES = ("ABANDONED",)
+DEFAULT_CATEGORY_MAP = CATEGORY_MAP
+DEFAULT_LTV_CATEGORIES = LTV_CATEGORIES
+DROPPED_STATUSES = (ABANDONED,)
 
 
 def remap_values(c: str, mapping: Mapping[str, str]):
@@ -81,7 +80,7 @@ def clean_orders(
     df = exclude_ids(df, "order_id", excluded_orders)
     df = exclude_ids(df, "customer_id", excluded_customers)
     df = df.withColumnRenamed("Order Type", "order_type")
-    df = set_where_key(df, "customer_id", order_type_overrides, "order_type", "EXTERNE")
+    df = set_where_key(df, "customer_id", order_type_overrides, "order_type", EXTERNAL_ORDER_TYPE)
     return df.select(
         F.col("date").cast("timestamp_ntz").alias("date"),
         "status",
@@ -107,7 +106,7 @@ def clean_ltv(
     excluded_customers=(),
     categories: Iterable[str] = DEFAULT_LTV_CATEGORIES,
     drop_status: Iterable[str] = DROPPED_STATUSES,
-    status: str = "COMPLETED",
+    status: str = COMPLETED,
 ) -> DataFrame:
     """LTV export → cleaned LTV rows (R20: P11, F1–F5).
 
@@ -160,7 +159,7 @@ def clean_users(raw: DataFrame, excluded_customers=()) -> DataFrame:
 
 def external_orders(orders: DataFrame) -> DataFrame:
     """Orders placed through the external channel."""
-    return orders.filter(F.col("order_type") == "EXTERNE")
+    return orders.filter(F.col("order_type") == EXTERNAL_ORDER_TYPE)
 
 
 def payment_screen_view(orders: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.textfmt import half_even_ratio, fixed2_text
 from ..functions.timefn import month_diff, month_label, month_start
+from ..vocab import COMPLETED
 from .slices import drop_null_keys, slice_rows
 
 DEFAULT_PERIODS = tuple(range(12))
@@ -28,7 +29,7 @@ def cohort_counts(
     category: str | None = None,
     start=None,
     end=None,
-    status: str = "COMPLETED",
+    status: str = COMPLETED,
 ) -> DataFrame:
     """``cohort date, period_number int, n_customers bigint``.
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..vocab import COMPLETED
 from .clean import payment_screen_view
 from .dedupe import keep_last
 from .slices import slice_rows
@@ -52,5 +53,5 @@ def checkout_payment_screen(
     ov = payment_screen_view(orders).filter(F.col("date") == F.to_timestamp_ntz(F.to_date("date")))
     ov = ov.withColumn("date", F.to_date("date"))
     j = su.join(ov, ["email", "date"], "inner")
-    nc = j.filter(~F.coalesce(F.col("status") == "COMPLETED", F.lit(False)))
+    nc = j.filter(~F.coalesce(F.col("status") == COMPLETED, F.lit(False)))
     return keep_last(nc, ["email"], list(order_by))

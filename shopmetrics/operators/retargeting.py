@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import in_or_all
 from ..functions.timefn import to_ts_literal, whole_days
+from ..vocab import COMPLETED, NON_BUYER_BUCKETS, OVER_120
 from .dedupe import keep_last
 
 EXPORT_COLUMNS = (
@@ -23,21 +24,6 @@ EXPORT_COLUMNS = (
     "customer_phone", "customer_email", "business_cat", "origin",
 )
 ORDER_ORDER = ("date", "order_id")
-OVER_120 = "over_120"
-
-# The non-buyer recency buckets of the reference,
-# label → inclusive day range (None = open end). 120 days exactly is in
-# none of them.
-NON_BUYER_BUCKETS = {
-    "7": (None, 6),
-    "14": (7, 13),
-    "21": (14, 20),
-    "30": (21, 29),
-    "60": (30, 59),
-    "90": (60, 89),
-    "120": (90, 119),
-    OVER_120: (121, None),
-}
 
 
 def _recency_filter(days_col, days) -> F.Column:
@@ -64,7 +50,7 @@ def retarget_buyers(
     """
     age = whole_days(to_ts_literal(as_of), F.col("previous_order_date"))
     rows = orders.filter(
-        (F.col("status") == "COMPLETED")
+        (F.col("status") == COMPLETED)
         & F.col("customer_id").isNotNull()
         & _recency_filter(age, days)
         & in_or_all("origin", origins)
@@ -85,7 +71,7 @@ def non_buyers(orders: DataFrame, order_by: Sequence[str] = ORDER_ORDER) -> Data
     cols = [*EXPORT_COLUMNS, *[c for c in order_by if c not in EXPORT_COLUMNS]]
     rest = [c for c in cols if c != "customer_id"]
     agg = rows.groupBy("customer_id").agg(
-        F.max((F.col("status") == "COMPLETED").cast("int")).alias("_done"),
+        F.max((F.col("status") == COMPLETED).cast("int")).alias("_done"),
         F.max_by(F.struct(*rest), F.struct(*order_by)).alias("_last"),
     )
     return agg.filter(F.coalesce(F.col("_done"), F.lit(0)) == 0).select(
