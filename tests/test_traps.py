@@ -293,3 +293,43 @@ def test_empty_slice_keeps_schema(spark):
     counts = op.cohort_counts(df, start=dt.date(1990, 1, 1), end=dt.date(1990, 12, 31))
     assert counts.count() == 0 and counts.columns == ["cohort", "period_number", "n_customers"]
     assert op.cohort_matrix(counts).columns[:2] == ["cohort", "period_0"]
+
+
+# T3, T18 -----------------------------------------------------------------------------
+
+def test_null_ids_dropped_or_kept_as_one_customer(spark):
+    from shopmetrics.schemas import RAW_ORDERS
+
+    def raw(order_id, cid, month):
+        return (order_id, cid, dt.datetime(1998, month, 3), "COMPLETED", "Local", "CARD", "INTERNE",
+                "Recharge mobile", 1, None, False, "u", "p", "e", 10.0)
+
+    rows = [raw("1", None, 1), raw("2", None, 2), raw("3", "7.0", 1), raw("4", "8.0", 1)]
+    df = spark.createDataFrame(rows, RAW_ORDERS)
+    dropped = op.cohort_counts(op.clean_orders(df))
+    assert {(r.period_number, r.n_customers) for r in dropped.collect()} == {(0, 2)}
+    as_nan = op.clean_orders(df, null_id_text="nan")
+    assert {r.customer_id for r in as_nan.collect()} == {"nan", "7", "8"}
+    counts = {(r.period_number, r.n_customers) for r in op.cohort_counts(as_nan).collect()}
+    assert counts == {(0, 3), (1, 1)}
+    # the order-type override is a parameter (the reference's never matched)
+    over = op.clean_orders(df, order_type_overrides=["7"])
+    assert {r.customer_id: r.order_type for r in over.collect()}["7"] == "EXTERNE"
+
+
+def test_churn_telescopes_on_gap_free_rows(spark):
+    d = dt.date
+    counts = spark.createDataFrame(
+        [(d(1998, 1, 1), p, n) for p, n in enumerate([9, 6, 6, 4, 5])],
+        "cohort date, period_number int, n_customers long",
+    )
+    churn = [r.churn for r in op.churn_deltas(counts).orderBy("period_number").collect()]
+    assert churn == [9, -3, 0, -2, 1] and sum(churn) == 5
+
+
+def test_ltv_equals_gmv_on_fixture_data(spark, small_dir):
+    from shopmetrics.plans.catalog import Inputs
+
+    rows = op.customer_ltv(Inputs(spark, small_dir).ltv).select("gmv_dzd", "ltv_gmv_dzd", "lifetime_months").collect()
+    assert rows and all(r.lifetime_months > 0 for r in rows)
+    assert all(abs(r.ltv_gmv_dzd - r.gmv_dzd) <= 1e-9 * max(1.0, abs(r.gmv_dzd)) for r in rows)
