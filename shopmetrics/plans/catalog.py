@@ -175,9 +175,16 @@ def queries() -> dict[str, Query]:
         "customers_by_commune": _q(lambda i: i.communes),
         "communes_ranked": _q(lambda i: op.by_count_desc(i.communes, "n_customers", "commune")),
         "commune_map_points": _q(lambda i: op.commune_map_points(i.communes, P.MAP_WILAYA)),
+        "commune_map_points_all": _q(lambda i: op.commune_map_points(i.communes)),
         "wilaya_centres": _q(lambda i: op.wilaya_centres(i.communes)),
         # acquisition
         "new_signups": _q(lambda i: i.signups),
+        "new_signups_local_country": _q(lambda i: op.new_signups(
+            i.users, "Local", P.USERS_COUNTRY, P.USERS_START, P.USERS_END)),
+        "downloads_local": _q(lambda i: op.downloads_slice(
+            i.raw("raw_downloads"), "Local", P.USERS_START, P.USERS_END)),
+        "first_open_signups_diaspora": _q(lambda i: op.first_open_signups(
+            i.users, i.raw("raw_first_open"), "Diaspora", P.USERS_START, P.USERS_END)),
         "signups_by_month": _q(lambda i: op.signups_by_period(i.signups, "month")),
         "signups_by_week": _q(lambda i: op.signups_by_period(i.signups, "week")),
         "signups_by_day": _q(lambda i: op.signups_by_period(i.signups, "day")),
@@ -201,6 +208,7 @@ def queries() -> dict[str, Query]:
             i.orders, P.BUYER_DAYS, P.AS_OF, ["Local"], ["Airtime", "Alimentation"])),
         "retarget_buyers_over_120": _q(lambda i: op.retarget_buyers(i.orders, "over_120", P.AS_OF)),
         "retarget_non_buyer_buckets": _q(lambda i: op.non_buyer_buckets(i.orders, P.AS_OF)),
+        "non_buyers_latest": _q(lambda i: op.non_buyers(i.orders)),
         "retarget_non_buyers_60": _q(lambda i: op.retarget_non_buyers(i.orders, P.NON_BUYER_BUCKET, P.AS_OF)),
         # dormant
         "non_buyers_cumulative": _q(lambda i: op.non_buyers_cumulative(

@@ -452,6 +452,15 @@ SELECT wilaya, commune, latitude, longitude, n_customers,
   concat('Commune: ', commune, ' - customers: ', CAST(n_customers AS VARCHAR)) AS label
 FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_customers) OVER (PARTITION BY wilaya) AS mx
       FROM communes_std WHERE wilaya = '{P.MAP_WILAYA}')
+""",
+    "commune_map_points_all": """
+SELECT wilaya, commune, latitude, longitude, n_customers,
+  round(CASE WHEN mn = mx THEN CAST(20.0 AS DOUBLE)
+    ELSE CAST(5.0 AS DOUBLE) + (ln(n_customers) - ln(mn)) * CAST(15.0 AS DOUBLE) / (ln(mx) - ln(mn)) END, 6)
+    AS marker_size,
+  concat('Commune: ', commune, ' - customers: ', CAST(n_customers AS VARCHAR)) AS label
+FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_customers) OVER (PARTITION BY wilaya) AS mx
+      FROM communes_std)
 """,
     "wilaya_centres": (
         "SELECT wilaya, CAST(sum(CAST(latitude AS DECIMAL(24,9))) AS DOUBLE) / count(latitude) AS centre_latitude, "
@@ -459,6 +468,20 @@ FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_custome
         "FROM communes_std GROUP BY wilaya"
     ),
     "new_signups": "SELECT * FROM signups_std",
+    "new_signups_local_country": (
+        "SELECT date, customer_id, last_name, first_name, phone, email, customer_country, origin FROM users_clean "
+        f"WHERE origin = 'Local' AND customer_country = '{P.USERS_COUNTRY}' "
+        f"AND date >= {_d(P.USERS_START)} AND date <= {_d(P.USERS_END)}"
+    ),
+    "downloads_local": (
+        "SELECT * FROM raw_downloads WHERE customer_origine = 'Local' "
+        f"AND date >= {_d(P.USERS_START)} AND date <= {_d(P.USERS_END)}"
+    ),
+    "first_open_signups_diaspora": _first_by(
+        f"(SELECT u.date, u.email, u.phone, u.origin, u.customer_id, fo.first_open_date FROM users_clean u "
+        f"JOIN ({_first_by('raw_first_open', 'email', 'sheet_no, row_key')}) fo ON u.email = fo.email "
+        f"WHERE u.origin = 'Diaspora' AND u.date >= {_d(P.USERS_START)} AND u.date <= {_d(P.USERS_END)})",
+        "email", "date, customer_id"),
     "signups_by_month": "SELECT strftime(date, '%Y-%m') AS period, count(*) AS n_signups FROM signups_std GROUP BY 1",
     "signups_by_week": (
         "SELECT date - CAST(dayofweek(date) AS INTEGER) AS period, count(*) AS n_signups FROM signups_std GROUP BY 1"
@@ -509,6 +532,7 @@ FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_custome
         + ")"
     ),
     "retarget_non_buyer_buckets": "SELECT * FROM non_buyer_buckets_std",
+    "non_buyers_latest": "SELECT * FROM non_buyers_std",
     "retarget_non_buyers_60": f"SELECT {_EXPORT} FROM non_buyer_buckets_std WHERE bucket = '{P.NON_BUYER_BUCKET}'",
     "non_buyers_cumulative": (
         f"SELECT {_EXPORT} FROM non_buyers_std WHERE {_days(_ts(P.AS_OF), 'previous_order_date')} <= {P.NON_BUYER_CUMULATIVE_DAYS}"
