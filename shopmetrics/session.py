@@ -30,6 +30,14 @@ ADAPTIVE_CONF = {
 }
 
 
+# Planning speed: PySpark records the Python call site of every Column
+# function for error messages, at several JVM round trips per call; report
+# plans build hundreds of expressions, so this is switched off.
+PLANNING_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def build_session(
     master: str | None = None,
     app_name: str = "shopmetrics",
@@ -39,7 +47,7 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = {**CORRECTNESS_CONF, **ADAPTIVE_CONF, "spark.ui.enabled": "false"}
+    conf = {**CORRECTNESS_CONF, **ADAPTIVE_CONF, **PLANNING_CONF, "spark.ui.enabled": "false"}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
