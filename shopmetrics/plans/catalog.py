@@ -101,6 +101,15 @@ class Inputs:
         dl = op.downloads_slice(self.raw("raw_downloads"), None, P.USERS_START, P.USERS_END)
         return op.funnel_metrics(dl, self.signups, self.first_open, self.flags(category), formatted)
 
+    def funnel_for_origin(self, origin: str) -> DataFrame:
+        """The funnel of one origin: sign-ups, downloads and first-open rows
+        are all sliced by it, as the acquisition page's filter does."""
+        signups = op.new_signups(self.users, origin, None, P.USERS_START, P.USERS_END)
+        flags = op.signup_flags(op.signup_orders(self.orders, signups, P.FUNNEL_SINCE))
+        dl = op.downloads_slice(self.raw("raw_downloads"), origin, P.USERS_START, P.USERS_END)
+        fo = op.first_open_signups(self.users, self.raw("raw_first_open"), origin, P.USERS_START, P.USERS_END)
+        return op.funnel_metrics(dl, signups, fo, flags)
+
 
 def _q(build: Callable[[Inputs], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +210,7 @@ def queries() -> dict[str, Query]:
         "funnel_metrics": _q(lambda i: i.funnel()),
         "funnel_metrics_text": _q(lambda i: i.funnel(formatted=True)),
         "funnel_metrics_alimentation": _q(lambda i: i.funnel("Alimentation")),
+        "funnel_metrics_local": _q(lambda i: i.funnel_for_origin("Local")),
         "segment_export_roundtrip": segment_export_roundtrip,
         # retargeting
         "retarget_buyers_rows": _q(lambda i: op.retarget_buyers(i.orders, P.BUYER_DAYS, P.AS_OF, latest_only=False)),

@@ -304,6 +304,10 @@ FROM users_clean WHERE date >= {_d(P.USERS_START)} AND date <= {_d(P.USERS_END)}
 
 BASE["signups_distinct"] = _first_by("signups_std", "customer_id", "date, email", "customer_id IS NOT NULL")
 
+BASE["signups_local"] = "SELECT * FROM signups_std WHERE origin = 'Local'"
+BASE["signups_local_distinct"] = _first_by(
+    "signups_local", "customer_id", "date, email", "customer_id IS NOT NULL")
+
 BASE["signup_orders_std"] = f"""
 SELECT o.date, o.customer_id, o.order_id, o.status, o.origin AS orders_origin, o.business_cat, o.total_amount_dzd,
   s.date AS registration_date, s.last_name, s.first_name, s.phone, s.email, s.customer_country, s.origin,
@@ -324,6 +328,10 @@ JOIN (SELECT customer_id, max(CASE WHEN new_status = 'COMPLETED' THEN 1 ELSE 0 E
 
 
 BASE["flags_std"] = _flags_sql(None)
+BASE["signup_orders_local"] = """
+SELECT * FROM signup_orders_std WHERE origin = 'Local'
+"""
+BASE["flags_local"] = _flags_sql(None).replace("signup_orders_std", "signup_orders_local")
 BASE["flags_alimentation"] = _flags_sql("Alimentation")
 
 BASE["first_open_std"] = f"""
@@ -554,14 +562,17 @@ WHERE _rn = 1
 }
 
 
-def _funnel_sql(flags: str, formatted: bool = False) -> str:
+def _funnel_sql(flags: str, formatted: bool = False, origin: str | None = None) -> str:
+    signups = "signups_local_distinct" if origin else "signups_distinct"
+    dl_origin = f" AND customer_origine = '{origin}'" if origin else ""
+    fo_origin = f" WHERE origin = '{origin}'" if origin else ""
     rows = [
         ("downloads", "SELECT CAST(coalesce(sum(downloads), 0) AS BIGINT) FROM raw_downloads "
-                      f"WHERE date >= {_d(P.USERS_START)} AND date <= {_d(P.USERS_END)}"),
-        ("new_signups", "SELECT count(*) FROM signups_distinct"),
-        ("signups_never_ordered", f"SELECT count(*) FROM signups_distinct s WHERE NOT EXISTS "
+                      f"WHERE date >= {_d(P.USERS_START)} AND date <= {_d(P.USERS_END)}{dl_origin}"),
+        ("new_signups", f"SELECT count(*) FROM {signups}"),
+        ("signups_never_ordered", f"SELECT count(*) FROM {signups} s WHERE NOT EXISTS "
                                   f"(SELECT 1 FROM {flags} f WHERE f.customer_id = s.customer_id)"),
-        ("signups_first_open", "SELECT count(*) FROM first_open_std"),
+        ("signups_first_open", f"SELECT count(*) FROM first_open_std{fo_origin}"),
         ("signups_ordered", f"SELECT count(*) FROM {flags}"),
         ("signups_ordered_not_purchased", f"SELECT count(*) FROM {flags} WHERE new_status <> 'COMPLETED'"),
         ("signups_checkout_abandoned",
@@ -578,6 +589,7 @@ def _funnel_sql(flags: str, formatted: bool = False) -> str:
 BODIES["funnel_metrics"] = _funnel_sql("flags_std")
 BODIES["funnel_metrics_text"] = _funnel_sql("flags_std", formatted=True)
 BODIES["funnel_metrics_alimentation"] = _funnel_sql("flags_alimentation")
+BODIES["funnel_metrics_local"] = _funnel_sql("flags_local", origin="Local")
 BODIES["segment_export_roundtrip"] = " UNION ALL ".join(
     f"SELECT '{seg}' AS segment, customer_id, email, phone FROM ({BODIES[key]})"
     for seg, key in [
