@@ -224,5 +224,5 @@ def queries() -> dict[str, Query]:
         "non_buyers_cumulative": _q(lambda i: op.non_buyers_cumulative(
             i.orders, P.NON_BUYER_CUMULATIVE_DAYS, P.AS_OF)),
         "checkout_payment_screen": _q(lambda i: op.checkout_payment_screen(
-            i.users, i.raw("raw_payment_screen"), i.orders)),
+            i.users, i.raw("raw_payment_screen"), i.orders, P.USERS_START, P.USERS_END)),
     }

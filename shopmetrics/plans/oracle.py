@@ -552,13 +552,14 @@ SELECT * EXCLUDE (_rn) FROM (
       ov.business_cat, ov.order_id, ov.status
     FROM (SELECT u.date AS date_registration, u.email, u.phone, u.origin, u.customer_id,
             CAST(sc."Date de Payment method screen" AS DATE) AS date
-          FROM users_clean u JOIN raw_payment_screen sc ON u.email = sc.email) su
+          FROM users_clean u JOIN raw_payment_screen sc ON u.email = sc.email
+          WHERE u.date >= {start} AND u.date <= {end}) su
     JOIN (SELECT CAST(date AS DATE) AS date, business_cat, order_id, status, customer_email AS email
           FROM orders_clean WHERE date = CAST(CAST(date AS DATE) AS TIMESTAMP)) ov
       ON su.email = ov.email AND su.date = ov.date
     WHERE NOT coalesce(ov.status = 'COMPLETED', false)))
 WHERE _rn = 1
-""",
+""".format(start=_d(P.USERS_START), end=_d(P.USERS_END)),
 }
 
 
