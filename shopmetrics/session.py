@@ -72,15 +72,18 @@ def shared_dir(spark: SparkSession) -> str:
     present, since a machine-local folder is not visible to executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local context (Spark Connect)
+        sc = None
+    if not path and sc is not None:
+        path = sc.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if sc is None or not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for this cluster")
     path = tempfile.mkdtemp(prefix="shopmetrics-")
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 
