@@ -60,6 +60,20 @@ def _customers(t: Tables) -> DataFrame:
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey, "inner")
 
 
+def _with_customer(facts: DataFrame, key: str, t: Tables, cust_cols: tuple[str, ...], nation_cols: tuple[str, ...]) -> DataFrame:
+    """Fact rows joined to their customer, then the customer's nation.
+
+    Joining the customer table on its own first keeps its size estimate the
+    size of its scan (a join below it would multiply estimates), so the
+    planner can broadcast it while it is small and sort-merge it when it is
+    not; the nation table (25 rows) joins last.
+    """
+    customer = t("customer").select("c_custkey", "c_nationkey", *cust_cols)
+    nation = t("nation").select("n_nationkey", *nation_cols)
+    j = facts.join(customer, facts[key] == customer.c_custkey, "inner")
+    return j.join(nation, j.c_nationkey == nation.n_nationkey, "inner")
+
+
 def _sequence_per_customer(orders: DataFrame) -> DataFrame:
     """Add ``occurrence`` (1-based order number of the customer, by
     (o_orderdate, o_orderkey)) and ``previous_order_date``.
@@ -107,10 +121,7 @@ def raw_orders(t: Tables) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
     seq = _sequence_per_customer(orders)
-    cust = _customers(t).select(
-        "c_custkey", "c_name", "n_regionkey"
-    )
-    j = seq.join(cust, seq.o_custkey == cust.c_custkey, "inner")
+    j = _with_customer(seq, "o_custkey", t, ("c_name",), ("n_regionkey",))
     return j.select(
         F.col("o_orderkey").cast("string").alias("order_id"),
         F.when(F.col("o_orderkey") % 97 == 0, F.lit(None).cast("string"))
@@ -163,11 +174,8 @@ def raw_ltv(t: Tables) -> DataFrame:
             (F.col("_units").cast("decimal(18,0)") / F.lit(10000)).cast("decimal(18,4)").alias("marge_dzd"),
         )
     )
-    cust = _customers(t).select("c_custkey", "n_regionkey")
-    j = (
-        orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
-        .join(margin, orders.o_orderkey == margin.l_orderkey, "left")
-    )
+    j = _with_customer(orders, "o_custkey", t, (), ("n_regionkey",))
+    j = j.join(margin, j.o_orderkey == margin.l_orderkey, "left")
     eur = F.expr(
         "CAST(CAST(70 + year(o_orderdate) - 1995 AS DECIMAL(5,0)) * CAST(0.0001 AS DECIMAL(4,4)) AS DECIMAL(9,4))"
     )
@@ -272,8 +280,7 @@ def raw_payment_screen(t: Tables) -> DataFrame:
         .select("o_orderkey", "o_custkey", "o_orderdate")
         .filter(F.col("o_orderkey") % 7 == 0)
     )
-    cust = _customers(t).select("c_custkey", "c_name")
-    return orders.join(cust, orders.o_custkey == cust.c_custkey, "inner").select(
+    return _with_customer(orders, "o_custkey", t, ("c_name",), ()).select(
         _email().alias("email"),
         F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("Date de Payment method screen"),
     )
