@@ -83,19 +83,26 @@ def load_tables(
     spark: SparkSession,
     manifest: Mapping[str, T.StructType] | Iterable[tuple[str, T.StructType]],
     register_views: bool = True,
+    fmt: str | None = None,
 ) -> dict[str, DataFrame]:
     """Read every ``path → schema`` of a manifest into ``{name: DataFrame}`` (S3).
 
-    Each table is also registered as a temporary view under its name so
-    the reports can be written in SQL against the same names.
+    The format is ``fmt`` when given, else CSV for ``*.csv`` paths and
+    Parquet otherwise. CSV needs a schema (no inference); Parquet takes its
+    own unless one is given. Each table is also registered as a temporary
+    view under its name so the reports can be written in SQL against the
+    same names.
     """
     items = manifest.items() if isinstance(manifest, Mapping) else manifest
     out: dict[str, DataFrame] = {}
     for path, schema in items:
-        if path.endswith(".parquet"):
-            df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-        else:
+        kind = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
+        if kind == "csv":
+            if schema is None:
+                raise ValueError(f"a schema is required for CSV input {path}")
             df = read_csv_table(spark, path, schema)
+        else:
+            df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
         name = table_name(path)
         out[name] = df
         if register_views:

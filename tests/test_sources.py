@@ -94,3 +94,31 @@ def test_fixture_tables_have_expected_schemas(spark, small_dir):
     got = [(f.name, f.dataType) for f in fx.raw_orders(fx.table_source(spark, small_dir)).schema.fields]
     assert got == [(f.name, f.dataType) for f in RAW_ORDERS.fields]
     assert fx.raw_geo(fx.table_source(spark, small_dir)).columns == ["row_key", "commune", "wilaya", "Latitude", "Longitude"]
+
+
+def test_large_exclusion_list_becomes_anti_join(spark):
+    from shopmetrics.functions import exclude_ids
+    from shopmetrics.functions.predicates import MAX_INLINE_IDS
+
+    df = spark.createDataFrame([(str(i),) for i in range(50)] + [(None,)], "customer_id string")
+    ids = [str(i) for i in range(10, MAX_INLINE_IDS + 20)]
+    out = exclude_ids(df, "customer_id", ids)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "LeftAnti" in plan
+    assert sorted(out.collect(), key=str) == sorted([(str(i),) for i in range(10)] + [(None,)], key=str)
+
+
+def test_table_listing_cache_and_parquet_outputs(spark, small_dir):
+    from shopmetrics.sources.readers import forget_tables, read_table
+
+    a = read_table(spark, small_dir, "nation")
+    assert read_table(spark, small_dir, "nation") is a
+    assert read_table(spark, small_dir, "nation", ttl=0) is not a
+    forget_tables()
+    assert read_table(spark, small_dir, "nation") is not a
+
+    d = _tmp()
+    df = spark.createDataFrame([("x", 1.5)], "name string, v double")
+    write_report(df, os.path.join(d, "r"), "parquet")
+    tables = load_tables(spark, {os.path.join(d, "r"): None}, register_views=False)
+    assert tables["r"].collect()[0].v == 1.5
