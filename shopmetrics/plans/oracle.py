@@ -208,7 +208,6 @@ FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 's
 BASE["raw_payment_screen"] = f"""
 SELECT {_EMAIL} AS email, substr(CAST(o.o_orderdate AS VARCHAR), 1, 10) AS "Date de Payment method screen"
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
-WHERE o.o_orderkey % 7 = 0
 """
 
 # --- report CTEs -----------------------------------------------------------
