@@ -90,3 +90,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared folder."""
     return os.path.join(shared_dir(spark), "shopmetrics", f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    For a caller that runs several reports over the same cleaned table
+    (a dashboard refresh): later reports start from the written table, the
+    lineage is cut, and a lost executor costs a re-read, not a recompute.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

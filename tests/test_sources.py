@@ -122,3 +122,13 @@ def test_table_listing_cache_and_parquet_outputs(spark, small_dir):
     write_report(df, os.path.join(d, "r"), "parquet")
     tables = load_tables(spark, {os.path.join(d, "r"): None}, register_views=False)
     assert tables["r"].collect()[0].v == 1.5
+
+
+def test_materialize_writes_under_shared_folder(spark, small_dir):
+    from shopmetrics.plans.catalog import Inputs
+    from shopmetrics.session import materialize, shared_dir
+
+    users = Inputs(spark, small_dir).users
+    m = materialize(users, "users")
+    assert m.count() == users.count()
+    assert shared_dir(spark) in m.inputFiles()[0]
