@@ -7,6 +7,7 @@ twin of each key.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..schemas import RAW_ORDERS
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources.export import write_segments
-from ..sources.readers import read_csv_table
+from ..sources.readers import load_tables
 from . import params as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,11 +123,11 @@ def _q(build: Callable[[Inputs], DataFrame]) -> Query:
 # --- queries with side effects (files round trip) -------------------------
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order export written as CSV to the shared folder and read back by
-    explicit schema (S1–S3)."""
-    path = scratch_path(spark, "csv_roundtrip")
+    """Order export written as CSV to the shared folder and read back through
+    the manifest loader by explicit schema (S1–S3)."""
+    path = os.path.join(scratch_path(spark, "csv_roundtrip"), "orders_export.csv")
     Inputs(spark, sf_dir).raw("raw_orders").write.option("header", True).csv(path)
-    return read_csv_table(spark, path, RAW_ORDERS)
+    return load_tables(spark, {path: RAW_ORDERS}, register_views=False)["orders_export"]
 
 
 def segment_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
