@@ -46,7 +46,11 @@ def checkout_payment_screen(
         F.col("date").alias("date_registration"), "email", "phone", "origin", "customer_id"
     )
     u = slice_rows(u, {"origin": origin}, "date_registration", start, end)
-    screen = payment_screen_table(sheet)
+    # The sheet repeats (e-mail, day) for every visit; the report keeps one
+    # row per e-mail, so repeats only multiply join rows. Distinct first
+    # (partial aggregation), so a customer with k orders in a day meets k
+    # order rows, not k² pairs.
+    screen = payment_screen_table(sheet).distinct()
     su = u.join(screen, "email", "inner")
     # The reference matches the order timestamp against the screen day at
     # midnight; orders later in the day therefore do not match.
