@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def by_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -24,3 +25,14 @@ def by_count_desc(df: DataFrame, count_col: str, *tie: str) -> DataFrame:
 def by_total_asc(df: DataFrame, total_col: str, *tie: str) -> DataFrame:
     """Bars by ascending total (O3)."""
     return df.orderBy(F.col(total_col).asc(), *tie)
+
+
+def decimals_as_double(df: DataFrame) -> DataFrame:
+    """Money columns as DOUBLE for a report table (exact DECIMAL sums are
+    done upstream; a consumer reading through pandas gets floats either way)."""
+    return df.select(
+        *[
+            F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )

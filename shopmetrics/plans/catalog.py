@@ -146,16 +146,17 @@ def queries() -> dict[str, Query]:
         # sources and cleaning
         "csv_roundtrip": csv_roundtrip,
         "clean_orders": _q(lambda i: i.orders),
-        "clean_ltv": _q(lambda i: i.ltv),
+        "clean_ltv": _q(lambda i: op.decimals_as_double(i.ltv)),
         "clean_users": _q(lambda i: i.users),
         "external_orders": _q(lambda i: op.external_orders(i.orders)),
         "payment_screen_view": _q(lambda i: op.payment_screen_view(i.orders)),
         # slices
         "slice_orders": _q(lambda i: op.slice_rows(
             i.orders, {"origin": "Local", "business_cat": "Alimentation"}, "date", P.SLICE_START, P.SLICE_END)),
-        "slice_ltv": _q(lambda i: op.slice_rows(
-            i.ltv, {"origin": "Diaspora", "business_cat": "Shopping"}, "date", P.SLICE_START, P.SLICE_END)),
-        "slice_summary": _q(lambda i: op.slice_rows(i.ltv, {"origin": "Local"}, "date", P.SLICE_START, P.SLICE_END)),
+        "slice_ltv": _q(lambda i: op.decimals_as_double(op.slice_rows(
+            i.ltv, {"origin": "Diaspora", "business_cat": "Shopping"}, "date", P.SLICE_START, P.SLICE_END))),
+        "slice_summary": _q(lambda i: op.decimals_as_double(op.slice_rows(
+            i.ltv, {"origin": "Local"}, "date", P.SLICE_START, P.SLICE_END))),
         "slice_users": _q(lambda i: op.slice_rows(
             i.users, {"origin": "Local", "customer_country": P.USERS_COUNTRY}, "date", P.USERS_START, P.USERS_END)),
         "slice_by_status": _q(lambda i: op.slice_rows(

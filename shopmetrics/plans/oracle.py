@@ -379,17 +379,25 @@ WHERE bucket IS NOT NULL
 
 # --- query bodies ------------------------------------------------------------
 
+_MONEY_AS_DOUBLE = ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}"
+    for c in ("total_amount_dzd", "eur_rate", "total_amount_eur", "margin_dzd", "margin_eur")
+)
+
 
 BODIES: dict[str, str] = {
     "csv_roundtrip": "SELECT * FROM raw_orders",
     "clean_orders": "SELECT * FROM orders_clean",
-    "clean_ltv": "SELECT * FROM ltv_clean",
+    "clean_ltv": "SELECT * REPLACE (" + _MONEY_AS_DOUBLE + ") FROM ltv_clean",
     "clean_users": "SELECT * FROM users_clean",
     "external_orders": "SELECT * FROM orders_clean WHERE order_type = 'EXTERNE'",
     "payment_screen_view": "SELECT date, business_cat, order_id, status, customer_email AS email FROM orders_clean",
     "slice_orders": f"SELECT * FROM orders_clean WHERE origin = 'Local' AND business_cat = 'Alimentation' AND {_SLICE98}",
-    "slice_ltv": f"SELECT * FROM ltv_clean WHERE origin = 'Diaspora' AND business_cat = 'Shopping' AND {_SLICE98}",
-    "slice_summary": f"SELECT * FROM ltv_clean WHERE origin = 'Local' AND {_SLICE98}",
+    "slice_ltv": (
+        f"SELECT * REPLACE ({_MONEY_AS_DOUBLE}) FROM ltv_clean "
+        f"WHERE origin = 'Diaspora' AND business_cat = 'Shopping' AND {_SLICE98}"
+    ),
+    "slice_summary": f"SELECT * REPLACE ({_MONEY_AS_DOUBLE}) FROM ltv_clean WHERE origin = 'Local' AND {_SLICE98}",
     "slice_users": (
         f"SELECT * FROM users_clean WHERE origin = 'Local' AND customer_country = '{P.USERS_COUNTRY}' "
         f"AND date >= {_d(P.USERS_START)} AND date <= {_d(P.USERS_END)}"
