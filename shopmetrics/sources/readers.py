@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import time
+import weakref
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -21,8 +22,10 @@ from pyspark.sql import types as T
 # Opened tables per session and path, with the time they were opened. Only
 # the file listing and schema are kept (no rows); like the reference's
 # 600-second load cache, a table is re-listed once it is older than the TTL.
+# Keyed by the session object itself (weakly), so a later session never
+# receives a DataFrame of a stopped one.
 TABLE_TTL_SECONDS = 600.0
-_opened: dict[tuple[int, str], tuple[float, DataFrame]] = {}
+_opened: "weakref.WeakKeyDictionary[SparkSession, dict[str, tuple[float, DataFrame]]]" = weakref.WeakKeyDictionary()
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str, ttl: float | None = None) -> DataFrame:
@@ -33,13 +36,13 @@ def read_table(spark: SparkSession, base_dir: str, name: str, ttl: float | None
     """
     path = os.path.join(base_dir, f"{name}.parquet")
     ttl = TABLE_TTL_SECONDS if ttl is None else ttl
-    key = (id(spark), path)
+    per_session = _opened.setdefault(spark, {})
     now = time.monotonic()
-    hit = _opened.get(key)
+    hit = per_session.get(path)
     if hit is not None and now - hit[0] < ttl:
         return hit[1]
     df = spark.read.parquet(path)
-    _opened[key] = (now, df)
+    per_session[path] = (now, df)
     return df
 
 
