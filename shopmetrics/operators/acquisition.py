@@ -97,26 +97,43 @@ def first_open_signups(
     return keep_first(sl, ["email"], user_order)
 
 
-def signup_orders(orders: DataFrame, signups: DataFrame, since=None) -> DataFrame:
-    """Orders of the new sign-ups since a date, with a two-value status (R14: F12, J2, P14)."""
+def _order_rows(orders: DataFrame, since=None) -> DataFrame:
     o = orders if since is None else since_filter(orders, since)
-    o = o.select(
+    return o.select(
         "date", "customer_id", "order_id", "status",
         F.col("origin").alias("orders_origin"), "business_cat", "total_amount_dzd",
-    )
+    ).withColumn("new_status", fold_status("status"))
+
+
+def signup_orders(orders: DataFrame, signups: DataFrame, since=None) -> DataFrame:
+    """Orders of the new sign-ups since a date, with a two-value status (R14: F12, J2, P14)."""
     s = signups.withColumnRenamed("date", "registration_date")
-    return o.join(s, "customer_id", "inner").withColumn("new_status", fold_status("status"))
+    return _order_rows(orders, since).join(s, "customer_id", "inner")
 
 
-def signup_flags(sorders: DataFrame, category=None, order_by: Sequence[str] = ORDER_ORDER) -> DataFrame:
-    """One row per ordering customer: their first order row (by
-    ``order_by``, within the category) and whether any of those rows is
+def signup_flags(
+    orders: DataFrame,
+    signups: DataFrame,
+    since=None,
+    category=None,
+    order_by: Sequence[str] = ORDER_ORDER,
+) -> DataFrame:
+    """One row per sign-up who ordered: their first order row since ``since``
+    (by ``order_by``, within the category), whether any of those orders is
     completed (T17: "purchased" tests the first row, "reached checkout"
-    tests all rows)."""
-    rows = sorders if category is None else sorders.filter(F.col("business_cat") == category)
+    tests all rows), and their sign-up columns.
+
+    The orders are reduced per customer *before* meeting the sign-ups: a
+    join on the customer followed by a per-customer aggregate would reuse
+    the join's partitioning and send a heavy customer's rows to one task
+    with no partial aggregation; reduced first, the join is one row to one.
+    """
+    rows = _order_rows(orders, since)
+    if category is not None:
+        rows = rows.filter(F.col("business_cat") == category)
     rows = rows.filter(F.col("customer_id").isNotNull())
     rest = [c for c in rows.columns if c != "customer_id"]
-    return (
+    first = (
         rows.groupBy("customer_id")
         .agg(
             F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first"),
@@ -125,6 +142,7 @@ def signup_flags(sorders: DataFrame, category=None, order_by: Sequence[str] = OR
         .select("customer_id", *[F.col(f"_first.{c}").alias(c) for c in rest],
                 (F.col("_any_completed") == 1).alias("any_completed"))
     )
+    return first.join(distinct_signups(signups).withColumnRenamed("date", "registration_date"), "customer_id")
 
 
 def distinct_signups(signups: DataFrame, order_by: Sequence[str] = SIGNUP_ORDER) -> DataFrame:

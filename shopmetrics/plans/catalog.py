@@ -88,7 +88,7 @@ class Inputs:
         return self._get("signup_orders", lambda: op.signup_orders(self.orders, self.signups, P.FUNNEL_SINCE))
 
     def flags(self, category=None) -> DataFrame:
-        return self._get(("flags", category), lambda: op.signup_flags(self.signup_orders, category))
+        return self._get(("flags", category), lambda: op.signup_flags(self.orders, self.signups, P.FUNNEL_SINCE, category))
 
     def segments(self) -> dict[str, DataFrame]:
         return self._get("segments", lambda: op.funnel_segments(self.signups, self.flags()))
@@ -106,7 +106,7 @@ class Inputs:
         """The funnel of one origin: sign-ups, downloads and first-open rows
         are all sliced by it, as the acquisition page's filter does."""
         signups = op.new_signups(self.users, origin, None, P.USERS_START, P.USERS_END)
-        flags = op.signup_flags(op.signup_orders(self.orders, signups, P.FUNNEL_SINCE))
+        flags = op.signup_flags(self.orders, signups, P.FUNNEL_SINCE)
         dl = op.downloads_slice(self.raw("raw_downloads"), origin, P.USERS_START, P.USERS_END)
         fo = op.first_open_signups(self.users, self.raw("raw_first_open"), origin, P.USERS_START, P.USERS_END)
         return op.funnel_metrics(dl, signups, fo, flags)

@@ -58,7 +58,7 @@ def reports(tables: dict[str, DataFrame], p: ReportParams, materialize_inputs: b
     summary = op.category_ltv_summary(cat_ltv)
     communes = op.customers_by_commune(tables["geo"])
     signups = op.new_signups(users, p.origin, p.country, p.start, p.end)
-    flags = op.signup_flags(op.signup_orders(orders, signups, p.since), p.category)
+    flags = op.signup_flags(orders, signups, p.since, p.category)
     out = {
         "cohort_counts": counts,
         "cohort_matrix": op.cohort_matrix(counts, p.periods),

@@ -269,8 +269,7 @@ def test_funnel_segments_and_invariants(spark):
         order_row("4", "c", d, status="In_Progress"),                     # checkout abandoned
         order_row("5", "d", d, status=None),                              # ordered, not purchased
     ]
-    so = op.signup_orders(orders_df(spark, rows), users, dt.date(2001, 1, 1))
-    flags = op.signup_flags(so)
+    flags = op.signup_flags(orders_df(spark, rows), users, dt.date(2001, 1, 1))
     seg = {k: sorted(r.customer_id for r in v.collect()) for k, v in op.funnel_segments(users, flags).items()}
     assert seg == {
         "ordered": ["a", "b", "c", "d"], "not_ordered": ["e"], "completed": ["a"],
