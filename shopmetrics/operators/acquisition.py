@@ -87,14 +87,17 @@ def first_open_signups(
     """Sign-ups that also appear in the first-open sheets (R13: S6, D1, J1).
 
     Sheets are deduplicated by e-mail keeping the first row (sheet order,
-    then row order), joined to the users on e-mail, sliced by the users'
-    origin and registration date, and deduplicated by e-mail again.
+    then row order); users are sliced by origin and registration date and
+    deduplicated by e-mail keeping the first; the two join one row to one.
+    (The reference joined first and deduplicated after; the slice is on user
+    columns and every user row of an e-mail meets the same sheet row, so the
+    result is the same, while a shared e-mail can no longer gather its rows
+    in one task.)
     """
     fo = keep_first(first_open.select("email", "first_open_date", *sheet_order), ["email"], sheet_order)
     info = users.select("date", "email", "phone", "origin", "customer_id")
-    j = info.join(fo.select("email", "first_open_date"), "email", "inner")
-    sl = slice_rows(j, {"origin": origin}, "date", start, end)
-    return keep_first(sl, ["email"], user_order)
+    info = keep_first(slice_rows(info, {"origin": origin}, "date", start, end), ["email"], user_order)
+    return info.join(fo.select("email", "first_open_date"), "email", "inner")
 
 
 def _order_rows(orders: DataFrame, since=None) -> DataFrame:

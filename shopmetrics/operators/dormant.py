@@ -46,6 +46,10 @@ def checkout_payment_screen(
         F.col("date").alias("date_registration"), "email", "phone", "origin", "customer_id"
     )
     u = slice_rows(u, {"origin": origin}, "date_registration", start, end)
+    # Users sharing an e-mail meet the same screen days and orders, and the
+    # last row per e-mail wins; keeping the last user per e-mail first avoids
+    # k users × d days pairs for a shared address.
+    u = keep_last(u, ["email"], ["date_registration", "customer_id"])
     # The sheet repeats (e-mail, day) for every visit; the report keeps one
     # row per e-mail, so repeats only multiply join rows. Distinct first
     # (partial aggregation), so a customer with k orders in a day meets k
