@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..vocab import COMPLETED, NOT_COMPLETED
 
@@ -39,6 +40,27 @@ def in_or_all(c, values) -> Column:
     return _col(c).isin(vals)
 
 
+def id_text(df: DataFrame, column: str) -> Column:
+    """An id column as text whatever its stored type.
+
+    Floating ids go through DECIMAL(38,0) first: cast straight to text, a
+    large double prints in scientific notation (``1.23456789012E11``).
+    Text ids pass through (a ``.0`` suffix is removed by ``strip_float_suffix``).
+    """
+    dtype = df.schema[column].dataType
+    col = F.col(column)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return col.cast("decimal(38,0)").cast("string")
+    return col.cast("string")
+
+
+def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> None:
+    """Fail early, naming every missing column of an input table."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks column(s): {', '.join(missing)}")
+
+
 def strip_float_suffix(c) -> Column:
     """Drop a trailing ``.0`` that float-typed id columns leave in text."""
     return F.regexp_replace(_col(c), r"\.0$", "")

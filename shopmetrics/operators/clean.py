@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import (
     exclude_ids,
+    id_text,
     not_in_null_safe,
+    require_columns,
     strip_float_suffix,
     strip_list_marks,
 )
@@ -23,6 +25,19 @@ DEFAULT_CATEGORY_MAP = CATEGORY_MAP
 DEFAULT_LTV_CATEGORIES = LTV_CATEGORIES
 DROPPED_STATUSES = (ABANDONED,)
 
+ORDER_EXPORT_COLUMNS = (
+    "order_id", "customer_id", "date", "job_status", "customer_origine", "paymentType", "Order Type",
+    "businessCat", "Occurence", "previous_order_date", "returning_customer", "customer_username",
+    "customer_phone", "customer_email", "total_amount_dzd",
+)
+LTV_EXPORT_COLUMNS = (
+    "order_id", "customer_id", "job_status", "businessCat", "customer_origine", "date",
+    "total_amount_dzd", "EUR", "marge_dzd", "marge_eur",
+)
+USER_EXPORT_COLUMNS = (
+    "customer_id", "date", "email", "phone", "firstName", "lastName", "customer_country", "Origine", "tags",
+)
+
 
 def remap_values(c: str, mapping: Mapping[str, str]):
     """Exact value replacement; other values (and NULL) pass through."""
@@ -66,12 +81,13 @@ def clean_orders(
     (T3). ``null_id_text="nan"`` reproduces the reference instead, where
     every missing id became the same text and so one customer.
     """
+    require_columns(raw, ORDER_EXPORT_COLUMNS, "order export")
     cmap = DEFAULT_CATEGORY_MAP if category_map is None else category_map
-    cid = strip_float_suffix(F.col("customer_id").cast("string"))
+    cid = strip_float_suffix(id_text(raw, "customer_id"))
     if null_id_text is not None:
         cid = F.coalesce(cid, F.lit(null_id_text))
     df = (
-        raw.withColumn("order_id", F.col("order_id").cast("string"))
+        raw.withColumn("order_id", id_text(raw, "order_id"))
         .withColumn("customer_id", cid)
         .withColumnRenamed("job_status", "status")
         .filter(not_in_null_safe("status", drop_status))
@@ -113,11 +129,12 @@ def clean_ltv(
     Money stays exact DECIMAL here; reports sum it exactly and convert to
     DOUBLE once, so totals do not depend on summation order.
     """
+    require_columns(raw, LTV_EXPORT_COLUMNS, "LTV export")
     df = (
         raw.withColumn("total_amount_eur", F.col("total_amount_dzd") * F.col("EUR"))
         .filter(F.col("businessCat").isin(list(categories)))
-        .withColumn("order_id", F.col("order_id").cast("string"))
-        .withColumn("customer_id", strip_float_suffix(F.col("customer_id").cast("string")))
+        .withColumn("order_id", id_text(raw, "order_id"))
+        .withColumn("customer_id", strip_float_suffix(id_text(raw, "customer_id")))
         .filter(not_in_null_safe("job_status", drop_status))
     )
     df = exclude_ids(df, "order_id", excluded_orders)
@@ -139,8 +156,9 @@ def clean_ltv(
 
 def clean_users(raw: DataFrame, excluded_customers=()) -> DataFrame:
     """User table → cleaned users (R20: P3–P6, F3)."""
+    require_columns(raw, USER_EXPORT_COLUMNS, "user table")
     df = (
-        raw.withColumn("customer_id", strip_float_suffix(F.col("customer_id").cast("string")))
+        raw.withColumn("customer_id", strip_float_suffix(id_text(raw, "customer_id")))
         .withColumn("tags", strip_list_marks("tags"))
     )
     df = exclude_ids(df, "customer_id", excluded_customers)

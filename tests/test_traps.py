@@ -332,3 +332,15 @@ def test_ltv_equals_gmv_on_fixture_data(spark, small_dir):
     rows = op.customer_ltv(Inputs(spark, small_dir).ltv).select("gmv_dzd", "ltv_gmv_dzd", "lifetime_months").collect()
     assert rows and all(r.lifetime_months > 0 for r in rows)
     assert all(abs(r.ltv_gmv_dzd - r.gmv_dzd) <= 1e-9 * max(1.0, abs(r.gmv_dzd)) for r in rows)
+
+
+def test_float_ids_keep_all_digits_and_missing_columns_fail(spark):
+    import pytest
+
+    from shopmetrics.schemas import RAW_USERS
+
+    rows = [("x", dt.date(2000, 1, 1), "e", "p", "f", "l", "N", "Local", "['A']")]
+    users = spark.createDataFrame(rows, RAW_USERS).withColumn("customer_id", F.lit(123456789012.0))
+    assert [r.customer_id for r in op.clean_users(users).collect()] == ["123456789012"]
+    with pytest.raises(ValueError, match="lacks column"):
+        op.clean_users(users.drop("tags"))
