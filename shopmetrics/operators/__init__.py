@@ -20,6 +20,7 @@ from .cohort import (
     retention,
     retention_matrix,
     retention_text,
+    retention_text_matrix,
 )
 from .dedupe import distinct_ids, keep_first, keep_last
 from .dormant import checkout_payment_screen, payment_screen_table

@@ -99,6 +99,18 @@ def retention_text(counts: DataFrame) -> DataFrame:
     )
 
 
+def retention_text_matrix(counts: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+    """The heat map's text grid: ``yyyy-MM`` cohort rows, ``pct_<k>`` columns
+    with two-decimal percentages and '' where a cell is empty (X10, X20)."""
+    text = retention_text(counts).select(
+        "cohort_label", F.col("period_label").cast("int").alias("period_number"), "pct_text"
+    )
+    wide = text.groupBy("cohort_label").pivot("period_number", list(periods)).agg(F.max("pct_text"))
+    return wide.select(
+        "cohort_label", *[F.coalesce(F.col(str(p)), F.lit("")).alias(f"pct_{p}") for p in periods]
+    )
+
+
 def churn_deltas(counts: DataFrame) -> DataFrame:
     """Change in customers against the previous *present* period column.
 

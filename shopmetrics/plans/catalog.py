@@ -172,6 +172,7 @@ def queries() -> dict[str, Query]:
         "retention": _q(lambda i: op.retention(i.counts())),
         "retention_matrix": _q(lambda i: op.retention_matrix(i.counts(), P.COHORT_PERIODS)),
         "retention_text": _q(lambda i: op.retention_text(i.counts())),
+        "retention_text_matrix": _q(lambda i: op.retention_text_matrix(i.counts(), P.COHORT_PERIODS)),
         "churn_deltas": _q(lambda i: op.churn_deltas(i.counts())),
         # lifetime value
         "customer_ltv": _q(lambda i: op.customer_ltv(i.ltv, None, None, P.SLICE_START, P.SLICE_END)),

@@ -430,6 +430,13 @@ BODIES: dict[str, str] = {
         f"concat({_fixed2(_half_even('n_customers', 'cohort_size', 4))}, '%') AS hover_text, "
         "CAST(n_customers AS VARCHAR) AS count_text FROM retention_std"
     ),
+    "retention_text_matrix": "SELECT strftime(cohort, '%Y-%m') AS cohort_label, "
+    + ", ".join(
+        f"coalesce(max(CASE WHEN period_number = {p} THEN {_fixed2(_half_even('n_customers', 'cohort_size', 4))} END), '') "
+        f"AS pct_{p}"
+        for p in P.COHORT_PERIODS
+    )
+    + " FROM retention_std GROUP BY 1",
     "churn_deltas": """
 SELECT c.cohort, c.period_number, concat('Churn_', CAST(c.period_number AS VARCHAR)) AS churn_label,
   CAST(CASE WHEN p.prev_period IS NULL THEN c.n_customers ELSE c.n_customers - b.n_customers END AS BIGINT) AS churn
