@@ -52,3 +52,34 @@ def test_keep_first_and_last_match_pandas(spark, data):
     norm = lambda xs: [(None if isinstance(k, float) else k, d, i) for k, d, i in xs]
     assert norm(got_first) == norm(want_first)
     assert norm(got_last) == norm(want_last)
+
+
+cells = st.lists(
+    st.tuples(st.integers(0, 5), st.integers(1, 8), st.integers(1, 50)),  # (cohort month, period, n)
+    min_size=1,
+    max_size=40,
+    unique_by=lambda c: (c[0], c[1]),
+)
+
+
+@SETTINGS
+@given(cells)
+def test_churn_matches_adjacent_pivot_columns(spark, data):
+    # every cohort has its period-0 cell, as real cohorts do
+    rows = {(c, 0): 100 + c for c, _, _ in data}
+    rows.update({(c, p): n for c, p, n in data})
+    cohorts = [(dt.date(1998, 1 + c, 1), p, n) for (c, p), n in rows.items()]
+    df = spark.createDataFrame(cohorts, "cohort date, period_number int, n_customers long")
+    got = {(r.cohort, r.period_number): r.churn for r in op.churn_deltas(df).collect()}
+
+    grid = pd.DataFrame(cohorts, columns=["cohort", "period", "n"]).pivot(index="cohort", columns="period", values="n")
+    grid = grid.reindex(sorted(grid.columns), axis=1)
+    values = grid.to_numpy(dtype=float)
+    delta = values.copy()
+    delta[:, 1:] = values[:, 1:] - values[:, :-1]
+    want = {}
+    for i, cohort in enumerate(grid.index):
+        for j, period in enumerate(grid.columns):
+            if not pd.isna(values[i, j]):
+                want[(cohort, int(period))] = None if pd.isna(delta[i, j]) else int(delta[i, j])
+    assert got == want
