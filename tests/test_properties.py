@@ -83,3 +83,45 @@ def test_churn_matches_adjacent_pivot_columns(spark, data):
             if not pd.isna(values[i, j]):
                 want[(cohort, int(period))] = None if pd.isna(delta[i, j]) else int(delta[i, j])
     assert got == want
+
+
+orders_st = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", "c", "d", None]),                 # customer
+        st.integers(0, 700),                                          # day offset from 1997-07-01
+        st.sampled_from(["COMPLETED", "COMPLETED", "In_Progress", None]),
+    ),
+    min_size=1,
+    max_size=60,
+)
+
+
+@SETTINGS
+@given(orders_st)
+def test_cohorts_and_retention_match_pandas(spark, data):
+    from shopmetrics.schemas import ORDERS
+
+    base = dt.datetime(1997, 7, 1, 9)
+    rows = [
+        (base + dt.timedelta(days=d), s, "Local", "CARD", str(i), "INTERNE", "Airtime", c, 1, None, False,
+         "u", "p", "e", 1.0)
+        for i, (c, d, s) in enumerate(data)
+    ]
+    orders = spark.createDataFrame(rows, ORDERS)
+    start, end = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
+    counts = op.cohort_counts(orders, start=start, end=end)
+    got = {(r.cohort, r.period_number): r.n_customers for r in counts.collect()}
+    rates = {(r.cohort, r.period_number): r.retention_rate for r in op.retention(counts).collect()}
+
+    pdf = pd.DataFrame([(r[7], r[0], r[1]) for r in rows], columns=["cust", "ts", "status"])
+    sel = pdf[(pdf.ts >= pd.Timestamp(start)) & (pdf.ts <= pd.Timestamp(end))
+              & (pdf.status == "COMPLETED") & pdf.cust.notna()].copy()
+    sel["month"] = sel.ts.dt.to_period("M")
+    sel["cohort"] = sel.groupby("cust")["month"].transform("min")
+    n = sel.groupby(["cohort", "month"])["cust"].nunique()
+    want = {
+        (c.to_timestamp().date(), (m.year - c.year) * 12 + m.month - c.month): int(v) for (c, m), v in n.items()
+    }
+    assert got == want
+    for (c, p), v in want.items():
+        assert rates[(c, p)] == v / want[(c, 0)]
