@@ -125,3 +125,52 @@ def test_cohorts_and_retention_match_pandas(spark, data):
     assert got == want
     for (c, p), v in want.items():
         assert rates[(c, p)] == v / want[(c, 0)]
+
+
+funnel_orders = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", "c", "d", "e", "f"]),
+        st.integers(0, 30),
+        st.sampled_from(["COMPLETED", "In_Progress", "CANCELED", None]),
+    ),
+    min_size=0,
+    max_size=40,
+)
+
+
+@SETTINGS
+@given(funnel_orders)
+def test_funnel_segments_match_pandas(spark, data):
+    from shopmetrics.schemas import ORDERS
+
+    base = dt.datetime(2001, 1, 1)
+    rows = [
+        (base + dt.timedelta(days=d), s, "Local", "CARD", f"{i:03d}", "INTERNE", "Airtime", c, 1, None, False,
+         "u", "p", "e", 1.0)
+        for i, (c, d, s) in enumerate(data)
+    ]
+    orders = spark.createDataFrame(rows, ORDERS)
+    users = spark.createDataFrame(
+        [(dt.date(2000, 1, 1), c, "L", "F", "p", f"{c}@x", "N", "Local") for c in "abcdeg"],
+        "date date, customer_id string, last_name string, first_name string, phone string, email string, "
+        "customer_country string, origin string",
+    )
+    flags = op.signup_flags(orders, users, dt.date(2001, 1, 1))
+    got = {k: sorted(r.customer_id for r in v.collect()) for k, v in op.funnel_segments(users, flags).items()}
+
+    so = pd.DataFrame([(r[7], r[0], r[4], r[1]) for r in rows], columns=["cust", "date", "order_id", "status"])
+    so = so[so.cust.isin(list("abcdeg"))].sort_values(["date", "order_id"])
+    done = so.status == "COMPLETED"
+    first = so.drop_duplicates("cust", keep="first")
+    first_done = first[first.status == "COMPLETED"]
+    ever_done = set(so[done].cust)
+    in_prog = first[first.status == "In_Progress"]
+    want = {
+        "ordered": sorted(first.cust),
+        "not_ordered": sorted(set("abcdeg") - set(first.cust)),
+        "completed": sorted(first_done.cust),
+        "in_progress": sorted(in_prog.cust),
+        "checkout_abandoned": sorted(c for c in in_prog.cust if c not in ever_done),
+        "not_completed": sorted(c for c in first.cust if c not in set(first_done.cust)),
+    }
+    assert got == want
