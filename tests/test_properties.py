@@ -174,3 +174,40 @@ def test_funnel_segments_match_pandas(spark, data):
         "not_completed": sorted(c for c in first.cust if c not in set(first_done.cust)),
     }
     assert got == want
+
+
+ltv_rows = st.lists(
+    st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 10**7), st.integers(1, 10**6)),
+    min_size=1,
+    max_size=30,
+)
+
+
+@SETTINGS
+@given(ltv_rows)
+def test_customer_ltv_matches_pandas(spark, data):
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    base = dt.datetime(2000, 1, 1)
+    rows = [(str(i), c, base + dt.timedelta(seconds=s), Decimal(cents) / 100) for i, (c, s, cents) in enumerate(data)]
+    df = spark.createDataFrame(rows, "order_id string, customer_id string, date timestamp_ntz, total_amount_dzd decimal(18,2)")
+    df = df.select(
+        "*", F.lit("COMPLETED").alias("status"), F.lit("Airtime").alias("business_cat"), F.lit("Local").alias("origin"),
+        F.col("total_amount_dzd").alias("total_amount_eur"), F.col("total_amount_dzd").alias("margin_dzd"),
+        F.col("total_amount_dzd").alias("margin_eur"),
+    )
+    got = {r.customer_id: r for r in op.customer_ltv(df).collect()}
+
+    pdf = pd.DataFrame(rows, columns=["order_id", "cust", "date", "amount"])
+    want = {}
+    for cust, g in pdf.groupby("cust"):
+        months = (g.date.max() - g.date.min()).days / 30
+        if months > 0:
+            want[cust] = (len(g), float(sum(g.amount)), months)
+    assert set(got) == set(want)
+    for cust, (n, gmv, months) in want.items():
+        r = got[cust]
+        assert (r.n_orders, r.gmv_dzd, r.lifetime_months) == (n, gmv, months)
+        assert abs(r.ltv_gmv_dzd - gmv) <= 1e-9 * max(1.0, gmv)
