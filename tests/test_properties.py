@@ -211,3 +211,56 @@ def test_customer_ltv_matches_pandas(spark, data):
         r = got[cust]
         assert (r.n_orders, r.gmv_dzd, r.lifetime_months) == (n, gmv, months)
         assert abs(r.ltv_gmv_dzd - gmv) <= 1e-9 * max(1.0, gmv)
+
+
+geo_rows = st.lists(
+    st.tuples(
+        st.sampled_from(["X", "Y", "Z", None]),
+        st.sampled_from(["W1", "W2", None]),
+        st.one_of(st.none(), st.integers(0, 100)),
+        st.one_of(st.none(), st.integers(0, 100)),
+    ),
+    min_size=1,
+    max_size=40,
+)
+
+
+@SETTINGS
+@given(geo_rows)
+def test_communes_match_pandas_first_values(spark, data):
+    rows = [(i, c, w, None if la is None else la / 4, None if lo is None else lo / 8) for i, (c, w, la, lo) in enumerate(data)]
+    geo = spark.createDataFrame(rows, "row_key long, commune string, wilaya string, Latitude double, Longitude double")
+    got = {r.commune: tuple(r)[1:] for r in op.customers_by_commune(geo).select(
+        "commune", "n_customers", "latitude", "longitude", "wilaya").collect()}
+
+    pdf = pd.DataFrame(rows, columns=["row_key", "commune", "wilaya", "lat", "lon"]).sort_values("row_key")
+    pdf = pdf[pdf.commune.notna()]
+    want = {}
+    for c, g in pdf.groupby("commune"):
+        lat = g.lat.dropna()
+        lon = g.lon.dropna()
+        want[c] = (len(g), None if lat.empty else float(lat.iloc[0]), None if lon.empty else float(lon.iloc[0]),
+                   g.wilaya.iloc[0] if isinstance(g.wilaya.iloc[0], str) else None)
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(-3, 200), st.sampled_from(["In_Progress", "CANCELED", None])), min_size=1, max_size=30))
+def test_non_buyer_buckets_match_day_ranges(spark, data):
+    from shopmetrics.schemas import ORDERS
+    from shopmetrics.vocab import NON_BUYER_BUCKETS
+
+    as_of = dt.datetime(2001, 9, 1, 12, 0)
+    rows = [
+        (as_of - dt.timedelta(days=d, hours=1), s, "Local", "CARD", str(i), "INTERNE", "Airtime", f"c{i}", 1, None,
+         False, "u", "p", "e", 1.0)
+        for i, (d, s) in enumerate(data)
+    ]
+    got = {r.customer_id: (r.bucket, r.days_since) for r in op.non_buyer_buckets(spark.createDataFrame(rows, ORDERS), as_of).collect()}
+    want = {}
+    for i, (d, _) in enumerate(data):
+        days = ((as_of - rows[i][0]).total_seconds() // 86400)
+        for label, (lo, hi) in NON_BUYER_BUCKETS.items():
+            if (lo is None or days >= lo) and (hi is None or days <= hi):
+                want[f"c{i}"] = (label, int(days))
+    assert got == want
