@@ -264,3 +264,42 @@ def test_non_buyer_buckets_match_day_ranges(spark, data):
             if (lo is None or days >= lo) and (hi is None or days <= hi):
                 want[f"c{i}"] = (label, int(days))
     assert got == want
+
+
+buyer_rows = st.lists(
+    st.tuples(
+        st.sampled_from(["a", "b", "c"]),
+        st.integers(0, 60),
+        st.one_of(st.none(), st.integers(0, 200)),
+        st.sampled_from(["COMPLETED", "In_Progress", None]),
+        st.sampled_from(["Local", "Diaspora"]),
+        st.sampled_from(["Airtime", "Shopping"]),
+    ),
+    min_size=1,
+    max_size=40,
+)
+
+
+@SETTINGS
+@given(buyer_rows, st.sampled_from([7, 30, 120, "over_120"]))
+def test_retarget_buyers_match_pandas(spark, data, days):
+    from shopmetrics.schemas import ORDERS
+
+    as_of = dt.datetime(2001, 9, 1, 12, 0)
+    rows = [
+        (as_of - dt.timedelta(days=d), s, o, "CARD", f"{i:03d}", "INTERNE", cat, c, 1,
+         None if p is None else as_of - dt.timedelta(days=p, hours=3), False, "u", "p", "e", 1.0)
+        for i, (c, d, p, s, o, cat) in enumerate(data)
+    ]
+    got = sorted(
+        (r.customer_id, r.date) for r in op.retarget_buyers(spark.createDataFrame(rows, ORDERS), days, as_of,
+                                                            ["Local"], ["Airtime"]).collect()
+    )
+    pdf = pd.DataFrame([(r[7], r[0], r[4], r[1], r[2], r[6], r[9]) for r in rows],
+                       columns=["cust", "date", "order_id", "status", "origin", "cat", "prev"])
+    pdf["prev"] = pd.to_datetime(pdf.prev)
+    age = (pd.Timestamp(as_of) - pdf.prev).dt.days
+    keep = (pdf.status == "COMPLETED") & (age > 120 if days == "over_120" else age <= days) & pdf.prev.notna()
+    sel = pdf[keep & (pdf.origin == "Local") & (pdf.cat == "Airtime")].sort_values(["date", "order_id"])
+    want = sorted((r.cust, r.date.to_pydatetime()) for r in sel.drop_duplicates("cust", keep="last").itertuples())
+    assert got == want
