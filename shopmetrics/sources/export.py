@@ -20,8 +20,11 @@ def _numeric_text(df: DataFrame, decimals: int) -> DataFrame:
     """Fractional columns as fixed-decimal text for spreadsheet-style output."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(F.format_string(f"%.{decimals}f", F.col(f.name)).alias(f.name))
+        elif isinstance(f.dataType, T.DecimalType):
+            # exact: round the decimal itself (format_string takes no DECIMAL)
+            cols.append(F.col(f.name).cast(f"decimal(38,{decimals})").cast("string").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

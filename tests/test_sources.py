@@ -171,3 +171,13 @@ def test_refresh_command_line_from_csv_exports(spark, small_dir, capsys):
     lines = capsys.readouterr().out.strip().splitlines()
     assert len(lines) == 15 and all("origin=Local" in ln for ln in lines)
     assert spark.read.parquet(dict(ln.split("\t") for ln in lines)["retention"]).count() > 0
+
+
+def test_write_report_formats_decimal_columns(spark):
+    d = _tmp()
+    df = spark.createDataFrame([("x", 1.235)], "name string, v double").selectExpr(
+        "name", "cast(v as decimal(18,4)) as d", "v"
+    )
+    write_report(df, os.path.join(d, "r"), "csv")
+    back = spark.read.option("header", True).csv(os.path.join(d, "r")).first().asDict()
+    assert back["name"] == "x" and back["d"] == "1.24" and back["v"] in ("1.24", "1.23")
