@@ -94,10 +94,11 @@ def first_open_signups(
     result is the same, while a shared e-mail can no longer gather its rows
     in one task.)
     """
-    fo = keep_first(first_open.select("email", "first_open_date", *sheet_order), ["email"], sheet_order)
+    carried = [c for c in first_open.columns if c not in ("email", *sheet_order)]
+    fo = keep_first(first_open.select("email", *carried, *sheet_order), ["email"], sheet_order)
     info = users.select("date", "email", "phone", "origin", "customer_id")
     info = keep_first(slice_rows(info, {"origin": origin}, "date", start, end), ["email"], user_order)
-    return info.join(fo.select("email", "first_open_date"), "email", "inner")
+    return info.join(fo.select("email", *carried), "email", "inner")
 
 
 def _order_rows(orders: DataFrame, since=None) -> DataFrame:

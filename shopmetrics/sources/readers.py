@@ -123,10 +123,17 @@ def read_text_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def union_sheets(frames: list[DataFrame], sheet_col: str = "sheet_no") -> DataFrame:
+def union_sheets(frames: list[DataFrame], sheet_col: str = "sheet_no", row_col: str | None = None) -> DataFrame:
     """Stack same-shaped sheets; ``sheet_col`` keeps which sheet a row came
-    from so that "keep first" stays defined after the union (S6, U1)."""
+    from so that "keep first" stays defined after the union (S6, U1).
+
+    With ``row_col``, each row also gets its position in its sheet: an id
+    taken right at the scan, which increases in file order (split index,
+    then row), so (sheet, row) orders rows as the sheets list them.
+    """
     if not frames:
         raise ValueError("union_sheets needs at least one sheet")
+    if row_col:
+        frames = [f.withColumn(row_col, F.monotonically_increasing_id()) for f in frames]
     tagged = [f.withColumn(sheet_col, F.lit(i).cast("long")) for i, f in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

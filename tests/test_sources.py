@@ -181,3 +181,22 @@ def test_write_report_formats_decimal_columns(spark):
     write_report(df, os.path.join(d, "r"), "csv")
     back = spark.read.option("header", True).csv(os.path.join(d, "r")).first().asDict()
     assert back["name"] == "x" and back["d"] == "1.24" and back["v"] in ("1.24", "1.23")
+
+
+def test_first_open_from_text_sheets_keeps_sheet_order(spark):
+    from shopmetrics import operators as op
+
+    d = _tmp()
+    sheets = []
+    for i, lines in enumerate([["b@x,2020", "a@x,2021"], ["a@x,2019", "c@x,2018"]]):
+        p = os.path.join(d, f"first_open_{i}.csv")
+        with open(p, "w") as f:
+            f.write("email,opened\n" + "".join(x + "\n" for x in lines))
+        sheets.append(read_text_sheet(spark, p))
+    fo = union_sheets(sheets, row_col="row_key")
+    users = spark.createDataFrame(
+        [(dt.date(2020, 1, 1), e, "p", "Local", c) for c, e in (("1", "a@x"), ("2", "b@x"), ("9", "z@x"))],
+        "date date, email string, phone string, origin string, customer_id string",
+    )
+    got = {r.email: r.opened for r in op.first_open_signups(users, fo).collect()}
+    assert got == {"a@x": "2021", "b@x": "2020"}  # a@x first appears in sheet 0
