@@ -344,3 +344,15 @@ def test_float_ids_keep_all_digits_and_missing_columns_fail(spark):
     assert [r.customer_id for r in op.clean_users(users).collect()] == ["123456789012"]
     with pytest.raises(ValueError, match="lacks column"):
         op.clean_users(users.drop("tags"))
+
+
+def test_default_range_and_choices(spark):
+    rows = [order_row("1", "a", dt.datetime(2023, 5, 6, 13)), order_row("2", None, dt.datetime(2023, 7, 1), origin=None)]
+    df = orders_df(spark, rows)
+    # 365 days before 2024-03-01 is 2023-03-02 (leap year) -> 1 January 2023
+    r = op.default_range(df, dt.datetime(2024, 3, 1)).first()
+    assert (r.start_date, r.end_date) == (dt.date(2023, 1, 1), dt.date(2023, 7, 1))
+    r = op.default_range(df, dt.date(2024, 1, 1)).first()
+    assert r.start_date == dt.date(2023, 1, 1)
+    got = sorted(((c.ord, c.value) for c in op.choices(df, "origin").collect()), key=str)
+    assert got == sorted([(0, "all"), (1, "Local"), (1, None)], key=str)
