@@ -2,10 +2,10 @@
 
 The rows of the incidence matrix are the distinct n-gram sets of the documents, its columns the n-grams
 (64-bit hashes). Sizes bound what can pass: two sets of at most u n-grams that reach the threshold differ in at most
-D(u) n-grams. The columns are therefore cut into D(u) + 1 hash blocks for each band of sizes; a pair that
+D(u) n-grams. The columns are therefore cut into a few more than D(u) hash blocks for each band of sizes; a pair that
 passes is equal in one block at least. So only pairs of rows that agree in a whole block are multiplied, and
 for these the overlaps are accumulated over all their n-grams. A single common n-gram, line or passage
-makes no pair. A block that is empty in both rows says nothing; it is cut again by another hash.
+makes no pair.
 
 Groups of rows that share a block are not expanded into all pairs: rows are first multiplied with one pivot of
 their group; after that only pairs of a group that are not connected yet are. No pair that could
@@ -28,58 +28,69 @@ from .wordhash import mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 2_000_000
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
-DEPTH = 3
 ALL_PAIRS = 4  # all unconnected pairs are multiplied once they are at most so many times the group rows
 ROUNDS = 8
-_SEEDS = [np.uint64(s) for s in (0, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD1342543DE82EF95)]
 
 
-def most_different(size: int, percent: int) -> int:
-    """In how many n-grams two sets of at most ``size`` differ at most if 100 * overlap >= percent * union."""
-    return 2 * size * (100 - percent) // (100 + percent)
+def most_different(sizes: int, percent: int) -> int:
+    """In how many n-grams two sets of ``sizes`` together differ at most if 100 * overlap >= percent * union."""
+    return sizes * (100 - percent) // (100 + percent)
 
 
-@lru_cache(maxsize=4096)
-def bands_of(size: int, percent: int) -> tuple[tuple[int, int], ...]:
-    """(band, blocks) that a set of this size takes part in: its own, and the next if a larger partner can be there."""
-    first, band = 1, 0
+@lru_cache(maxsize=65536)
+def cuts_of(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(context, blocks, slack) that a set of this size takes part in.
+
+    Bands of sizes are so wide that a partner is in the same or an adjacent band. Partners of a band meet in its
+    context; partners of two adjacent bands, which are both near the bound between them, in the bound's.
+    """
+    first = 1
     while True:
-        last = first + first // 2
+        last = max(first, first * max(130, 10_000 // percent + 1) // 100)
         if size <= last:
             break
-        first, band = last + 1, band + 1
-    out = [(band, most_different(last, percent) + 1)]
+        first = last + 1
+    found = [(2 * last, 2 * last)]
     if size * 100 >= percent * (last + 1):
-        nxt = last + 1
-        out.append((band + 1, most_different(nxt + nxt // 2, percent) + 1))
+        found.append((2 * last + 1, last + last * 100 // percent))
+    if first > 1 and (first - 1) * 100 >= percent * size:
+        found.append((2 * first - 1, first - 1 + (first - 1) * 100 // percent))
+    out = []
+    for context, sizes in found:
+        if differ := most_different(sizes, percent):  # else only equal sets meet, and they are one row already
+            empty = (differ + 1) * 1.3 * np.exp(-0.85 * (100 + percent) / (2 * (100 - percent)))  # blocks that are empty by chance
+            slack = 1 + int(empty + 3 * empty**0.5)
+            out.append((context, differ + 1 + slack, slack))
     return tuple(out)
 
 
-def _cut(grams: np.ndarray, blocks: int, context: int, depth: int) -> list[np.ndarray]:
-    """Signatures of the blocks of one set; an empty block is cut anew within its context, down to DEPTH."""
-    place = np.sort(mix(grams + _SEEDS[depth])) if depth else grams
+def _cut(grams: np.ndarray, blocks: int, slack: int, context: int, again: bool = True) -> list[np.ndarray]:
+    """Signatures of the blocks of one set.
+
+    Two sets that pass agree in more than ``slack`` blocks, so one with at most that many empty blocks needs no
+    signature for these. One with more gives each empty block the signatures of a second cut, by another hash, in the
+    empty block's context.
+    """
+    place = grams if again else np.sort(mix(grams + np.uint64(0x2545F4914F6CDD1D)))
     edges = np.searchsorted(((place >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), np.arange(blocks + 1))
     total = np.zeros(len(place) + 1, np.uint64)
     np.cumsum(mix(place ^ np.uint64(0x6A09E667F3BCC909)), out=total[1:])
-    sums = total[edges[1:]] - total[edges[:-1]]
     number = np.arange(blocks, dtype=np.uint64) + np.uint64(1)
-    own = mix(sums + mix(number * np.uint64(0xBB67AE8584CAA73B) + np.uint64(context)))
+    own = mix(total[edges[1:]] - total[edges[:-1]] + mix(number * np.uint64(0xBB67AE8584CAA73B) + np.uint64(context)))
     empty = edges[1:] == edges[:-1]
-    if depth == DEPTH or not empty.any():
-        return [own]
     out = [own[~empty]]
-    for inner in own[empty].tolist():
-        out += _cut(grams, blocks, inner, depth + 1)
+    if empty.sum() > slack:
+        for inner in own[empty].tolist():
+            out += _cut(grams, blocks, slack, inner, False) if again else [np.array([inner], np.uint64)]
     return out
 
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     """Block signatures of one sorted set of n-grams; two sets that can pass share one at least, or are equal."""
-    out = []
-    for band, blocks in bands_of(len(grams), percent):
-        if blocks > 1:  # with one block only equal sets meet, and they are one row already
-            out += _cut(grams, blocks, int(mix(np.array([band + 1], np.uint64))[0]), 0)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    out = [np.empty(0, np.uint64)]
+    for context, blocks, slack in cuts_of(len(grams), percent):
+        out += _cut(grams, blocks, slack, int(mix(np.array([context], np.uint64))[0]))
+    return np.concatenate(out)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
