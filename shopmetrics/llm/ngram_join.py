@@ -3,19 +3,18 @@
 The rows of the incidence matrix are the distinct n-gram sets of the documents, its columns the n-grams
 (64-bit hashes). Sizes bound what can pass: two sets of at most u n-grams that reach the threshold differ in at most
 D(u) n-grams. The columns are therefore cut into a few more than D(u) hash blocks for each band of sizes; a pair that
-passes is equal in one block at least. So only pairs of rows that agree in a whole block are multiplied, and
-for these the overlaps are accumulated over all their n-grams. A single common n-gram, line or passage
-makes no pair.
+passes is equal in one block at least. Rows that meet in a whole block, directly or over others, are a family, and
+only rows of one family are multiplied: a block of the product takes a family (or two chunks of a large one), and the
+overlaps are accumulated over all their n-grams. A single common n-gram, line or passage makes no family.
 
-Groups of rows that share a block are not expanded into all pairs: rows are first multiplied with one pivot of
-their group; after that only pairs of a group that are not connected yet are. No pair that could
-connect two components is left out, so the components are those of all links.
+A block hands on only the links that connect its rows, not all pairs that pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,7 @@ from .wordhash import mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 2_000_000
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
-ALL_PAIRS = 4  # all unconnected pairs are multiplied once they are at most so many times the group rows
-ROUNDS = 8
+BLOCK_BYTES = 8 << 20
 
 
 def most_different(sizes: int, percent: int) -> int:
@@ -109,40 +107,69 @@ def set_key(grams: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
-def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Overlap of each pair of packed sets: the entries of a sparse product that a mask asks for, accumulated over all n-grams of the block at once."""
-    flat, row = [], []
-    for side in (left, right):
-        sizes = [len(x) // 8 for x in side]
-        flat.append(np.frombuffer(b"".join(side), np.uint64))
-        row.append(np.repeat(np.arange(len(side)), sizes))
-    grams, row = np.concatenate(flat), np.concatenate(row)
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
-    both = (grams[1:] == grams[:-1]) & (row[1:] == row[:-1])
-    return np.bincount(row[1:][both], minlength=len(left))
+def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows marked ``left`` and rows marked ``right`` that connect them (a spanning forest of all these links).
 
-
-def _multiplied(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Pairs whose sizes alone rule it out are discarded before any set is fetched."""
-    sizes = sets.select("key", "n")
-    fit = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    fit = fit.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    full = fit.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
+    A row of the product document x n-gram by n-gram x document is accumulated from the postings of the row's n-grams;
+    entries that the sizes of the two rows rule out, or that fall short of the threshold, are discarded.
+    """
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    posting = row[order]
+    first = np.searchsorted(column[order], np.arange(int(column.max()) + 2))
+    begin = np.cumsum(size) - size
+    parent = list(range(len(sets)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    links = []
+    for k in np.flatnonzero(left).tolist():
+        own = column[begin[k] : begin[k] + size[k]]
+        n = first[own + 1] - first[own]
+        overlap = np.bincount(posting[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+        passes = right & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+        passes &= 100 * overlap >= percent * (size + size[k] - overlap)
+        for other in np.flatnonzero(passes).tolist():
+            if (x := root(k)) != (y := root(other)):
+                parent[max(x, y)] = min(x, y)
+                links.append((k, other))
+    return links
+
+
+def _multiplied(members: DataFrame, percent: int, buckets: int, most_bytes: int) -> DataFrame:
+    """Links (a, b) within families: members (family, key, grams) in, a spanning forest of the links of each out.
+
+    A family of more than ``most_bytes`` of n-grams is cut into chunks, and each pair of chunks is a block of its own, so that
+    no task holds more than two chunks.
+    """
+    sizes = members.groupBy("family").agg(F.sum(F.length("grams")).alias("bytes"))
+    sizes = materialize(sizes.select("family", F.ceil(F.col("bytes") / most_bytes).cast("int").alias("chunks")), "family-chunks")
+    dealt = members.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = dealt.select("family", "key", "grams", "chunk", other.alias("other")).select(
+        "family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "grams"
+    )
+    dealt = dealt.repartition(buckets, "family", "i", "j").sortWithinPartitions("family", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                left, right = some.column(2).to_pylist(), some.column(3).to_pylist()
-                both = overlaps(left, right)
-                union = np.array([(len(x) + len(y)) // 8 for x, y in zip(left, right)]) - both
-                yield some.select(["a", "b"]).filter(pa.array(100 * both >= percent * union))
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (_, i, j), own in groupby(rows, key=lambda r: (r["family"], r["i"], r["j"])):
+            own = list(own)
+            chunk = np.array([r["chunk"] for r in own])
+            found = product_links([np.frombuffer(r["grams"], np.uint64) for r in own], percent, chunk == i, chunk == j)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([own[f[k]]["key"] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return full.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``key`` (of its set).
 
     Two rows link when 100 * overlap >= percent * union of their sets of distinct word runs of ``width``; a text with
@@ -192,8 +219,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         if n:
             yield from flush()
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition's buckets that share a signature: (group, pivot, key); groups of the same rows once."""
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For the sets of a partition's buckets that share a signature: each with the first of them."""
         parts: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -203,24 +230,20 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             sig, key = np.frombuffer(b"".join(p[0] for p in own), "u4"), np.frombuffer(b"".join(p[1] for p in own), np.int64)
             order = np.lexsort((key, sig))
             sig, key = sig[order], key[order]
-            new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))
-            sig, key = sig[new], key[new]
             first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(first, len(sig)))
-            name = mix(np.add.reduceat(mix(key.view(np.uint64)), first) + size.astype(np.uint64)).view(np.int64)
-            _, once = np.unique(name, return_index=True)
-            once = once[size[once] > 1]
-            n = size[once]
-            at = np.repeat(first[once] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[once], n)), pa.array(np.repeat(key[first[once]], n)), pa.array(key[at])], ["g", "pivot", "key"])
+            pivot = np.repeat(key[first], np.diff(np.append(first, len(sig))))
+            order = np.lexsort((key, pivot))
+            pivot, key = pivot[order], key[order]
+            new = np.append(True, (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])) & (pivot != key)
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[new]), pa.array(key[new])], ["a", "b"])
 
     docs = materialize(rows.mapInArrow(keys, f"id {kind}, key long, n long"), "set-keys")
     dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary").repartitionById(buckets, F.col("bucket"))
-    shared = materialize(dealt.mapInArrow(groups, "g long, pivot long, key long").dropDuplicates(["g", "key"]), "block-groups")
+    meant = materialize(dealt.mapInArrow(meetings, "a long, b long").distinct(), "meetings")
+    families = materialize(connected_components(meant).withColumnRenamed("node", "key").withColumnRenamed("component", "family"), "families")
 
-    # One document stands for each set that takes part; its n-grams are fetched once.
-    meant = shared.select("key").distinct()
-    standing = docs.join(meant, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    # One document stands for each set of a family; its n-grams are fetched once.
+    standing = docs.join(families.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     standing = materialize(standing, "standing")
     chosen = standing.select(F.col("id").alias("standing")).distinct()
     if standing.count() <= BROADCAST_ROWS:
@@ -231,39 +254,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         for batch in batches:
             for first, sets in _sets(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "n", "grams"]
+                    [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "grams"]
                 )
 
-    sets = picked.mapInArrow(grams, "key long, n long, grams binary").join(standing.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sets = materialize(sets, "gram-sets")
-
-    pairs = materialize(shared.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    tested, links, size = pairs, materialize(_multiplied(pairs, sets, percent), "links"), shared.count()
-    for turn in range(1, ROUNDS + 1):
-        found = connected_components(links)
-        joined = shared.join(found.withColumnRenamed("node", "key"), "key", "left").select("g", "key", F.coalesce("component", "key").alias("component"))
-        joined = materialize(joined, "group-components")
-        counts = joined.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(
-            F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("parts")
-        )
-        apart = materialize(counts.where("parts > 1"), "groups-apart")
-        open_pairs = apart.agg(F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("cc")) / 2), F.lit(0.0))).first()[0]
-        if not open_pairs:
-            break
-        rest = joined.join(apart.select("g"), "g", "left_semi")
-        last = open_pairs <= ALL_PAIRS * max(size, 1_000_000) or turn == ROUNDS
-        if last:
-            one, two = rest.select("g", F.col("key").alias("a"), F.col("component").alias("ca")), rest.select("g", F.col("key").alias("b"), F.col("component").alias("cb"))
-            more = one.join(two, "g").where("ca <> cb and a < b").select("a", "b")
-        else:  # another pivot for each group
-            order = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("p"), F.col("component").alias("pc"))
-            pivots = materialize(rest.groupBy("g").agg(F.min(order).alias("o")).select("g", "o.p", "o.pc"), "pivots")
-            more = rest.join(pivots, "g").where("component <> pc").select(F.least("p", "key").alias("a"), F.greatest("p", "key").alias("b"))
-        more = materialize(more.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(_multiplied(more, sets, percent)), "links")
-        tested = materialize(tested.unionByName(more), "tested")
-        if last:
-            break
+    sets = picked.mapInArrow(grams, "key long, grams binary").join(families, "key").dropDuplicates(["key"])
+    links = materialize(_multiplied(materialize(sets, "gram-sets"), percent, buckets, block_bytes), "links")
     found = connected_components(links)
 
     classes = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))
