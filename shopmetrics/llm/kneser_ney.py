@@ -69,12 +69,21 @@ def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _squeezed(array: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(array).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unsqueezed(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), kind)
+
+
 def _pack(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
     """(bucket, packed arrays) for each bucket; arrays that are in order stay so within it."""
     order = np.argsort(bucket, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(own):
-            yield int(bucket[own[0]]), *(np.ascontiguousarray(a[own]).tobytes() for a in arrays)
+            yield int(bucket[own[0]]), *(_squeezed(a[own]) for a in arrays)
 
 
 @dataclass
@@ -120,7 +129,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[
 
 
 def _joined(rows: list[dict], column: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(r[column], kind) for r in rows])
+    return np.concatenate([_unsqueezed(r[column], kind) for r in rows])
 
 
 def train(texts: DataFrame, text_col: str = "text", folder: str | None = None) -> Model:
@@ -209,11 +218,11 @@ def train(texts: DataFrame, text_col: str = "text", folder: str | None = None) -
             elif kind == CONTEXTS:
                 keys, which = np.unique(_joined(own, "keys", "u8"), return_inverse=True)
                 sums = [np.bincount(which, c).astype(np.int64) for c in _joined(own, "n", "i8").reshape(-1, 4).T]
-                yield _batch([(kind, bucket, b"", b"", b"", save(kind, bucket, keys, *sums))])
+                yield _batch([(kind, bucket, b"", b"", b"", save(kind, bucket, keys, sums[0], *(c.astype("u4") for c in sums[1:])))])
             else:
                 keys, n = _sums(_joined(own, "keys", "u8"), _joined(own, "n", "i8"))
                 tally = np.append(np.bincount(np.minimum(n, 5), minlength=6), n.sum()).astype(np.int64)
-                yield _batch([(kind, bucket, b"", b"", tally.tobytes(), save(kind, bucket, keys, n))])
+                yield _batch([(kind, bucket, b"", b"", tally.tobytes(), save(kind, bucket, keys, n.astype("u4")))])
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartitionById(2 * buckets, F.col("kind") % 2 * buckets + F.col("bucket")).sortWithinPartitions("kind", "bucket")
@@ -267,7 +276,11 @@ class Arrays:
                     large = int(np.frombuffer(tail[:8], np.int64)[0])
                     self.open[kind, bucket] = keys, rest[:n], np.frombuffer(tail[8 : 8 + 8 * large], np.uint64), np.frombuffer(tail[8 + 8 * large :], np.int64)
                 else:
-                    self.open[kind, bucket] = keys, *(rest[8 * n * k : 8 * n * (k + 1)].view(np.int64) for k in range(4 if kind == CONTEXTS else 1))
+                    values, at = [], 0
+                    for wide in {WORDS: (8,), CONTEXTS: (8, 4, 4, 4), FOLLOWED: (4,)}[kind]:
+                        values.append(rest[at : at + wide * n].view(f"i{wide}" if wide == 8 else "u4"))
+                        at += wide * n
+                    self.open[kind, bucket] = keys, *values
         return self.open[kind, bucket]
 
     def look(self, kind: int, keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
