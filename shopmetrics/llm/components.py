@@ -9,21 +9,28 @@ from .frames import materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node``, ``component`` (the smallest node reachable) for every node of a link.
+    """``node``, ``component`` (the smallest node reachable) for every node of a link with another.
 
-    Each round a node takes the smallest label among its own and its neighbours', then the label of
-    that label (pointer jumping), so the rounds grow with the logarithm of the longest chain. The
-    neighbours' minimum is combined per map task, so a node with very many links is no
-    hot task. Each round is written to the shared folder, which cuts the lineage.
+    Each round a node takes the smallest label among its own and its neighbours', then the label of that label; links
+    are drawn anew between labels, and those within one label go. So the links shrink fast, and the rounds grow
+    with the logarithm of the longest chain. The neighbours' minimum is combined per map task, so a node with very many
+    links is no hot task. Each round is written to the shared folder, which cuts the lineage.
     """
-    both = links.select(F.col(a).alias("s"), F.col(b).alias("t")).unionByName(links.select(F.col(b).alias("s"), F.col(a).alias("t")))
-    edges = materialize(both.where("s <> t").distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("s").alias("node")).agg(F.least(F.min("t"), F.col("node")).alias("label")), "labels")
+    edges = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = None
     while True:
-        near = edges.join(labels, F.col("s") == F.col("node")).groupBy(F.col("t").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        step = materialize(step, "labels-step")
-        if step.where("next <> label").isEmpty():
-            return step.select("node", F.col("next").alias("component"))
-        own = step.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        labels = materialize(step.join(own, "next", "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("label")), "labels")
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+        jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = materialize(near.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
+        if found is None:
+            found = step
+        else:
+            then = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            found = materialize(found.join(then, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        ends = edges.join(step.toDF("a", "la"), "a").join(step.toDF("b", "lb"), "b")
+        edges = materialize(ends.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return found.withColumnRenamed("label", "component")
