@@ -5,7 +5,6 @@ Sub-packages:
   functions  column helpers (calendar maths, null-safe predicates, text)
   operators  the reports: cohorts, LTV, communes, funnel, retargeting
   plans      the registered queries with their parameters and oracle SQL
-  streaming  (nothing: the reference recomputes from full tables)
 """
 
 __version__ = "0.1.0"

@@ -10,12 +10,6 @@ from pyspark.sql import types as T
 
 from ..vocab import COMPLETED, NOT_COMPLETED
 
-# Above this many literal ids an exclusion becomes an anti join instead of
-# an IN-set expression; the list then ships as a small DataFrame whose
-# join strategy Catalyst picks from its measured size.
-MAX_INLINE_IDS = 10_000
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -79,20 +73,16 @@ def fold_status(c, done: str = COMPLETED, other: str = NOT_COMPLETED) -> Column:
 def exclude_ids(df: DataFrame, column: str, ids) -> DataFrame:
     """Drop rows whose ``column`` is in ``ids``; NULL keys are kept.
 
-    ``ids`` may be a Python collection (becomes an IN-set when short) or a
-    one-column DataFrame (left anti join; a NULL key never matches, so it
-    is kept, like ``~isin``).
+    ``ids`` is a Python collection or a one-column DataFrame; either way the
+    rows meet it in one left anti join, whose strategy Catalyst picks by
+    size. A NULL key never matches, so it is kept, like ``~isin``.
     """
     if ids is None:
         return df
-    if isinstance(ids, DataFrame):
-        other = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-        return df.join(other, on=column, how="left_anti")
-    vals = [str(v) for v in ids]
-    if not vals:
-        return df
-    if len(vals) <= MAX_INLINE_IDS:
-        return df.filter(not_in_null_safe(column, vals))
-    spark = df.sparkSession
-    other = spark.createDataFrame([(v,) for v in vals], f"{column} string")
-    return df.join(other.distinct(), on=column, how="left_anti")
+    if not isinstance(ids, DataFrame):
+        vals = sorted({str(v) for v in ids})
+        if not vals:
+            return df
+        ids = df.sparkSession.createDataFrame([(v,) for v in vals], "id string")
+    other = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
+    return df.join(other, on=column, how="left_anti")

@@ -19,15 +19,16 @@ def half_even_ratio(num, den, scale: int) -> Column:
     """round_half_even(num * 10**scale / den) as BIGINT, for integer inputs.
 
     NULL when ``den`` is 0 or NULL (the reference divides by zero into
-    inf/NaN; T9). Works on non-negative numerators, which is what counts
-    and margins give.
+    inf/NaN; T9). Half-even is symmetric, so the sizes are rounded and the
+    sign is put back.
     """
-    n = _col(num).cast("long") * F.lit(10**scale)
-    d = _col(den).cast("long")
-    q = F.floor(n / d).cast("long")  # both positive: floor == truncation
+    sign = F.signum(_col(num).cast("double")) * F.signum(_col(den).cast("double"))
+    n = F.abs(_col(num).cast("long")) * F.lit(10**scale)
+    d = F.abs(_col(den).cast("long"))
+    q = F.floor(n / d).cast("long")
     r = n - q * d
     up = (F.lit(2) * r > d) | ((F.lit(2) * r == d) & (q % 2 == 1))
-    return F.when(d != 0, q + F.when(up, 1).otherwise(0))
+    return F.when(d != 0, (q + F.when(up, 1).otherwise(0)) * sign.cast("long"))
 
 
 def fixed2_text(hundredths) -> Column:
@@ -71,5 +72,5 @@ def thousands(c, sep: str) -> Column:
 
 
 def label_with_percent(label, hundredths) -> Column:
-    """``Category (12.5%)`` label."""
-    return F.concat(_col(label), F.lit(" ("), short2_text(hundredths), F.lit("%)"))
+    """``Category (12.5%)`` label (X13); the bare category where there is no percentage."""
+    return F.coalesce(F.concat(_col(label), F.lit(" ("), short2_text(hundredths), F.lit("%)")), _col(label))

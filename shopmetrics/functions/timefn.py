@@ -71,6 +71,14 @@ def whole_days(later, earlier) -> Column:
     return F.floor(micros / F.lit(_US_PER_DAY)).cast("long")
 
 
+def days_before(as_of, days: int) -> Column:
+    """A timestamp_ntz literal that many days (of 24 hours) before ``as_of``."""
+    if isinstance(as_of, _dt.date):
+        at = as_of if isinstance(as_of, _dt.datetime) else _dt.datetime(as_of.year, as_of.month, as_of.day)
+        return to_ts_literal(at - _dt.timedelta(days=days))
+    return to_ts_literal(as_of) - F.make_dt_interval(F.lit(days))
+
+
 def days_to_months(days) -> Column:
     """Lifetime in months as DOUBLE: days / 30."""
     return _col(days).cast("double") / F.lit(30.0)

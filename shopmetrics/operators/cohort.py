@@ -20,9 +20,6 @@ from ..functions.timefn import month_diff, month_label, month_start
 from ..vocab import COMPLETED
 from .slices import drop_null_keys, slice_rows
 
-DEFAULT_PERIODS = tuple(range(12))
-
-
 def cohort_counts(
     orders: DataFrame,
     origin: str | None = None,
@@ -38,9 +35,9 @@ def cohort_counts(
     """
     sl = slice_rows(orders, {"origin": origin, "business_cat": category}, "date", start, end)
     sl = drop_null_keys(sl.filter(F.col("status") == status), "customer_id")
-    active = sl.select("customer_id", month_start("date").alias("order_month")).distinct()
-    first = F.min("order_month").over(Window.partitionBy("customer_id"))
-    with_cohort = active.withColumn("cohort", first)
+    # One exchange on the customer: a customer's months are a set bounded by the months of the slice.
+    active = sl.groupBy("customer_id").agg(F.collect_set(month_start("date")).alias("months"))
+    with_cohort = active.select(F.array_min("months").alias("cohort"), F.explode("months").alias("order_month"))
     return (
         with_cohort.groupBy("cohort", "order_month")
         .agg(F.count(F.lit(1)).alias("n_customers"))
@@ -52,16 +49,32 @@ def cohort_counts(
     )
 
 
-def _wide(long_df: DataFrame, value: str, periods: Sequence[int], prefix: str) -> DataFrame:
-    """Pivot with a fixed period list, so the schema is static and no
-    extra job is run to discover the pivot values (A2, X20)."""
+def period_range(start, end) -> list[int]:
+    """Every period number that a slice from ``start`` to ``end`` can hold."""
+    return list(range((end.year - start.year) * 12 + end.month - start.month + 1))
+
+
+def _periods(long_df: DataFrame, periods: Sequence[int] | None) -> tuple[DataFrame, list[int]]:
+    """The periods to show; a present period that is not listed stops the report instead of being left out.
+
+    Without a list, all periods up to the largest present one (a job over the small counts table)."""
+    if periods is None:
+        return long_df, list(range((long_df.agg(F.max("period_number")).first()[0] or 0) + 1))
+    listed = list(periods)
+    unlisted = F.raise_error(F.concat(F.lit("period not listed: "), F.col("period_number").cast("string"))).cast("int")
+    return long_df.withColumn("period_number", F.when(F.col("period_number").isin(listed), F.col("period_number")).otherwise(unlisted)), listed
+
+
+def _wide(long_df: DataFrame, value: str, periods: Sequence[int] | None, prefix: str) -> DataFrame:
+    """Pivot to one column per period."""
+    long_df, periods = _periods(long_df, periods)
     wide = long_df.groupBy("cohort").pivot("period_number", list(periods)).agg(F.max(value))
     return wide.select(
         "cohort", *[F.col(str(p)).alias(f"{prefix}{p}") for p in periods]
     )
 
 
-def cohort_matrix(counts: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+def cohort_matrix(counts: DataFrame, periods: Sequence[int] | None = None) -> DataFrame:
     """Cohort × period matrix of customer counts, columns ``period_<k>`` (R2)."""
     return _wide(counts, "n_customers", periods, "period_")
 
@@ -80,7 +93,7 @@ def retention(counts: DataFrame) -> DataFrame:
     )
 
 
-def retention_matrix(counts: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+def retention_matrix(counts: DataFrame, periods: Sequence[int] | None = None) -> DataFrame:
     """Cohort × period matrix of retention rates, columns ``rate_<k>``."""
     return _wide(retention(counts), "retention_rate", periods, "rate_")
 
@@ -99,12 +112,13 @@ def retention_text(counts: DataFrame) -> DataFrame:
     )
 
 
-def retention_text_matrix(counts: DataFrame, periods: Sequence[int] = DEFAULT_PERIODS) -> DataFrame:
+def retention_text_matrix(counts: DataFrame, periods: Sequence[int] | None = None) -> DataFrame:
     """The heat map's text grid: ``yyyy-MM`` cohort rows, ``pct_<k>`` columns
     with two-decimal percentages and '' where a cell is empty (X10, X20)."""
     text = retention_text(counts).select(
         "cohort_label", F.col("period_label").cast("int").alias("period_number"), "pct_text"
     )
+    text, periods = _periods(text, periods)
     wide = text.groupBy("cohort_label").pivot("period_number", list(periods)).agg(F.max("pct_text"))
     return wide.select(
         "cohort_label", *[F.coalesce(F.col(str(p)), F.lit("")).alias(f"pct_{p}") for p in periods]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.textfmt import half_even_ratio, label_with_percent, thousands
 from ..functions.timefn import days_to_months, whole_days
-from .slices import slice_rows
+from .slices import drop_null_keys, slice_rows
 
 MONEY = ("gmv_dzd", "gmv_eur", "margin_dzd", "margin_eur")
 _SOURCE = {
@@ -32,7 +32,7 @@ def _per_customer(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce(F.sum(_SOURCE[m]), F.lit(0)).cast("double").alias(m) for m in MONEY
     ]
     base = rows.groupBy(*keys).agg(
-        F.count("order_id").alias("n_orders"),
+        F.count(F.lit(1)).alias("n_orders"),  # an order without an id counts too
         *sums,
         F.min("date").alias("min_date"),
         F.max("date").alias("max_date"),
@@ -54,16 +54,17 @@ def customer_ltv(ltv_rows: DataFrame, origin=None, category=None, start=None, en
     """Per-customer LTV table of the sliced rows (R5: A4, A5, F17).
 
     Customers whose first and last order are less than one day apart
-    (lifetime 0) are dropped, which also rules out division by zero.
+    (lifetime 0) are dropped, which also rules out division by zero. Rows
+    without a customer id belong to no customer and are dropped (T3).
     """
     sl = slice_rows(ltv_rows, {"origin": origin, "business_cat": category}, "date", start, end)
-    return _per_customer(sl, ["customer_id"])
+    return _per_customer(drop_null_keys(sl, "customer_id"), ["customer_id"])
 
 
 def category_ltv(ltv_rows: DataFrame, origin=None, start=None, end=None) -> DataFrame:
     """The same per category and customer (R6: A6, U2)."""
     sl = slice_rows(ltv_rows, {"origin": origin}, "date", start, end)
-    return _per_customer(sl, ["business_cat", "customer_id"])
+    return _per_customer(drop_null_keys(sl, "customer_id"), ["business_cat", "customer_id"])
 
 
 def _exact_mean(c: str):

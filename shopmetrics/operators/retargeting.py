@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import in_or_all
-from ..functions.timefn import to_ts_literal, whole_days
+from ..functions.timefn import days_before, to_ts_literal, whole_days
 from ..vocab import COMPLETED, NON_BUYER_BUCKETS, OVER_120
 from .dedupe import keep_last
 
@@ -26,10 +26,12 @@ EXPORT_COLUMNS = (
 ORDER_ORDER = ("date", "order_id")
 
 
-def _recency_filter(days_col, days) -> F.Column:
+def _recency_filter(column: str, as_of, days) -> F.Column:
+    """Whole days from ``column`` to ``as_of`` at most ``days`` (or over 120), as a
+    plain range of the column, which reaches the scan and prunes there."""
     if days == OVER_120:
-        return days_col > 120
-    return days_col <= int(days)
+        return F.col(column) <= days_before(as_of, 121)
+    return F.col(column) > days_before(as_of, int(days) + 1)
 
 
 def retarget_buyers(
@@ -48,11 +50,10 @@ def retarget_buyers(
     rows are returned. Rows without a previous order drop out, as the
     reference's NaT comparison does.
     """
-    age = whole_days(to_ts_literal(as_of), F.col("previous_order_date"))
     rows = orders.filter(
         (F.col("status") == COMPLETED)
         & F.col("customer_id").isNotNull()
-        & _recency_filter(age, days)
+        & _recency_filter("previous_order_date", as_of, days)
         & in_or_all("origin", origins)
         & in_or_all("business_cat", categories)
     ).select(*EXPORT_COLUMNS, *[c for c in order_by if c not in EXPORT_COLUMNS])
@@ -137,7 +138,6 @@ def non_buyers_cumulative(
     """Dormant variant: non-buyers filtered with the buyers' cumulative rule
     on ``previous_order_date`` (Z6)."""
     nb = non_buyers(orders)
-    age = whole_days(to_ts_literal(as_of), F.col("previous_order_date"))
     return nb.filter(
-        _recency_filter(age, days) & in_or_all("origin", origins) & in_or_all("business_cat", categories)
+        _recency_filter("previous_order_date", as_of, days) & in_or_all("origin", origins) & in_or_all("business_cat", categories)
     ).select(*EXPORT_COLUMNS)

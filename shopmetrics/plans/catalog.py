@@ -11,6 +11,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..schemas import RAW_ORDERS
@@ -126,7 +127,10 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order export written as CSV to the shared folder and read back through
     the manifest loader by explicit schema (S1–S3)."""
     path = os.path.join(scratch_path(spark, "csv_roundtrip"), "orders_export.csv")
-    Inputs(spark, sf_dir).raw("raw_orders").write.option("header", True).csv(path)
+    # A foreign layout: columns in reverse, one that no report uses, doubled quotes.
+    raw = Inputs(spark, sf_dir).raw("raw_orders")
+    foreign = raw.select(*reversed(raw.columns), F.lit('a "quoted", remark').alias("remark"))
+    foreign.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return load_tables(spark, {path: RAW_ORDERS}, register_views=False)["orders_export"]
 
 
@@ -169,7 +173,9 @@ def queries() -> dict[str, Query]:
         "cohort_counts_nan_ids": _q(lambda i: op.cohort_counts(
             i.orders_nan_ids, None, None, P.SLICE_START, P.SLICE_END)),
         "cohort_matrix": _q(lambda i: op.cohort_matrix(i.counts(), P.COHORT_PERIODS)),
+        "cohort_matrix_24m": _q(lambda i: op.cohort_matrix(op.cohort_counts(i.orders, None, None, P.LONG_START, P.SLICE_END), P.LONG_PERIODS)),
         "retention": _q(lambda i: op.retention(i.counts())),
+        "retention_matrix_24m": _q(lambda i: op.retention_matrix(op.cohort_counts(i.orders, None, None, P.LONG_START, P.SLICE_END), P.LONG_PERIODS)),
         "retention_matrix": _q(lambda i: op.retention_matrix(i.counts(), P.COHORT_PERIODS)),
         "retention_text": _q(lambda i: op.retention_text(i.counts())),
         "retention_text_matrix": _q(lambda i: op.retention_text_matrix(i.counts(), P.COHORT_PERIODS)),

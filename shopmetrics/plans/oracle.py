@@ -213,7 +213,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_
 # --- report CTEs -----------------------------------------------------------
 
 
-def _cohort_sql(where_extra: str = "TRUE", table: str = "orders_clean") -> str:
+def _cohort_sql(where_extra: str = "TRUE", table: str = "orders_clean", start=P.SLICE_START) -> str:
     return f"""
 SELECT cohort, CAST((year(order_month) - year(cohort)) * 12 + month(order_month) - month(cohort) AS INTEGER)
   AS period_number, count(*) AS n_customers
@@ -222,7 +222,7 @@ FROM (
   FROM (
     SELECT DISTINCT customer_id, CAST(date_trunc('month', date) AS DATE) AS order_month
     FROM {table}
-    WHERE date >= {_ts_day(P.SLICE_START)} AND date <= {_ts_day(P.SLICE_END)}
+    WHERE date >= {_ts_day(start)} AND date <= {_ts_day(P.SLICE_END)}
       AND status = 'COMPLETED' AND customer_id IS NOT NULL AND {where_extra}
   )
 ) GROUP BY cohort, order_month
@@ -418,6 +418,12 @@ BODIES: dict[str, str] = {
         f"max(CASE WHEN period_number = {p} THEN n_customers END) AS period_{p}" for p in P.COHORT_PERIODS
     )
     + " FROM cohort_counts_std GROUP BY cohort",
+    "cohort_matrix_24m": "SELECT cohort, "
+    + ", ".join(f"max(CASE WHEN period_number = {p} THEN n_customers END) AS period_{p}" for p in P.LONG_PERIODS)
+    + f" FROM ({_cohort_sql(start=P.LONG_START)}) GROUP BY cohort",
+    "retention_matrix_24m": "SELECT cohort, "
+    + ", ".join(f"max(CASE WHEN period_number = {p} THEN n_customers END) / max(CASE WHEN period_number = 0 THEN n_customers END) AS rate_{p}" for p in P.LONG_PERIODS)
+    + f" FROM ({_cohort_sql(start=P.LONG_START)}) GROUP BY cohort",
     "retention": "SELECT * FROM retention_std",
     "retention_matrix": "SELECT cohort, "
     + ", ".join(

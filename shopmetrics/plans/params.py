@@ -9,6 +9,8 @@ import datetime as dt
 SLICE_START = dt.date(1998, 1, 1)
 SLICE_END = dt.date(1998, 12, 31)
 COHORT_PERIODS = tuple(range(12))
+LONG_START = dt.date(1997, 1, 1)
+LONG_PERIODS = tuple(range(24))
 
 FUNNEL_SINCE = dt.date(2001, 1, 1)
 USERS_START = dt.date(1995, 1, 1)

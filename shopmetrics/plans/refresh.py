@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +38,7 @@ class ReportParams:
     granularity: str = "month"
     currency: str = "EUR"
     wilaya: str | None = None
-    periods: tuple[int, ...] = field(default_factory=lambda: tuple(range(12)))
+    periods: tuple[int, ...] | None = None  # None: all that are present
 
 
 def reports(tables: dict[str, DataFrame], p: ReportParams, materialize_inputs: bool = True) -> dict[str, DataFrame]:
@@ -89,7 +89,8 @@ def _one(value):
 
 def refresh(tables: dict[str, DataFrame], p: ReportParams, out_base: str, fmt: str = "parquet") -> dict[str, str]:
     """Write every report; returns ``{report: path}``."""
-    filters = {"origin": p.origin, "category": p.category, "start": p.start, "end": p.end}
+    # Every parameter is in the path, so runs that differ in any never overwrite each other.
+    filters = {f.name: getattr(p, f.name) for f in fields(p)}
     written = {}
     for name, df in reports(tables, p).items():
         path = report_path(out_base, name, **filters)

@@ -47,8 +47,8 @@ RAW_LTV = _schema(
     ("customer_origine", S),
     ("date", TS),
     ("total_amount_dzd", T.DecimalType(18, 2)),
-    ("EUR", T.DecimalType(9, 4)),
-    ("marge_dzd", T.DecimalType(18, 4)),
+    ("EUR", T.DecimalType(18, 12)),
+    ("marge_dzd", T.DecimalType(24, 8)),
     ("marge_eur", T.DecimalType(28, 8)),
 )
 

@@ -9,18 +9,21 @@ never gathered on the driver.
 from __future__ import annotations
 
 import os
-import re
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _numeric_text(df: DataFrame, decimals: int) -> DataFrame:
-    """Fractional columns as fixed-decimal text for spreadsheet-style output."""
+def _numeric_text(df: DataFrame, places: dict[str, int]) -> DataFrame:
+    """The named fractional columns as fixed-decimal text."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        decimals = places.get(f.name)
+        if decimals is None:
+            cols.append(F.col(f.name))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(F.format_string(f"%.{decimals}f", F.col(f.name)).alias(f.name))
         elif isinstance(f.dataType, T.DecimalType):
             # exact: round the decimal itself (format_string takes no DECIMAL)
@@ -35,17 +38,18 @@ def write_report(
     path: str,
     fmt: str = "csv",
     index_cols: tuple[str, ...] = (),
-    decimals: int | None = 2,
+    decimals: dict[str, int] | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Write a report table.
 
-    ``index_cols`` move to the front (the spreadsheet index); with CSV,
-    fractional numbers are written with ``decimals`` places.
+    ``index_cols`` move to the front (the spreadsheet index). Values are
+    written in full; with CSV, ``decimals`` names columns to write with a fixed
+    number of places.
     """
     ordered = [*index_cols, *[c for c in df.columns if c not in index_cols]]
     out = df.select(*ordered)
-    writer_df = _numeric_text(out, decimals) if (fmt == "csv" and decimals is not None) else out
+    writer_df = _numeric_text(out, decimals) if (fmt == "csv" and decimals) else out
     w = writer_df.write.mode(mode)
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -55,7 +59,16 @@ def write_report(
         raise ValueError(f"unsupported format {fmt!r}")
 
 
-_UNSAFE = re.compile(r"[^0-9A-Za-z_.-]+")
+NO_FILTER = "all"
+
+
+def _path_text(value) -> str:
+    """A value as a path part that no other value has: percent-encoded, and a
+    value that reads like the mark of no filter is encoded too."""
+    if value is None:
+        return NO_FILTER
+    text = quote(str(value), safe="")
+    return f"%{ord(text[0]):02X}{text[1:]}" if text in (NO_FILTER, ".", "..") else text
 
 
 def report_path(base: str, report: str, days=None, **filters) -> str:
@@ -63,10 +76,9 @@ def report_path(base: str, report: str, days=None, **filters) -> str:
     ``base/orders/origin=Local/category=all/start=1998-01-01``."""
     parts = [base.rstrip("/"), report]
     for key, value in filters.items():
-        text = "all" if value is None else _UNSAFE.sub("_", str(value))
-        parts.append(f"{key}={text}")
+        parts.append(f"{key}={_path_text(value)}")
     if days is not None:
-        parts.append(f"days={_UNSAFE.sub('_', str(days))}")
+        parts.append(f"days={_path_text(days)}")
     return os.path.join(*parts)
 
 

@@ -1,7 +1,8 @@
 """Table readers.
 
 CSV inputs are always read with an explicit schema (no inference, T2):
-inference scans the data twice and turns float-typed ids into doubles.
+inference scans the data twice and turns float-typed ids into doubles. The
+schema is matched to the header by name.
 Object-store credentials come from the Hadoop configuration of the
 session (``fs.s3a.*``), never from code.
 """
@@ -20,11 +21,11 @@ from pyspark.sql import types as T
 
 
 # Opened tables per session and path, with the time they were opened. Only
-# the file listing and schema are kept (no rows); like the reference's
-# 600-second load cache, a table is re-listed once it is older than the TTL.
+# the file listing and schema are kept (no rows). Off unless a caller asks for
+# it: a table is re-listed once it is older than the ``ttl`` given.
 # Keyed by the session object itself (weakly), so a later session never
 # receives a DataFrame of a stopped one.
-TABLE_TTL_SECONDS = 600.0
+TABLE_TTL_SECONDS = 0.0
 _opened: "weakref.WeakKeyDictionary[SparkSession, dict[str, tuple[float, DataFrame]]]" = weakref.WeakKeyDictionary()
 
 
@@ -58,23 +59,50 @@ def read_csv_table(
     sep: str = ",",
     encoding: str = "UTF-8",
     timestamp_format: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Comma-separated text with a header row, typed by ``schema``.
 
+    Columns are found by their names in the header, in any order; others are
+    ignored, a missing one raises. Quotes are doubled inside quoted cells.
+    Cells are read as text and cast strictly: a cell that is not of its
+    column's type fails the job instead of becoming NULL, and a number must fit its
+    column without rounding (a count may be written as ``1.0``). With
+    ``multi_line`` a quoted cell may hold line breaks; a file is then one split.
     Works for local paths and object-store URIs (``s3a://bucket/key``).
-    Malformed values fail the job (``mode=FAILFAST``) the way an eager
-    parse would, instead of silently becoming NULL.
     """
-    reader = (
-        spark.read.schema(schema)
-        .option("header", True)
+    text = (
+        spark.read.option("header", True)
+        .option("inferSchema", False)
         .option("sep", sep)
         .option("encoding", encoding)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
+        .csv(path)
     )
-    if timestamp_format:
-        reader = reader.option("timestampNTZFormat", timestamp_format)
-    return reader.csv(path)
+    missing = [f.name for f in schema.fields if f.name not in text.columns]
+    if missing:
+        raise ValueError(f"{path} lacks column(s): {', '.join(missing)}")
+    return text.select(*[_typed(f, timestamp_format) for f in schema.fields])
+
+
+def _typed(field: T.StructField, timestamp_format: str | None):
+    """A text column as the field's type, strictly."""
+    col, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.StringType):
+        out = col
+    elif isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.DecimalType)):
+        wide = col.cast("decimal(38,18)")
+        out = wide.cast(kind)
+        wrong = F.raise_error(F.concat(F.lit(f"{field.name}: does not fit {kind.simpleString()}: "), col))
+        out = F.when(wide.isNull() | (out.cast("decimal(38,18)") == wide), out).otherwise(wrong.cast(kind))
+    elif isinstance(kind, T.TimestampNTZType) and timestamp_format:
+        out = F.to_timestamp_ntz(col, F.lit(timestamp_format))
+    else:
+        out = col.cast(kind)
+    return out.alias(field.name)
 
 
 def table_name(path: str) -> str:

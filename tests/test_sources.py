@@ -2,6 +2,8 @@
 
 import datetime as dt
 import os
+
+import pytest
 import tempfile
 
 from pyspark.sql import Window
@@ -40,7 +42,7 @@ def test_csv_reader_keeps_ids_as_text(spark):
     assert r.date == dt.datetime(2023, 1, 5, 10) and r.previous_order_date is None
     tables = load_tables(spark, {p: RAW_ORDERS})
     assert set(tables) == {"orders"} and spark.sql("SELECT count(*) FROM orders").first()[0] == 1
-    assert table_name("s3a://bucket/csv_database/ltv_data.csv") == "ltv_data"
+    assert table_name("s3a://bucket/exports/ltv_data.csv") == "ltv_data"
 
 
 def test_text_sheets_and_union(spark):
@@ -61,10 +63,14 @@ def test_write_report_and_segments(spark):
     d = _tmp()
     df = spark.createDataFrame([("x", 1.2345, 3)], "name string, v double, n long")
     out = report_path(d, "ltv", origin=None, category="Alimentation / x", days="over_120")
-    assert out.endswith("ltv/origin=all/category=Alimentation_x/days=over_120")
+    assert out.endswith("ltv/origin=all/category=Alimentation%20%2F%20x/days=over_120")
+    paths = {report_path(d, "ltv", origin=o) for o in (None, "all", "Île A", "É A", "È A", "_le_A", "a/b", "a_b")}
+    assert len(paths) == 8
     write_report(df, out, "csv", index_cols=("n",))
     back = spark.read.option("header", True).csv(out).first()
-    assert back.asDict() == {"n": "3", "name": "x", "v": "1.23"}
+    assert back.asDict() == {"n": "3", "name": "x", "v": "1.2345"}
+    write_report(df, out, "csv", decimals={"v": 2})
+    assert spark.read.option("header", True).csv(out).first()["v"] == "1.23"
     seg = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3")], "segment string, customer_id string")
     write_segments(seg, os.path.join(d, "seg"))
     assert sorted(r.customer_id for r in read_segment(spark, os.path.join(d, "seg"), "a").collect()) == ["1", "3"]
@@ -98,10 +104,9 @@ def test_fixture_tables_have_expected_schemas(spark, small_dir):
 
 def test_large_exclusion_list_becomes_anti_join(spark):
     from shopmetrics.functions import exclude_ids
-    from shopmetrics.functions.predicates import MAX_INLINE_IDS
 
     df = spark.createDataFrame([(str(i),) for i in range(50)] + [(None,)], "customer_id string")
-    ids = [str(i) for i in range(10, MAX_INLINE_IDS + 20)]
+    ids = [str(i) for i in range(10, 12_000)]
     out = exclude_ids(df, "customer_id", ids)
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "LeftAnti" in plan
@@ -111,8 +116,9 @@ def test_large_exclusion_list_becomes_anti_join(spark):
 def test_table_listing_cache_and_parquet_outputs(spark, small_dir):
     from shopmetrics.sources.readers import forget_tables, read_table
 
-    a = read_table(spark, small_dir, "nation")
-    assert read_table(spark, small_dir, "nation") is a
+    assert read_table(spark, small_dir, "nation") is not read_table(spark, small_dir, "nation")
+    a = read_table(spark, small_dir, "nation", ttl=600)
+    assert read_table(spark, small_dir, "nation", ttl=600) is a
     assert read_table(spark, small_dir, "nation", ttl=0) is not a
     forget_tables()
     assert read_table(spark, small_dir, "nation") is not a
@@ -178,7 +184,10 @@ def test_write_report_formats_decimal_columns(spark):
     df = spark.createDataFrame([("x", 1.235)], "name string, v double").selectExpr(
         "name", "cast(v as decimal(18,4)) as d", "v"
     )
-    write_report(df, os.path.join(d, "r"), "csv")
+    write_report(df, os.path.join(d, "full"), "csv")
+    full = spark.read.option("header", True).csv(os.path.join(d, "full")).first().asDict()
+    assert full == {"name": "x", "d": "1.2350", "v": "1.235"}
+    write_report(df, os.path.join(d, "r"), "csv", decimals={"d": 2, "v": 2})
     back = spark.read.option("header", True).csv(os.path.join(d, "r")).first().asDict()
     assert back["name"] == "x" and back["d"] == "1.24" and back["v"] in ("1.24", "1.23")
 
@@ -200,3 +209,61 @@ def test_first_open_from_text_sheets_keeps_sheet_order(spark):
     )
     got = {r.email: r.opened for r in op.first_open_signups(users, fo).collect()}
     assert got == {"a@x": "2021", "b@x": "2020"}  # a@x first appears in sheet 0
+
+
+def test_csv_by_header_name_with_quotes_and_strict_types(spark):
+    from pyspark.sql import types as T
+    from pyspark.errors import PySparkException
+
+    schema = T.StructType([T.StructField(*x) for x in (("email", T.StringType()), ("phone", T.StringType()), ("n", T.LongType()), ("rate", T.DecimalType(18, 12)))])
+
+    def read(text, **options):
+        path = os.path.join(_tmp(), "t.csv")
+        with open(path, "w") as f:
+            f.write(text)
+        return [tuple(r) for r in read_csv_table(spark, path, schema, **options).collect()]
+
+    got = read('phone,extra,email,rate,n\n0555,"a ""b"", c",a@x,0.00684123,1.0\n,,b@x,,\n')
+    assert [(e, p, n, r and float(r)) for e, p, n, r in got] == [("a@x", "0555", 1, 0.00684123), ("b@x", None, None, None)]
+    assert read('email,phone,n,rate\n"a\nb",1,2,3\n', multi_line=True)[0][0] == "a\nb"
+    for bad in ("phone,n,rate\n1,2,3\n", "email,phone,n,rate\na,1,1.5,1\n", "email,phone,n,rate\na,1,x,1\n", "email,phone,n,rate\na,1,1,0.0000000000001\n"):
+        with pytest.raises((ValueError, PySparkException)):
+            read(bad)
+
+
+def test_ltv_without_ids_and_signed_ratios(spark):
+    from shopmetrics import operators as op
+    from shopmetrics.functions import half_even_ratio
+    from shopmetrics.functions.textfmt import label_with_percent
+
+    rows = [(None, "1", 5.0), (None, "2", 5.0), ("a", None, 10.0), ("a", None, 10.0)]
+    ltv = spark.createDataFrame([(c, o, "Local", "X", dt.datetime(2020, 1, 1 + 30 * (k % 2)), v) for k, (c, o, v) in enumerate(rows)], "customer_id string, order_id string, origin string, business_cat string, date timestamp_ntz, v double")
+    money = F.col("v").cast("decimal(18,2)")
+    ltv = ltv.withColumns({c: money for c in ("total_amount_dzd", "total_amount_eur", "margin_dzd", "margin_eur")})
+    out = op.customer_ltv(ltv).collect()
+    assert [(r.customer_id, r.n_orders, r.ltv_gmv_dzd) for r in out] == [("a", 2, 20.0)]
+    df = spark.createDataFrame([(-1, 2), (1, -3), (3, 2), (-5, 2), (1, 0)], "n long, d long")
+    assert [r[0] for r in df.select(half_even_ratio("n", "d", 0)).collect()] == [0, 0, 2, -2, None]
+    assert df.select(label_with_percent(F.lit("Cat"), half_even_ratio("n", "d", 4))).collect()[-1][0] == "Cat"
+
+
+def test_recency_range_reaches_the_scan(spark):
+    from shopmetrics import operators as op
+    from shopmetrics.operators.retargeting import EXPORT_COLUMNS
+
+    path = os.path.join(_tmp(), "orders")
+    schema = ", ".join(f"{c} {'timestamp_ntz' if 'date' in c else 'string'}" for c in EXPORT_COLUMNS) + ", order_id string, status string"
+    spark.createDataFrame([], schema).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = op.retarget_buyers(spark.read.parquet(path), 30, dt.datetime(2020, 1, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(previous_order_date" in plan
+
+
+def test_unlisted_period_raises(spark):
+    from pyspark.errors import PySparkException
+    from shopmetrics import operators as op
+
+    counts = spark.createDataFrame([(dt.date(2020, 1, 1), k, 5) for k in (0, 1, 19)], "cohort date, period_number int, n_customers long")
+    assert op.cohort_matrix(counts).columns[-1] == "period_19"
+    with pytest.raises(PySparkException):
+        op.cohort_matrix(counts, range(12)).collect()
