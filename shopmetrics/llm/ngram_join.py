@@ -12,6 +12,7 @@ A block hands on only the links that connect its rows, not all pairs that pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -27,7 +28,7 @@ from .wordhash import mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 2_000_000
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def most_different(sizes: int, percent: int) -> int:
@@ -143,26 +144,34 @@ def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right:
 
 
 def _multiplied(members: DataFrame, percent: int, buckets: int, most_bytes: int) -> DataFrame:
-    """Links (a, b) within families: members (family, key, grams) in, a spanning forest of the links of each out.
+    """Links (a, b) within families: members (family, key, grams) in, links that connect all that are linked out.
 
-    A family of more than ``most_bytes`` of n-grams is cut into chunks, and each pair of chunks is a block of its own, so that
-    no task holds more than two chunks.
+    Sets of a family are multiplied only with those of their own band of sizes and the next, since others cannot pass. A band
+    of more than ``most_bytes`` of n-grams is cut into chunks, and each pair of chunks is a block of its own, so that no
+    task holds more than two chunks.
     """
-    sizes = members.groupBy("family").agg(F.sum(F.length("grams")).alias("bytes"))
-    sizes = materialize(sizes.select("family", F.ceil(F.col("bytes") / most_bytes).cast("int").alias("chunks")), "family-chunks")
-    dealt = members.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.select("family", "key", "grams", "chunk", other.alias("other")).select(
-        "family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "grams"
-    )
-    dealt = dealt.repartition(buckets, "family", "i", "j").sortWithinPartitions("family", "i", "j", "key")
+    width = math.log(100 / percent) * 1.001  # a partner is at most one band away
+    sized = members.withColumn("band", F.floor(F.log(F.length("grams") / 8) / width).cast("int"))
+    role = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("own"))))
+    dealt = sized.select("family", "key", "grams", role.alias("role")).select("family", "key", "grams", "role.band", "role.own")
+    sizes = dealt.groupBy("family", "band").agg(F.sum(F.length("grams")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("own").alias("any"))
+    sizes = sizes.where("rows > 1 and any").select("family", "band", F.ceil(F.col("bytes") / most_bytes).cast("int").alias("chunks"))
+    sizes = materialize(sizes, "family-chunks")
+    dealt = dealt.join(sizes, ["family", "band"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    each = F.sequence(F.lit(0), F.col("chunks") - 1)
+    right = F.transform(each, lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
+    left = F.transform(each, lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))
+    blocks = F.when(F.col("own"), F.array_distinct(F.concat(left, right))).otherwise(right)
+    dealt = dealt.select("family", "band", "key", "grams", "own", "chunk", F.explode(blocks).alias("b")).select("family", "band", "b.i", "b.j", "key", "grams", "own", "chunk")
+    dealt = dealt.repartition(buckets, "family", "band", "i", "j").sortWithinPartitions("family", "band", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in batch.to_pylist())
-        for (_, i, j), own in groupby(rows, key=lambda r: (r["family"], r["i"], r["j"])):
+        for (_, _, i, j), own in groupby(rows, key=lambda r: (r["family"], r["band"], r["i"], r["j"])):
             own = list(own)
-            chunk = np.array([r["chunk"] for r in own])
-            found = product_links([np.frombuffer(r["grams"], np.uint64) for r in own], percent, chunk == i, chunk == j)
+            left = np.array([r["own"] and r["chunk"] == i for r in own])
+            right = np.array([r["chunk"] == j for r in own])
+            found = product_links([np.frombuffer(r["grams"], np.uint64) for r in own], percent, left, right)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([own[f[k]]["key"] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -197,10 +206,13 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             sig, key = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             held.clear()
             bucket = (sig % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((key, bucket))
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                parts = (sig[own] >> np.uint64(32)).astype("u4").tobytes(), key[own].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], ["bucket", "sig", "key"])
+                # Each set's key once, with the number of its signatures that follow.
+                first = np.flatnonzero(np.append(True, key[own][1:] != key[own][:-1]))
+                many = np.diff(np.append(first, len(own)))
+                parts = (sig[own] >> np.uint64(32)).astype("u4").tobytes(), key[own][first].tobytes(), many.astype("u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], ["bucket", "sig", "key", "many"])
 
         for batch in batches:
             for _, sets in _sets(batch.column(1), width):
@@ -221,13 +233,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For the sets of a partition's buckets that share a signature: each with the first of them."""
-        parts: dict[int, list[tuple[bytes, bytes]]] = {}
+        parts: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                parts.setdefault(row["bucket"], []).append((row["sig"], row["key"]))
+                parts.setdefault(row["bucket"], []).append((row["sig"], row["key"], row["many"]))
         for bucket in sorted(parts):
             own = parts.pop(bucket)
-            sig, key = np.frombuffer(b"".join(p[0] for p in own), "u4"), np.frombuffer(b"".join(p[1] for p in own), np.int64)
+            sig, key, many = (np.frombuffer(b"".join(p[k] for p in own), t) for k, t in enumerate(("u4", "i8", "u4")))
+            key = np.repeat(key, many)
             order = np.lexsort((key, sig))
             sig, key = sig[order], key[order]
             first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
@@ -238,7 +251,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             yield pa.RecordBatch.from_arrays([pa.array(pivot[new]), pa.array(key[new])], ["a", "b"])
 
     docs = materialize(rows.mapInArrow(keys, f"id {kind}, key long, n long"), "set-keys")
-    dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary").repartitionById(buckets, F.col("bucket"))
+    dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary, many binary").repartitionById(buckets, F.col("bucket"))
     meant = materialize(dealt.mapInArrow(meetings, "a long, b long").distinct(), "meetings")
     families = materialize(connected_components(meant).withColumnRenamed("node", "key").withColumnRenamed("component", "family"), "families")
 
