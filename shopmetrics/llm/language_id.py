@@ -143,8 +143,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per
     """A model from the rows of ``df`` that have a language; null texts teach nothing.
 
     At most about ``max_per_language`` texts of each language are fitted on: of a language with more, those
-    whose text hashes below the matching share, so equal texts are taken or left together and a
-    language may get a few more or less. Document frequencies cover all rows given.
+    whose text hashes below the matching share. Copies of a text are fitted on once, so that a text which
+    very many rows hold is one row of the sample. Document frequencies cover all rows given.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
@@ -157,7 +157,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_per_language / size))).otherwise(share)
     place = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(place < share)
+    sample = rows.where(place < share).dropDuplicates(["lang", "text"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
