@@ -99,7 +99,7 @@ def contamination(
     docs = df.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"), words_of(F.col(text_col)).alias("_w"))
     out = None
     for k in range(slices):
-        own = windows.where(F.pmod(F.hash("window"), F.lit(slices)) == k)
+        own = windows.where(F.pmod(F.hash("item", "window"), F.lit(slices)) == k)
         found = _near_anchors(docs, sorted(r[0] for r in own.select("anchor").distinct().collect()), window)
         # One row for the document itself, with c null, and one for each place.
         found = found.select("id", "key", F.size("_w").alias("n_words"), F.explode(F.concat(F.array(F.lit(None)), F.col("_near"))).alias("c"))
