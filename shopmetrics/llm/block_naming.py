@@ -131,8 +131,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 def keep_first_of_equals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, all columns; exact repeats of a row that stays leave one."""
-    marks = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    # One key for the join and for exact repeats, so that texts are shuffled once for both.
+    marks = exact_dedup(df, id_col, text_col).where("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias("_key"))
     marks = materialize(marks.distinct(), "kept-texts")
-    mine = df.withColumn("_sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    own = mine.join(marks, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    return own.dropDuplicates([id_col, "_sha"]).select(*df.columns)
+    mine = df.withColumn("_key", row_key(F.col(id_col), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    return mine.join(marks, "_key", "left_semi").dropDuplicates(["_key"]).select(*df.columns)
