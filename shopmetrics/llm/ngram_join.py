@@ -19,7 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -118,6 +118,7 @@ def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right:
     row = np.repeat(np.arange(len(sets)), size)
     _, column = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(column, kind="stable")
+    order = order[right[row[order]]]  # postings hold the rows on the right only
     posting = row[order]
     first = np.searchsorted(column[order], np.arange(int(column.max()) + 2))
     begin = np.cumsum(size) - size
@@ -146,31 +147,49 @@ def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right:
 def _multiplied(members: DataFrame, percent: int, buckets: int, most_bytes: int) -> DataFrame:
     """Links (a, b) within families: members (family, key, grams) in, links that connect all that are linked out.
 
-    Sets of a family are multiplied only with those of their own band of sizes and the next, since others cannot pass. A band
-    of more than ``most_bytes`` of n-grams is cut into chunks, and each pair of chunks is a block of its own, so that no
-    task holds more than two chunks.
+    A family of at most ``most_bytes`` of n-grams is one block. A larger one is cut into bands of sizes, so wide that a
+    partner is in the same or an adjacent band, and each band into chunks of about ``most_bytes``; each pair of chunks of
+    one band or of two adjacent ones is a block, so that no task holds more than two chunks.
     """
     width = math.log(100 / percent) * 1.001  # a partner is at most one band away
-    sized = members.withColumn("band", F.floor(F.log(F.length("grams") / 8) / width).cast("int"))
-    role = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("own"))))
-    dealt = sized.select("family", "key", "grams", role.alias("role")).select("family", "key", "grams", "role.band", "role.own")
-    sizes = dealt.groupBy("family", "band").agg(F.sum(F.length("grams")).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max("own").alias("any"))
-    sizes = sizes.where("rows > 1 and any").select("family", "band", F.ceil(F.col("bytes") / most_bytes).cast("int").alias("chunks"))
-    sizes = materialize(sizes, "family-chunks")
-    dealt = dealt.join(sizes, ["family", "band"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    each = F.sequence(F.lit(0), F.col("chunks") - 1)
-    right = F.transform(each, lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
-    left = F.transform(each, lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))
-    blocks = F.when(F.col("own"), F.array_distinct(F.concat(left, right))).otherwise(right)
-    dealt = dealt.select("family", "band", "key", "grams", "own", "chunk", F.explode(blocks).alias("b")).select("family", "band", "b.i", "b.j", "key", "grams", "own", "chunk")
-    dealt = dealt.repartition(buckets, "family", "band", "i", "j").sortWithinPartitions("family", "band", "i", "j", "key")
+    sized = members.withColumn("size_band", F.floor(F.log(F.length("grams") / 8) / width).cast("int"))
+    bands = materialize(sized.groupBy("family", "size_band").agg(F.sum(F.length("grams")).alias("bytes"), F.count(F.lit(1)).alias("rows")), "family-bands")
+    of_family = Window.partitionBy("family").orderBy("size_band")  # a row for each band, few in any family
+    whole = F.sum("bytes").over(Window.partitionBy("family")) <= most_bytes
+
+    def beside(step: int, name: str) -> Column:
+        """The same of the adjacent band below or above; 0 if that band is empty."""
+        other = F.lag if step < 0 else F.lead
+        return F.when(other("size_band").over(of_family) == F.col("size_band") + step, other(name).over(of_family)).otherwise(0)
+
+    plan = bands.withColumn("whole", whole).withColumn("chunks", F.when(F.col("whole"), 1).otherwise(F.ceil(F.col("bytes") / most_bytes)).cast("int"))
+    plan = plan.withColumns({f"{name}_{side}": F.when(F.col("whole"), 0).otherwise(beside(step, name)) for name in ("chunks", "rows") for side, step in (("below", -1), ("above", 1))})
+    plan = plan.where("whole or rows + rows_below + rows_above > 1")
+    plan = plan.select("family", "size_band", F.when(F.col("whole"), 0).otherwise(F.col("size_band")).alias("band"), "chunks", "chunks_below", "chunks_above")
+    dealt = sized.join(materialize(plan, "family-chunks"), ["family", "size_band"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+
+    def each(chunks: str, block) -> Column:
+        return F.transform(F.when(F.col(chunks) > 0, F.sequence(F.lit(0), F.col(chunks).cast("int") - 1)).otherwise(F.array().cast("array<int>")), block)
+
+    def block(low: Column, step: int, i: Column, j: Column) -> Column:
+        """Chunk ``i`` of the band ``low`` by chunk ``j`` of the same band (step 0) or of the one above (1)."""
+        return F.struct(low.cast("int").alias("low"), F.lit(step).alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    band, chunk = F.col("band"), F.col("chunk")
+    blocks = F.concat(
+        each("chunks", lambda k: block(band, 0, F.least(k, chunk), F.greatest(k, chunk))),
+        each("chunks_above", lambda k: block(band, 1, chunk, k)),
+        each("chunks_below", lambda k: block(band - 1, 1, k, chunk)),
+    )
+    dealt = dealt.select("family", "key", "grams", "band", "chunk", F.explode(blocks).alias("b")).select("family", "b.*", "key", "grams", "band", "chunk")
+    dealt = dealt.repartition(buckets, "family", "low", "step", "i", "j").sortWithinPartitions("family", "low", "step", "i", "j", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in batch.to_pylist())
-        for (_, _, i, j), own in groupby(rows, key=lambda r: (r["family"], r["band"], r["i"], r["j"])):
+        for (_, low, step, i, j), own in groupby(rows, key=lambda r: (r["family"], r["low"], r["step"], r["i"], r["j"])):
             own = list(own)
-            left = np.array([r["own"] and r["chunk"] == i for r in own])
-            right = np.array([r["chunk"] == j for r in own])
+            left = np.array([r["band"] == low and r["chunk"] == i for r in own])
+            right = np.array([r["band"] == low + step and r["chunk"] == j for r in own])
             found = product_links([np.frombuffer(r["grams"], np.uint64) for r in own], percent, left, right)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([own[f[k]]["key"] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
