@@ -7,6 +7,7 @@ from .acquisition import (
     funnel_metrics,
     funnel_segments,
     new_signups,
+    order_flags,
     segments_long,
     signup_flags,
     signup_orders,

@@ -2,10 +2,10 @@
 
 The reference derives seven customer sets with a chain of dedupes and
 anti joins over the sign-up orders. Here one aggregation per customer
-builds a flag table (first order row, any completed order); every
-segment is then a filter on that table, and "never ordered" is one anti
-join of the (deduplicated) sign-ups against it. All of them share the
-same customer-keyed shuffle.
+reduces the orders (first order row, any completed order). The metrics and
+the export of all sets come from one left join of the (deduplicated)
+sign-ups to that table; a single segment is a filter on the inner join,
+and "never ordered" an anti join with the reduced customers alone.
 """
 
 from __future__ import annotations
@@ -115,17 +115,16 @@ def signup_orders(orders: DataFrame, signups: DataFrame, since=None) -> DataFram
     return _order_rows(orders, since).join(s, "customer_id", "inner")
 
 
-def signup_flags(
+def order_flags(
     orders: DataFrame,
-    signups: DataFrame,
     since=None,
     category=None,
     order_by: Sequence[str] = ORDER_ORDER,
 ) -> DataFrame:
-    """One row per sign-up who ordered: their first order row since ``since``
-    (by ``order_by``, within the category), whether any of those orders is
+    """One row per customer who ordered: their first order row since ``since``
+    (by ``order_by``, within the category) and whether any of those orders is
     completed (T17: "purchased" tests the first row, "reached checkout"
-    tests all rows), and their sign-up columns.
+    tests all rows).
 
     The orders are reduced per customer *before* meeting the sign-ups: a
     join on the customer followed by a per-customer aggregate would reuse
@@ -137,7 +136,7 @@ def signup_flags(
         rows = rows.filter(F.col("business_cat") == category)
     rows = rows.filter(F.col("customer_id").isNotNull())
     rest = [c for c in rows.columns if c != "customer_id"]
-    first = (
+    return (
         rows.groupBy("customer_id")
         .agg(
             F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first"),
@@ -146,7 +145,18 @@ def signup_flags(
         .select("customer_id", *[F.col(f"_first.{c}").alias(c) for c in rest],
                 (F.col("_any_completed") == 1).alias("any_completed"))
     )
-    return first.join(distinct_signups(signups).withColumnRenamed("date", "registration_date"), "customer_id")
+
+
+def signup_flags(
+    orders: DataFrame,
+    signups: DataFrame,
+    since=None,
+    category=None,
+    order_by: Sequence[str] = ORDER_ORDER,
+) -> DataFrame:
+    """``order_flags`` of the customers who are sign-ups, with their sign-up columns."""
+    flags = order_flags(orders, since, category, order_by)
+    return flags.join(distinct_signups(signups).withColumnRenamed("date", "registration_date"), "customer_id")
 
 
 def distinct_signups(signups: DataFrame, order_by: Sequence[str] = SIGNUP_ORDER) -> DataFrame:
@@ -154,14 +164,18 @@ def distinct_signups(signups: DataFrame, order_by: Sequence[str] = SIGNUP_ORDER)
     return keep_first(signups.filter(F.col("customer_id").isNotNull()), ["customer_id"], order_by)
 
 
-def funnel_segments(signups: DataFrame, flags: DataFrame) -> dict[str, DataFrame]:
-    """The six customer sets of the funnel (R15), one row per customer."""
+def funnel_segments(signups: DataFrame, flags: DataFrame, ordered_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The six customer sets of the funnel (R15), one row per customer.
+
+    ``flags`` is ``signup_flags``. With ``ordered_ids`` (``order_flags``), "not ordered" meets these
+    instead of ``flags``, which has joined the sign-ups already.
+    """
     first_ok = F.col("new_status") == COMPLETED
     ordered = flags.drop("any_completed")
     return {
         "ordered": ordered,
         "not_ordered": distinct_signups(signups).join(
-            flags.select("customer_id"), "customer_id", "left_anti"
+            (flags if ordered_ids is None else ordered_ids).select("customer_id"), "customer_id", "left_anti"
         ),
         "completed": flags.filter(first_ok).drop("any_completed"),
         "in_progress": flags.filter(F.col("status") == IN_PROGRESS).drop("any_completed"),
@@ -172,14 +186,36 @@ def funnel_segments(signups: DataFrame, flags: DataFrame) -> dict[str, DataFrame
     }
 
 
-def segments_long(segments: dict[str, DataFrame]) -> DataFrame:
-    """All segments as one ``(segment, customer_id, email, phone)`` table for
-    export partitioned by segment (S10)."""
-    out = None
-    for name, df in segments.items():
-        part = df.select(F.lit(name).alias("segment"), "customer_id", "email", "phone")
-        out = part if out is None else out.unionByName(part)
-    return out
+SEGMENT_ORDER_COLUMNS = ("order_date", "order_id", "status", "new_status", "orders_origin", "business_cat", "total_amount_dzd", "first_open_date")
+
+
+def segments_long(signups: DataFrame, flags: DataFrame, first_open: DataFrame | None = None) -> DataFrame:
+    """The funnel's sets, the first-open sign-ups and all new sign-ups as one long table for export
+    partitioned by ``segment`` (S10), with every column of each set; those a set lacks are NULL.
+
+    ``flags`` is ``order_flags``: the (deduplicated) sign-ups meet it in one left join, and each row
+    is repeated for the sets it is in. ``registration_date`` is the sign-up's date.
+    """
+    own = distinct_signups(signups).withColumnRenamed("date", "registration_date")
+    rows = own.join(flags.withColumnRenamed("date", "order_date"), "customer_id", "left")
+    ordered, first_ok = F.col("new_status").isNotNull(), F.col("new_status") == COMPLETED
+    in_progress = F.col("status") == IN_PROGRESS
+    member = {
+        "new_signups": F.lit(True),
+        "not_ordered": ~ordered,
+        "ordered": ordered,
+        "completed": first_ok,
+        "in_progress": in_progress,
+        "checkout_abandoned": in_progress & ~F.col("any_completed"),
+        "not_completed": ordered & ~first_ok,
+    }
+    sets = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in member.items()]))
+    columns = [*own.columns, *(c for c in SEGMENT_ORDER_COLUMNS if c in rows.columns)]
+    long = rows.select(F.explode(sets).alias("segment"), *columns)
+    if first_open is None:
+        return long
+    opened = first_open.withColumnRenamed("date", "registration_date").withColumn("segment", F.lit("first_open"))
+    return long.unionByName(opened, allowMissingColumns=True)
 
 
 def funnel_metrics(
@@ -192,7 +228,7 @@ def funnel_metrics(
     """The eight funnel numbers in display order (R16: A12, A13, P17, X15).
 
     Counts 2, 3 and 5–8 come from a single pass over sign-ups left-joined
-    to the flag table; downloads and first-open are one aggregate each.
+    to ``flags`` (``order_flags``); downloads and first-open are one aggregate each.
     """
     s = distinct_signups(signups).select("customer_id")
     f = flags.select(

@@ -88,11 +88,12 @@ class Inputs:
     def signup_orders(self) -> DataFrame:
         return self._get("signup_orders", lambda: op.signup_orders(self.orders, self.signups, P.FUNNEL_SINCE))
 
-    def flags(self, category=None) -> DataFrame:
-        return self._get(("flags", category), lambda: op.signup_flags(self.orders, self.signups, P.FUNNEL_SINCE, category))
+    def order_flags(self, category=None) -> DataFrame:
+        return self._get(("order_flags", category), lambda: op.order_flags(self.orders, P.FUNNEL_SINCE, category))
 
     def segments(self) -> dict[str, DataFrame]:
-        return self._get("segments", lambda: op.funnel_segments(self.signups, self.flags()))
+        return self._get("segments", lambda: op.funnel_segments(
+            self.signups, op.signup_flags(self.orders, self.signups, P.FUNNEL_SINCE), self.order_flags()))
 
     @property
     def first_open(self) -> DataFrame:
@@ -101,13 +102,13 @@ class Inputs:
 
     def funnel(self, category=None, formatted=False) -> DataFrame:
         dl = op.downloads_slice(self.raw("raw_downloads"), None, P.USERS_START, P.USERS_END)
-        return op.funnel_metrics(dl, self.signups, self.first_open, self.flags(category), formatted)
+        return op.funnel_metrics(dl, self.signups, self.first_open, self.order_flags(category), formatted)
 
     def funnel_for_origin(self, origin: str) -> DataFrame:
         """The funnel of one origin: sign-ups, downloads and first-open rows
         are all sliced by it, as the acquisition page's filter does."""
         signups = op.new_signups(self.users, origin, None, P.USERS_START, P.USERS_END)
-        flags = op.signup_flags(self.orders, signups, P.FUNNEL_SINCE)
+        flags = self.order_flags()
         dl = op.downloads_slice(self.raw("raw_downloads"), origin, P.USERS_START, P.USERS_END)
         fo = op.first_open_signups(self.users, self.raw("raw_first_open"), origin, P.USERS_START, P.USERS_END)
         return op.funnel_metrics(dl, signups, fo, flags)
@@ -135,10 +136,11 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All funnel segments written partitioned by segment and read back."""
-    path = scratch_path(spark, "segments")
-    write_segments(op.segments_long(Inputs(spark, sf_dir).segments()), path)
-    return spark.read.parquet(path).select("segment", "customer_id", "email", "phone")
+    """All sets of the acquisition page written partitioned by segment and read back, every column."""
+    path, i = scratch_path(spark, "segments"), Inputs(spark, sf_dir)
+    written = op.segments_long(i.signups, i.order_flags(), i.first_open)
+    write_segments(written, path)
+    return spark.read.parquet(path).select(written.columns)
 
 
 def _segment(name: str) -> Query:

@@ -611,15 +611,20 @@ BODIES["funnel_metrics"] = _funnel_sql("flags_std")
 BODIES["funnel_metrics_text"] = _funnel_sql("flags_std", formatted=True)
 BODIES["funnel_metrics_alimentation"] = _funnel_sql("flags_alimentation")
 BODIES["funnel_metrics_local"] = _funnel_sql("flags_local", origin="Local")
-BODIES["segment_export_roundtrip"] = " UNION ALL ".join(
-    f"SELECT '{seg}' AS segment, customer_id, email, phone FROM ({BODIES[key]})"
-    for seg, key in [
-        ("ordered", "segment_ordered"),
-        ("not_ordered", "segment_not_ordered"),
-        ("completed", "segment_completed"),
-        ("in_progress", "segment_in_progress"),
-        ("checkout_abandoned", "segment_checkout_abandoned"),
-        ("not_completed", "segment_not_completed"),
+_SIGNUP_COLUMNS = "customer_id, registration_date, last_name, first_name, phone, email, customer_country, origin"
+_ORDER_COLUMNS = "order_date, order_id, status, new_status, orders_origin, business_cat, total_amount_dzd"
+_AS_SIGNUPS = "SELECT * RENAME (date AS registration_date) FROM ({})"
+_AS_ORDERS = "SELECT * RENAME (date AS order_date) FROM ({})"
+BODIES["segment_export_roundtrip"] = " UNION ALL BY NAME ".join(
+    [
+        f"SELECT 'new_signups' AS segment, s.*, {_ORDER_COLUMNS} FROM ({_AS_SIGNUPS.format('SELECT * FROM signups_distinct')}) s "
+        f"LEFT JOIN (SELECT customer_id, {_ORDER_COLUMNS} FROM ({_AS_ORDERS.format('SELECT * FROM flags_std')})) f USING (customer_id)",
+        f"SELECT 'not_ordered' AS segment, {_SIGNUP_COLUMNS} FROM ({_AS_SIGNUPS.format(BODIES['segment_not_ordered'])})",
+        *(
+            f"SELECT '{seg}' AS segment, {_SIGNUP_COLUMNS}, {_ORDER_COLUMNS} FROM ({_AS_ORDERS.format(BODIES['segment_' + seg])})"
+            for seg in ("ordered", "completed", "in_progress", "checkout_abandoned", "not_completed")
+        ),
+        f"SELECT 'first_open' AS segment, * FROM ({_AS_SIGNUPS.format('SELECT * FROM first_open_std')})",
     ]
 )
 

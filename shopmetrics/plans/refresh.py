@@ -58,11 +58,13 @@ def reports(tables: dict[str, DataFrame], p: ReportParams, materialize_inputs: b
     summary = op.category_ltv_summary(cat_ltv)
     communes = op.customers_by_commune(tables["geo"])
     signups = op.new_signups(users, p.origin, p.country, p.start, p.end)
-    flags = op.signup_flags(orders, signups, p.since, p.category)
+    flags = op.order_flags(orders, p.since, p.category)
     out = {
+        "orders": op.slice_rows(orders, {"origin": p.origin, "business_cat": p.category}, "date", p.start, p.end),
         "cohort_counts": counts,
         "cohort_matrix": op.cohort_matrix(counts, p.periods),
         "retention": op.retention(counts),
+        "retention_matrix": op.retention_matrix(counts, p.periods),
         "retention_text": op.retention_text(counts),
         "churn_deltas": op.churn_deltas(counts),
         "customer_ltv": op.customer_ltv(ltv, p.origin, p.category, p.start, p.end),
@@ -73,13 +75,16 @@ def reports(tables: dict[str, DataFrame], p: ReportParams, materialize_inputs: b
         "wilaya_centres": op.wilaya_centres(communes),
         "signups_by_period": op.signups_by_period(signups, p.granularity),
         "retarget_buyers": op.retarget_buyers(orders, p.buyer_days, p.as_of, _one(p.origin), _one(p.category)),
+        "retarget_buyers_rows": op.retarget_buyers(orders, p.buyer_days, p.as_of, _one(p.origin), _one(p.category), latest_only=False),
         "retarget_non_buyers": op.non_buyer_buckets(orders, p.as_of, _one(p.origin), _one(p.category)),
     }
     if "downloads" in tables and "first_open" in tables:
         dl = op.downloads_slice(tables["downloads"], p.origin, p.start, p.end)
         fo = op.first_open_signups(users, tables["first_open"], p.origin, p.start, p.end)
         out["funnel_metrics"] = op.funnel_metrics(dl, signups, fo, flags, formatted=True)
-    out["funnel_segments"] = op.segments_long(op.funnel_segments(signups, flags))
+    else:
+        fo = None
+    out["funnel_segments"] = op.segments_long(signups, flags, fo)
     return out
 
 
@@ -127,10 +132,20 @@ def main(argv=None) -> None:
     ap.add_argument("--as-of", required=True, type=dt.datetime.fromisoformat)
     ap.add_argument("--origin")
     ap.add_argument("--category")
+    ap.add_argument("--country")
+    ap.add_argument("--since", type=dt.date.fromisoformat)
+    ap.add_argument("--exclude-order", dest="excluded_orders", action="append", default=[])
+    ap.add_argument("--exclude-customer", dest="excluded_customers", action="append", default=[])
+    ap.add_argument("--buyer-days", dest="buyer_days", default=30, type=lambda v: int(v) if v.isdigit() else v)
+    ap.add_argument("--granularity", default="month", choices=("day", "week", "month"))
+    ap.add_argument("--currency", default="EUR", choices=("EUR", "DZD"))
+    ap.add_argument("--wilaya")
+    ap.add_argument("--periods", type=int, nargs="+")
     ap.add_argument("--format", default="parquet", choices=("parquet", "csv"))
     args = ap.parse_args(argv)
     spark = build_session()
-    params = ReportParams(args.start, args.end, args.as_of, args.origin, args.category)
+    given = {f.name: getattr(args, f.name) for f in fields(ReportParams)}
+    params = ReportParams(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
     for name, path in refresh(read_exports(spark, args), params, args.out, args.format).items():
         print(f"{name}\t{path}")
 

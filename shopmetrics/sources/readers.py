@@ -142,10 +142,12 @@ def load_tables(
 
 
 def read_text_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Exported worksheet: first row is the header, every cell stays text."""
+    """Exported worksheet: first row is the header, every cell stays text, quotes are doubled in quoted cells."""
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(path)
     )

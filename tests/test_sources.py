@@ -155,7 +155,7 @@ def test_refresh_writes_every_report(spark, small_dir):
     p = ReportParams(P.SLICE_START, P.SLICE_END, P.AS_OF, excluded_orders=P.EXCLUDED_ORDERS,
                      excluded_customers=P.EXCLUDED_CUSTOMERS, since=_dt.date(1998, 1, 1))
     written = refresh(tables, p, _tmp())
-    assert len(written) == 16 and all("origin=all" in v for v in written.values())
+    assert len(written) == 19 and all("origin=all" in v for v in written.values())
     back = spark.read.parquet(written["cohort_counts"])
     direct = op.cohort_counts(op.clean_orders(tables["orders"], P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS),
                               None, None, P.SLICE_START, P.SLICE_END)
@@ -175,7 +175,7 @@ def test_refresh_command_line_from_csv_exports(spark, small_dir, capsys):
     main([*sum(([f"--{k}", v] for k, v in paths.items()), []), "--out", out,
           "--start", "1998-01-01", "--end", "1998-12-31", "--as-of", "2001-09-01T12:00:00", "--origin", "Local"])
     lines = capsys.readouterr().out.strip().splitlines()
-    assert len(lines) == 15 and all("origin=Local" in ln for ln in lines)
+    assert len(lines) == 18 and all("origin=Local" in ln for ln in lines)
     assert spark.read.parquet(dict(ln.split("\t") for ln in lines)["retention"]).count() > 0
 
 
