@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import materialize, shuffle_width, utf8_view
+from .frames import materialize, row_key, shuffle_width, utf8_view
 from .wordhash import mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 2_000_000
@@ -197,7 +197,7 @@ def _multiplied(members: DataFrame, percent: int, buckets: int, most_bytes: int)
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, block_bytes: int = BLOCK_BYTES, by_row: bool = False) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``key`` (of its set).
 
     Two rows link when 100 * overlap >= percent * union of their sets of distinct word runs of ``width``; a text with
@@ -205,16 +205,21 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     component. Equal sets always link. Null ids count as larger than any other; a component of null ids only has a null
     component_id. An empty table gives an empty result. Other columns are not read. Sets and n-grams are told apart
     by 64-bit hashes.
+
+    ``by_row`` adds ``component``, the number of the component itself (null without words), as components of repeated or
+    null ids can have one component_id, and ``text_sha256``, which tells rows of one id apart.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     buckets = shuffle_width(spark)
+    digest = ["text_sha256"] if by_row else []
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(set_key(s), len(s)) for _, sets in _sets(batch.column(1), width) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["id", "key", "n"])
+            out = [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(out, ["id", "key", "n", *digest])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -269,7 +274,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             new = np.append(True, (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])) & (pivot != key)
             yield pa.RecordBatch.from_arrays([pa.array(pivot[new]), pa.array(key[new])], ["a", "b"])
 
-    docs = materialize(rows.mapInArrow(keys, f"id {kind}, key long, n long"), "set-keys")
+    told = rows.withColumn("text_sha256", text_digest(F.col("text"))) if by_row else rows
+    docs = materialize(told.mapInArrow(keys, f"id {kind}, key long, n long" + ", text_sha256 string" * by_row), "set-keys")
     dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary, many binary").repartitionById(buckets, F.col("bucket"))
     meant = materialize(dealt.mapInArrow(meetings, "a long, b long").distinct(), "meetings")
     families = materialize(connected_components(meant).withColumnRenamed("node", "key").withColumnRenamed("component", "family"), "families")
@@ -297,18 +303,36 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classes = classes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     classes = materialize(classes, "classes")
     names = materialize(classes.groupBy("component").agg(F.min("least").alias("component_id")), "component-names")
-    of_class = materialize(classes.join(names, "component").select("key", "component_id"), "class-components")
-    linked = docs.where("n > 0").join(of_class, "key").select("id", "n", "component_id", "key")
-    alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "key")
+    numbers = ["component"] if by_row else []
+    of_class = materialize(classes.join(names, "component").select("key", "component_id", *numbers), "class-components")
+    linked = docs.where("n > 0").join(of_class, "key").select("id", "n", "component_id", "key", *numbers, *digest)
+    alone = docs.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "key", *[F.lit(None).cast("long").alias(c) for c in numbers], *digest)
     return linked.unionByName(alone).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_col)
 
 
+def text_digest(text: Column) -> Column:
+    """Never null, so that a row key of it is not either."""
+    return F.coalesce(F.sha2(text.cast("string").cast("binary"), 256), F.lit(""))
+
+
 def keep_first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` with one document of each group of near copies, the one with the smallest id; all columns.
+    """``df`` with one row of each group of near copies, all columns; texts without words stay.
 
-    Texts without words stay. Of several rows with one id, those in one group with it stay or go together.
+    The row with the smallest id stays (null ids last); of several with that id, the one whose n-gram set, then text, has
+    the smallest hash. Rows are told apart by id and text, so rows of other groups that have the same id, or none
+    either, stay. Exact repeats of a row that stays leave one.
     """
-    groups = materialize(near_groups(df, id_col, text_col, width, percent), "near-groups")
-    gone = groups.where((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    gone = materialize(gone, "near-copies")
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    groups = near_groups(df, id_col, text_col, width, percent, by_row=True).where("n_shingles > 0")
+    # Equal texts are in one group, so a row key is of one group only.
+    keyed = groups.withColumn("_key", row_key(F.col(id_col), F.col("text_sha256"))).groupBy("_key")
+    keyed = keyed.agg(F.max("component").alias("component"), F.max(id_col).alias("id"), F.max("key").alias("set"), F.count(F.lit(1)).alias("copies"))
+    keyed = materialize(keyed, "near-rows")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "set", "_key", "copies")
+    first = materialize(keyed.groupBy("component").agg(F.min(order).alias("first")).select("first._key", "first.copies"), "first-rows")
+    gone = materialize(keyed.join(first, "_key", "left_anti").select("_key"), "near-copies")
+    stay = df.withColumn("_key", row_key(F.col(id_col), text_digest(F.col(text_col)))).join(gone, "_key", "left_anti")
+    repeated = materialize(first.where("copies > 1").select("_key"), "repeated-rows")
+    if not repeated.isEmpty():
+        once = stay.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        stay = stay.join(repeated, "_key", "left_anti").unionByName(once)
+    return stay.select(*df.columns)

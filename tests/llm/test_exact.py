@@ -259,6 +259,21 @@ def test_near_groups_are_brute_force(docs, width, percent, block_bytes):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == groups(rows, width, percent)
 
 
+def test_near_copies_go_by_row(docs):
+    a, b, c, d, e, z, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcdezo")
+    rows = [(1, a), (None, a + " tail"), (None, z), (3, b), (5, b + " tail"), (5, other)]  # an id that a near copy shares with a text of its own
+    rows += [(7, c), (7, c + " tail"), (None, d), (None, d + " tail"), (9, e), (9, e), (10, e), (None, None), (None, None), (11, "")]
+    frame = docs(rows)
+    out = ngram_join.keep_first_of_groups(frame)
+    assert out.columns == frame.columns
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept.total() == 10
+    one_of = lambda i, t: kept[i, t] + kept[i, t + " tail"] == 1
+    assert one_of(7, c) and one_of(None, d)
+    rest = Counter({k: n for k, n in kept.items() if (k[1] or "")[:2] not in ("c0", "d0")})
+    assert rest == Counter({(1, a): 1, (None, z): 1, (3, b): 1, (5, other): 1, (9, e): 1, (None, None): 2, (11, ""): 1})
+
+
 def test_passing_sets_share_a_signature():
     rng = np.random.default_rng(5)
     tried = 0
