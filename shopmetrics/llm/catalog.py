@@ -56,7 +56,8 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_ready(spark)
-    return training_order.write_training_order(read_table(spark, sf_dir, "documents"), scratch_path(spark, "training-order-shards"))
+    encode, dtype = training_order.bpe_ids(spark, vocabulary_path())
+    return training_order.write_training_order(read_table(spark, sf_dir, "documents"), scratch_path(spark, "training-order-shards"), encode=encode, dtype=dtype)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

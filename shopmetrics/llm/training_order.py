@@ -21,10 +21,12 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import MAX_VOCABULARY_BYTES, PIECE_BYTES, BytePairs, _coder
 from .frames import materialize, utf8_view
+from .wordhash import pieces
 
 SEQUENCE = 512
 PER_SHARD = 65_536
@@ -70,6 +72,26 @@ def utf8_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return data, offsets
 
 
+def bpe_ids(spark: SparkSession, vocabulary: str) -> tuple[Callable, str]:
+    """An encoder to ids of a byte-level BPE vocabulary (a path on the driver), and the type of its ids: u2 if all fit, else u4."""
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = f.read()
+    if len(spec) > MAX_VOCABULARY_BYTES:
+        raise ValueError("the vocabulary is too large to broadcast")
+    wide = "<u2" if len(BytePairs(spec).token_size) <= 1 << 16 else "<u4"
+    shared = spark.sparkContext.broadcast(spec)
+
+    def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        coder, ids, n = _coder(shared.value), [np.empty(0, wide)], [np.zeros(1, np.int64)]
+        for first, last in pieces(offsets, PIECE_BYTES):
+            own, at = coder.encode_bytes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            ids.append(own.astype(wide))
+            n.append(np.diff(at))
+        return np.concatenate(ids), np.cumsum(np.concatenate(n))
+
+    return encode, wide
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it that a folder of spark.checkpoint.dir stands for."""
     if urlparse(uri).scheme:
@@ -86,13 +108,16 @@ def write_training_order(
     per_shard: int = PER_SHARD,
     key: str = "0",
     encode: Callable = utf8_ids,
+    dtype: str = "u1",
 ) -> DataFrame:
     """Write the shards below ``out_dir``; one row per sequence: ``slot``, ``shard``, ``record``, id, ``seq`` (in its text), ``n_tokens``, ``crc32`` of its record.
 
     A record is ``length`` ids, little-endian, the last sequence of a text padded with 0 (``n_tokens`` tells padding from
     ids). Null and empty texts have no sequence. Repeated rows have sequences of their own; ids may be null; other
-    columns are not read. No sequence at all gives no file. The order in which the input's partitions give their
-    rows must be the same each time they are read, as with files; anything else is to be written first.
+    columns are not read. No sequence at all gives no file. ``dtype`` is the type of the ids that ``encode`` gives.
+
+    Texts are encoded once: their ids are written packed to the shared folder, and counted and dealt from there. A row's
+    number is its partition's begin and its place in it, both written beside the ids.
 
     On the way to its shard, a batch's share of a shard travels as one compressed row. A shard is written by one task
     to a file of a name of its own and moved to its place when whole, so a task that runs again writes the same
@@ -101,44 +126,58 @@ def write_training_order(
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A piece of a batch as one row: the texts' ids packed, and the number of the piece's first sequence in the partition."""
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n += int((-(-np.diff(encode(*utf8_view(batch.column(0)))[1]) // length)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+            data, at = utf8_view(batch.column(1))
+            for a, b in pieces(at, PIECE_BYTES):
+                ids, offsets = encode(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                raw = ids.astype(dtype, copy=False).tobytes()
+                n = int((-(-np.diff(offsets) // length)).sum())
+                names = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([n], pa.int64()), names, pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([len(raw)], pa.int64()), pa.array([pa.Codec("zstd").compress(raw, asbytes=True)], pa.binary())],
+                    ["part", "number", "n", "id", "sizes", "size", "ids"],
+                )
+                number += n
 
-    counted = rows.select("text").mapInArrow(sizes, "n long").select(F.spark_partition_id().alias("part"), "n")
-    per_part = {r["part"]: r["n"] for r in counted.collect()}  # one number for each partition of the input
+    packed = materialize(rows.mapInArrow(encoded, f"part int, number long, n long, id array<{kind}>, sizes array<long>, size long, ids binary"), "training-ids")
+    per_part = {r["part"]: r["n"] for r in packed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one number for each partition of the input
     total, before = 0, {}
     for part in sorted(per_part):
         before[part], total = total, total + per_part[part]
     order = SlotPermutation(total, key)
+    wide = np.dtype(dtype).itemsize  # bytes of an id
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = before.get(TaskContext.get().partitionId(), 0)
-        for batch in batches:
-            ids, offsets = encode(*utf8_view(batch.column(1)))
+        pieces_of = (batch.slice(k, 1) for batch in batches for k in range(len(batch)))
+        for piece in pieces_of:
+            part, number, _, names_of, sizes, size, ids = piece.columns
+            ids = np.frombuffer(pa.Codec("zstd").decompress(ids[0].as_py(), size[0].as_py(), asbytes=True), dtype)
+            names_of = names_of.flatten()
+            offsets = np.append(0, np.cumsum(sizes.flatten().to_numpy()))
+            number = before[part[0].as_py()] + number[0].as_py()
             n = -(-np.diff(offsets) // length)
             of = np.repeat(np.arange(len(n)), n)
             seq = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             begin = offsets[of] + seq * length
             size = np.minimum(offsets[of + 1] - begin, length)
             slot = order.slot(np.arange(number, number + len(of)))
-            number += len(of)
             by_slot = np.argsort(slot)
             shard = slot[by_slot] // per_shard
             for own in np.split(by_slot, np.flatnonzero(np.diff(shard)) + 1) if len(of) else []:
                 raw = b"".join(ids[b : b + s].tobytes() for b, s in zip(begin[own].tolist(), size[own].tolist()))
                 lists = [pa.array([x], pa.list_(pa.int64())) for x in (slot[own], seq[own], size[own])]
-                names = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), batch.column(0).take(pa.array(of[own])))
+                names = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), names_of.take(pa.array(of[own])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([slot[own[0]] // per_shard], pa.int32()), *lists, names, pa.array([len(raw)], pa.int64()), pa.array([pa.Codec("zstd").compress(raw, asbytes=True)], pa.binary())],
                     ["shard", "slot", "seq", "n", "id", "size", "ids"],
                 )
 
-    cut = rows.mapInArrow(sequences, f"shard int, slot array<long>, seq array<long>, n array<long>, id array<{kind}>, size long, ids binary")
+    cut = packed.mapInArrow(sequences, f"shard int, slot array<long>, seq array<long>, n array<long>, id array<{kind}>, size long, ids binary")
     dealt = cut.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("shard")
 
     def write_shard(shard: int, parts: list[dict]) -> pa.RecordBatch:
@@ -147,7 +186,6 @@ def write_training_order(
         slot, seq, n = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in ("slot", "seq", "n"))
         names = [i for p in parts for i in p["id"]]
         raw = b"".join(pa.Codec("zstd").decompress(p["ids"], p["size"], asbytes=True) for p in parts)
-        wide = len(raw) // max(1, int(n.sum()))  # bytes of an id
         begin = (np.cumsum(n) - n) * wide
         by_slot = np.argsort(slot)
         name, checks = f"{folder}/.{shard:05d}-{uuid4().hex}", []

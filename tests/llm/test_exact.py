@@ -153,6 +153,23 @@ def test_training_order_round_trip(docs, tmp_path):
     assert [r.slot for r in sorted(out, key=lambda r: (str(r.doc_id), r.seq))] != list(range(n))
 
 
+def test_training_order_holds_the_vocabulary_ids(ready, docs, tmp_path, monkeypatch):
+    from shopmetrics.llm import catalog
+
+    rows = [(k, t) for k, (_, t) in enumerate(ROWS)]
+    monkeypatch.setattr(catalog, "read_table", lambda *_: docs(rows))
+    monkeypatch.setattr(catalog, "scratch_path", lambda *_: str(tmp_path / "o"))
+    out = catalog.op3_training_order(ready, "").collect()
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        coder = bpe.BytePairs(f.read())
+    dtype = "<u2" if len(coder.token_size) <= 1 << 16 else "<u4"
+    back: dict = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.seq)):
+        (ids,) = training_order.read_slots(str(tmp_path / "o"), r.slot, 1, dtype=dtype)
+        back.setdefault(r.doc_id, []).extend(ids[: r.n_tokens].tolist())
+    assert back == {k: coder.encode(t) for k, t in rows if t}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_slots_are_a_bijection(n):
     order = training_order.SlotPermutation(n, "key")
