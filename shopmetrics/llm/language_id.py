@@ -143,11 +143,13 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per
     """A model from the rows of ``df`` that have a language; null texts teach nothing.
 
     At most about ``max_per_language`` texts of each language are fitted on: of a language with more, those
-    whose text hashes below the matching share. Copies of a text are fitted on once, so that a text which
-    very many rows hold is one row of the sample. Document frequencies cover all rows given.
+    whose text hashes below the matching share. Copies of a text are one, both in the sample and in the size of the
+    language (by a 64-bit hash), so a text which very many rows hold takes no place of others. Document frequencies
+    cover all rows given.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    texts = rows.select("lang", F.xxhash64("text").alias("text")).distinct()
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))

@@ -34,6 +34,17 @@ def test_language_of_odd_texts(docs):
     assert {r.lang_pred for r in language_id.predict(docs(odd), nothing).collect()} == {"und"}
 
 
+def test_copies_take_no_place_in_the_sample(docs, monkeypatch):
+    rows = [(k, f"the of and with {k}", "en", "s") for k in range(30)] + [(k, f"der die und mit {k}", "de", "s") for k in range(30)]
+    rows += [(100 + k, "das ist ein text", "de", "s") for k in range(3000)]
+    fitted, fit = [], language_id.fit_ftrl
+    monkeypatch.setattr(language_id, "fit_ftrl", lambda rows, n: fitted.extend(rows) or fit(rows, n))
+    model = language_id.train(docs(rows), max_per_language=40)
+    taken = Counter(model.languages[r[0]] for r in fitted)  # four of five; the others set the temperature
+    assert taken["de"] + taken["en"] == 49 and taken["de"] >= 24
+    assert model.predict("der die und mit")[0] == "de"
+
+
 def test_pipeline_stages(ready, small_dir, tmp_path):
     docs = ready.read.parquet(f"{small_dir}/documents.parquet")
     columns, seen = docs.columns, {}
