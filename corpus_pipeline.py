@@ -18,7 +18,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier knows; a text that is null, has no letter or is told with less than the least score goes."""
+    """Documents whose language the classifier knows; a text that is null, has no letter or is told with less than the least score goes.
+
+    If no row has a ``lang``, there is no classifier, and all texts with a letter stay.
+    """
     python_ready(spark)
     return language_id.keep_known(docs, language_id.train(docs), least=LEAST_LANGUAGE_SCORE)
 

@@ -212,14 +212,21 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5, languages: list[str] | None = None) -> DataFrame:
-    """The rows of ``df`` whose language is known with at least this score (and, if given, is among ``languages``); all columns stay."""
+    """The rows of ``df`` whose language is known with at least this score (and, if given, is among ``languages``); all columns stay.
+
+    A model of no language rejects nothing: unless ``languages`` are given, every text with a letter stays.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            said = [own.predict(t) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            if not own.languages and languages is None:
+                yield batch.filter(pa.array([t is not None and has_letter(t) for t in texts], pa.bool_()))
+                continue
+            said = [own.predict(t) for t in texts]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least and (languages is None or lang in languages) for lang, score in said], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -34,6 +34,13 @@ def test_language_of_odd_texts(docs):
     assert {r.lang_pred for r in language_id.predict(docs(odd), nothing).collect()} == {"und"}
 
 
+def test_language_stage_without_languages(ready, docs):
+    frame = docs([(1, "clean text", None, "s"), (2, "é", None, "s"), (3, "12 %", None, "s"), (4, None, None, "s"), (5, "", None, "s")])
+    out = corpus_pipeline.language(ready, frame, "")
+    assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+    assert language_id.keep_known(frame, language_id.train(frame), languages=["en"]).count() == 0
+
+
 def test_copies_take_no_place_in_the_sample(docs, monkeypatch):
     rows = [(k, f"the of and with {k}", "en", "s") for k in range(30)] + [(k, f"der die und mit {k}", "de", "s") for k in range(30)]
     rows += [(100 + k, "das ist ein text", "de", "s") for k in range(3000)]
