@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     block_naming,
     bpe,
+    conversation_repair,
     decontaminate,
     kneser_ney,
     language_id,
@@ -100,6 +101,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_ready(spark)
+    return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_suffix_array_dedup, op3_training_order, op4_sharding, op5_url_reputation, op6_ngram_join, op7_language_id, op8_kneser_ney, op9_block_naming, op10_decontaminate)
+    own = (op1_bpe, op2_suffix_array_dedup, op3_training_order, op4_sharding, op5_url_reputation, op6_ngram_join, op7_language_id, op8_kneser_ney, op9_block_naming, op10_decontaminate, op12_conversation_repair)
     return {f.__name__: f for f in own}

@@ -100,6 +100,70 @@ reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+# crc32 bit by bit; the cheapest edits forward, a (cost, edits) pair for each of the four states; turns from the edits.
+_EDIT = "struct_pack(c := {x}.c + {cost}, a := {x}.a || '{edit}')"
+_NEVER = "struct_pack(c := 1000000000::BIGINT, a := '')"
+
+
+def _edit(x: str, edit: str, cost: str) -> str:
+    return _EDIT.format(x=x, edit=edit, cost=cost)
+
+
+def _when(test: str, then: str) -> str:
+    return f"CASE WHEN {test} THEN {then} ELSE {_NEVER} END"
+
+
+_KEEP, _REROLE = "(CASE WHEN fault = 3 THEN 5 ELSE 0 END)", "(CASE WHEN fault = 3 THEN 6 ELSE 1 END)"
+_STAYS = "fault NOT IN (1, 2)"
+_TO_USER = ", ".join(f"{_when(_STAYS + chr(32) + 'AND init = ' + chr(39) + 'u' + chr(39), _edit(x, 'K', _KEEP))}, {_when(_STAYS, _edit(x, 'R', _REROLE))}" for x in ("y0", "y1", "y3"))
+
+OP12 = rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS spot FROM conversations),
+crc AS (
+  SELECT spot, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(spot) + 1), lambda i: ascii(spot[i])::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::BIGINT)),
+             lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 20 AS fate
+  FROM (SELECT DISTINCT spot FROM base)),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM base JOIN crc USING (spot) WHERE fate <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS init,
+         right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending FROM damaged),
+r AS (
+  SELECT conv_id, i, turn, role, text, init, lag(init) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN ending = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM numbered),
+stats AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || init NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, a := '') AS x0, {_NEVER} AS x1, {_NEVER} AS x2, {_NEVER} AS x3 FROM stats
+  UNION ALL
+  SELECT conv_id, i, {_edit("y0", "D", "2")}, list_min([{_edit("y1", "D", "2")}, {_when(_STAYS + " AND init = 's'", _edit("y0", "K", _KEEP))}]),
+         list_min([{_edit("y2", "D", "2")}, {_TO_USER}]),
+         list_min([{_edit("y3", "D", "2")}, {_when(_STAYS + " AND init = 'a'", _edit("y2", "K", _KEEP))}, {_when(_STAYS, _edit("y2", "R", _REROLE))}])
+  FROM (SELECT *, list_min([x3, {_edit("y2", "I", "5")}]) AS y3
+        FROM (SELECT r.conv_id, r.i, init, fault, x0 AS y0, x1 AS y1, x3, list_min([x2, {_edit("x0", "I", "5")}, {_edit("x1", "I", "5")}, {_edit("x3", "I", "5")}]) AS y2
+              FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1))),
+done AS (
+  SELECT dp.conv_id, list_min([x0, x3, {_edit("x2", "I", "5")}, {_edit("x1", "II", "10")}]) AS best FROM dp JOIN stats ON stats.conv_id IS NOT DISTINCT FROM dp.conv_id AND dp.i = stats.n),
+edits AS (SELECT conv_id, k, best.a[k] AS e FROM (SELECT conv_id, best, unnest(range(1, len(best.a) + 1)) AS k FROM done)),
+placed AS (
+  SELECT conv_id, k, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS o FROM edits),
+turns AS (
+  SELECT p.conv_id, p.k, e, o, role, CASE WHEN e = 'I' THEN '' ELSE text END AS text, max(CASE WHEN o = 1 AND e = 'K' AND init = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS shift
+  FROM placed p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE e <> 'D'),
+told AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS body FROM turns GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM every LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM every.conv_id
+     LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM every.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2, "op5_url_reputation": OP5, "op6_ngram_join": OP6, "op9_block_naming": OP9, "op10_decontaminate": OP10}
+    return {"op2_suffix_array_dedup": OP2, "op5_url_reputation": OP5, "op6_ngram_join": OP6, "op9_block_naming": OP9, "op10_decontaminate": OP10, "op12_conversation_repair": OP12}
