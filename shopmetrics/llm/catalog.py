@@ -12,6 +12,7 @@ from . import (
     bpe,
     conversation_repair,
     decontaminate,
+    hard_negatives,
     kneser_ney,
     language_id,
     ngram_join,
@@ -106,6 +107,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf_dir, "conversations")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_ready(spark)
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), anchor=F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_suffix_array_dedup, op3_training_order, op4_sharding, op5_url_reputation, op6_ngram_join, op7_language_id, op8_kneser_ney, op9_block_naming, op10_decontaminate, op12_conversation_repair)
+    own = (op1_bpe, op2_suffix_array_dedup, op3_training_order, op4_sharding, op5_url_reputation, op6_ngram_join, op7_language_id, op8_kneser_ney, op9_block_naming, op10_decontaminate, op12_conversation_repair, op13_hard_negatives)
     return {f.__name__: f for f in own}

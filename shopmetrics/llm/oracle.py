@@ -164,6 +164,16 @@ FROM every LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM every.conv_id L
      LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM every.conv_id
 """
 
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS at, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.at AS a, a.vec_id AS anchor_id, b.at AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.at <> b.at),
+p AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY a, p.b ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2, "op5_url_reputation": OP5, "op6_ngram_join": OP6, "op9_block_naming": OP9, "op10_decontaminate": OP10, "op12_conversation_repair": OP12}
+    return {"op2_suffix_array_dedup": OP2, "op5_url_reputation": OP5, "op6_ngram_join": OP6, "op9_block_naming": OP9, "op10_decontaminate": OP10, "op12_conversation_repair": OP12, "op13_hard_negatives": OP13}
