@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     block_naming,
     bpe,
+    chosen_path,
     conversation_repair,
     decontaminate,
     hard_negatives,
@@ -102,6 +103,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_ready(spark)
+    return chosen_path.near_copies(read_table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_ready(spark)
     return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf_dir, "conversations")))
@@ -115,5 +121,5 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_suffix_array_dedup, op3_training_order, op4_sharding, op5_url_reputation, op6_ngram_join, op7_language_id, op8_kneser_ney, op9_block_naming, op10_decontaminate, op12_conversation_repair, op13_hard_negatives)
+    own = (op1_bpe, op2_suffix_array_dedup, op3_training_order, op4_sharding, op5_url_reputation, op6_ngram_join, op7_language_id, op8_kneser_ney, op9_block_naming, op10_decontaminate, op11_chosen_path, op12_conversation_repair, op13_hard_negatives)
     return {f.__name__: f for f in own}

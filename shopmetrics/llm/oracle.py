@@ -99,6 +99,8 @@ links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (g) JOIN n
 reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id WHERE r.root < l.b)
 SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+OP11 = OP6.replace("i + 2)", "i + 4)").replace("len(w) - 2", "len(w) - 4").replace(">= 90 *", ">= 85 *")
+OP11 = OP11.replace("min(root) AS component_id FROM", "min(root) AS component_id, doc_id = min(root) AS kept FROM")
 
 # crc32 bit by bit; the cheapest edits forward, a (cost, edits) pair for each of the four states; turns from the edits.
 _EDIT = "struct_pack(c := {x}.c + {cost}, a := {x}.a || '{edit}')"
@@ -176,4 +178,4 @@ FROM p JOIN s USING (a) WHERE NOT same AND 50 * positive_score <= 100 * score AN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2, "op5_url_reputation": OP5, "op6_ngram_join": OP6, "op9_block_naming": OP9, "op10_decontaminate": OP10, "op12_conversation_repair": OP12, "op13_hard_negatives": OP13}
+    return {"op2_suffix_array_dedup": OP2, "op5_url_reputation": OP5, "op6_ngram_join": OP6, "op9_block_naming": OP9, "op10_decontaminate": OP10, "op11_chosen_path": OP11, "op12_conversation_repair": OP12, "op13_hard_negatives": OP13}
