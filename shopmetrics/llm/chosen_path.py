@@ -1,27 +1,32 @@
 """Near copies by chosen-path trees over word shingles (operator 11).
 
-A node of a tree is a group of documents. It branches by ``PICKS`` minwise tokens: each pick is a hash function drawn
-anew for the node, a document goes to the child named by the least hash of its shingles, so two documents of similarity
-s share a child with 1 - (1 - s)^PICKS. Documents alone in a node leave the tree. A small node is compared
-exhaustively on full sets; a large one branches on. A large node of which one child keeps most of the rows is of documents
-that are alike, and branching on would only copy it: it is compared in blocks instead, spread over tasks.
+Each document's shingle set is embedded in ``SKETCH`` minwise tokens. A node of a tree is a group of documents. It
+branches by ``PICKS`` tokens chosen anew for the node: a document goes to the child of each token's value, so two documents of
+similarity s share a child with 1 - (1 - s)^PICKS. Documents alone in a node leave the tree. A small node is compared
+exhaustively: first its sketches (one byte a token), then the full sets of those whose sketches do not rule out a link.
+A large node branches on. A large node of which one child keeps most of the rows is of documents that are alike, and branching
+on would only copy it: its full sets are compared in blocks instead, spread over tasks.
 
 ``TREES`` independent trees are grown. With 6 trees of 2 picks a pair at 0.85 misses all first-level children with probability
-0.15^12 < 1e-9, and is lost in all trees that go deeper with less than 1e-8 (a tree whose picks all branch on keeps a pair with 0.968).
+0.15^12 < 1e-9, and is lost in all trees that go deeper with less than 1e-8 (a tree whose picks all branch on keeps a pair with
+0.968); the sketches of a pair rule it out wrongly with less than ``MISS``.
 
 Only the connection counts, so pairs that are connected already are not compared: within a node, once one component holds
-the most rows, only the rows outside it are held against all. The first tree is evaluated before the others, whose
-nodes are mostly of one component by then and go.
+the most rows, only the rows outside it are held against all. The first tree's candidates are verified before the others',
+which are mostly of one component by then and go. Nodes are narrow rows (a key and a sketch); shingles are
+fetched for candidates only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -30,26 +35,50 @@ from .ngram_join import set_key
 from .wordhash import mix, pieces, shingle_hashes, word_hashes
 
 TREES, PICKS = 6, 2
-LEAF_ROWS, LEAF_GRAMS = 1000, 1 << 20
-BLOCK_GRAMS = 1 << 21
+SKETCH = 64
+MISS = 1e-9
+LEAF_ROWS, LEAF_GRAMS = 256, 1 << 20
+BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 21
 HUBS = 4  # of a chunk
 ALIKE = 0.7  # of a node's rows in one child
 DEEPEST = 8  # a node still large there is compared in blocks
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
+_SEEDS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64)).reshape(2, SKETCH)
 
 
-def _pick(grams: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
-    """The least hash of each set (sets lie behind one another, none is empty) under the function ``seed``, mixed with it."""
-    own, odd = mix(np.array([seed, seed ^ 0x5851F42D4C957F2D], np.uint64))
-    return mix(np.minimum.reduceat((grams ^ own) * (odd | np.uint64(1)), first) ^ own)
-
-
-def first_paths(sets: list[np.ndarray], picks: int) -> np.ndarray:
-    """The first-level children of each non-empty set, a column for each pick of each tree."""
+def minwise(sets: list[np.ndarray]) -> np.ndarray:
+    """The minwise tokens of non-empty sets, a row for each set."""
     grams = np.concatenate(sets)
     size = np.array([len(s) for s in sets])
     first = np.cumsum(size) - size
-    return np.stack([_pick(grams, first, k + 1) for k in range(picks)], 1)
+    out = np.empty((len(sets), SKETCH), np.uint64)
+    for k in range(SKETCH):
+        out[:, k] = np.minimum.reduceat((grams ^ _SEEDS[0, k]) * (_SEEDS[1, k] | np.uint64(1)), first)
+    return mix(out ^ _SEEDS[0])
+
+
+@lru_cache(maxsize=64)
+def least_agreeing(percent: int) -> int:
+    """In how many places the sketches of a pair at the threshold agree at least, but for a chance of ``MISS``."""
+    chance, total = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        total += math.comb(SKETCH, k) * chance**k * (1 - chance) ** (SKETCH - k)
+        if total > MISS:
+            return k
+    return SKETCH
+
+
+def candidates(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """A number for each row of a node; rows that may link, directly or over others, have the same."""
+    label = np.arange(len(sizes))
+    least = least_agreeing(percent)
+    for k in range(len(sizes)):
+        near = (sketches[k:] == sketches[k]).sum(1) >= least
+        near &= 100 * np.minimum(sizes[k:], sizes[k]) >= percent * np.maximum(sizes[k:], sizes[k])
+        for other in np.unique(label[k:][near]).tolist():
+            if other != label[k]:
+                label[label == other] = label[k]
+    return label
 
 
 class Product:
@@ -109,7 +138,7 @@ def connect(sets: list[np.ndarray], label: np.ndarray, percent: int, rows: np.nd
 
 def _sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
     data, offsets = utf8_view(column)
-    for first, last in pieces(offsets):
+    for first, last in pieces(offsets, 1 << 20):
         words, at = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         yield shingle_hashes(words, at, width)
 
@@ -131,16 +160,89 @@ def _dealt(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
     return df.repartition(buckets, *by).sortWithinPartitions(*by, "key")
 
 
-class _Trees:
-    """One run: the sets, the threshold, how large a node may be."""
+class _Sizes:
+    """How large a node and a block may be."""
+
+    def __init__(self, leaf_rows: int, leaf_grams: int, block_rows: int, block_grams: int):
+        self.leaf_rows, self.leaf_grams, self.block_rows, self.block_grams = leaf_rows, leaf_grams, block_rows, block_grams
+
+    def small(self) -> Column:
+        return (F.col("rows") <= self.leaf_rows) & (F.col("grams") <= self.leaf_grams)
+
+
+MEMBER = ["tree", "path", "key", "n", "sketch"]
+
+
+def grow(members: DataFrame, percent: int, sizes: _Sizes) -> DataFrame:
+    """members (tree, path, key, n, sketch) of first-level nodes -> (tree, path, key, n) of groups to verify."""
+    buckets = shuffle_width(members.sparkSession)
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches, ["path"]):
+            sketches = np.frombuffer(b"".join(r["sketch"] for r in own), np.uint8).reshape(-1, SKETCH)
+            label = candidates(sketches, np.array([r["n"] for r in own]), percent)
+            stay = np.flatnonzero(np.bincount(label)[label] > 1).tolist()
+            if stay:
+                names = mix(np.uint64(own[0]["path"] & (2**64 - 1)) ^ mix(label.astype(np.uint64) + np.uint64(1))).view(np.int64)
+                columns = [[own[k]["tree"] for k in stay], names[stay], [own[k]["key"] for k in stay], [own[k]["n"] for k in stay]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int64(), pa.int64()])], ["tree", "path", "key", "n"])
 
-    def __init__(self, sets: DataFrame, percent: int, leaf_rows: int, leaf_grams: int, block_grams: int):
-        self.sets, self.percent = sets, percent
-        self.leaf_rows, self.leaf_grams, self.block_grams = leaf_rows, leaf_grams, block_grams
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The children of large nodes, each row in PICKS of them."""
+        for batch in batches:
+            if len(batch):
+                path = batch.column("path").to_numpy().view(np.uint64)
+                sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                for pick in range(PICKS):
+                    choice = mix(path ^ np.uint64((pick + 1) << 56))
+                    token = sketch[np.arange(len(path)), (choice % np.uint64(SKETCH)).astype(np.int64)]
+                    child = mix(choice ^ (token.astype(np.uint64) + np.uint64(1))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("rows"), batch.column("tree"), pa.array(child), batch.column("key"), batch.column("n"), batch.column("sketch")], ["parent", "rows", *MEMBER])
+
+    found = []
+    level = 1
+    while True:
+        nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).where("rows > 1")
+        nodes = materialize(nodes, "nodes")
+        small = members.join(nodes.where(F.col("rows") <= sizes.leaf_rows).select("path"), "path").select(*MEMBER)
+        found.append(materialize(_dealt(small, ["path"], buckets).mapInArrow(leaf, "tree int, path long, key long, n long"), "candidates"))
+        large = nodes.where(F.col("rows") > sizes.leaf_rows).select("path", "rows")
+        if large.isEmpty():
+            break
+        inside = materialize(members.join(large, "path").select("rows", *MEMBER), "large-members")
+        children = materialize(inside.mapInArrow(branch, "parent long, rows long, tree int, path long, key long, n long, sketch binary"), "children")
+        kept = children.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("stay"), F.max("rows").alias("rows"))
+        alike = materialize(kept.where((F.col("stay") >= ALIKE * F.col("rows")) | F.lit(level >= DEEPEST)).select("parent").distinct(), "alike")
+        found.append(inside.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi").select("tree", "path", "key", "n"))
+        members = materialize(children.join(alike, "parent", "left_anti").select(*MEMBER), "members")
+        level += 1
+    out = found[0]
+    for groups in found[1:]:
+        out = out.unionByName(groups)
+    return materialize(out, "groups")
+
+
+class _Verify:
+    """Exact comparison of groups on full sets."""
+
+    def __init__(self, sets: DataFrame, percent: int, sizes: _Sizes):
+        self.sets, self.percent, self.sizes = sets, percent, sizes
+        self.block_rows, self.block_grams = sizes.block_rows, sizes.block_grams
         self.buckets = shuffle_width(sets.sparkSession)
 
+    def links(self, members: DataFrame) -> DataFrame:
+        """members (path, key, n, label) -> links; groups that are connected already, or have the members of another group, go."""
+        groups = members.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"), F.expr("bit_xor(xxhash64(key))").alias("mark"), (F.min("label") != F.max("label")).alias("apart"))
+        groups = groups.where("rows > 1 AND apart").groupBy("rows", "mark", "grams").agg(F.min("path").alias("path"))
+        groups = materialize(groups, "groups-once")
+        out = self.leaves(members.join(groups.where(self.sizes.small()).select("path"), "path"))
+        large = groups.where(~self.sizes.small()).select("path")
+        if not large.isEmpty():
+            out = out.unionByName(self.blocks(members.join(large, "path").select("path", "key", "n", "label")))
+        return materialize(out, "links")
+
     def leaves(self, members: DataFrame) -> DataFrame:
-        """members (path, key, label) of small nodes -> links."""
+        """members (path, key, label) of small groups -> links."""
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,22 +253,6 @@ class _Trees:
 
         return _dealt(members.select("path", "key", "label").join(self.sets, "key"), ["path"], self.buckets).mapInArrow(run, LINKS)
 
-    def branch(self, members: DataFrame) -> DataFrame:
-        """members (path, rows, key, n, label) of large nodes -> their children (parent, rows, path, key, n, label)."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for r in batch.to_pylist():
-                    grams = np.frombuffer(r["grams"], np.uint64)
-                    for pick in range(PICKS):
-                        seed = int(mix(np.array([(r["path"] & (2**64 - 1)) ^ ((pick + 1) << 60)], np.uint64))[0])
-                        child = int(_pick(grams, np.zeros(1, np.int64), seed).view(np.int64)[0])
-                        out.append((r["path"], r["rows"], child, r["key"], r["n"], r["label"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, ["parent", "rows", "path", "key", "n", "label"])
-
-        return members.join(self.sets, "key").mapInArrow(run, "parent long, rows long, path long, key long, n long, label long")
-
     def blocks(self, members: DataFrame) -> DataFrame:
         """members (path, key, n, label) of large nodes of documents that are alike -> links.
 
@@ -174,7 +260,7 @@ class _Trees:
         largest component, in blocks.
         """
         percent, hubs_of_chunk = self.percent, HUBS
-        chunks = members.groupBy("path").agg(F.ceil(F.sum("n") / self.block_grams).cast("int").alias("chunks"))
+        chunks = members.groupBy("path").agg(F.greatest(F.ceil(F.sum("n") / self.block_grams), F.ceil(F.count(F.lit(1)) / self.block_rows)).cast("int").alias("chunks"))
         dealt = members.join(chunks, "path").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         dealt = materialize(dealt.select("path", "chunk", "chunks", "key", "label").join(self.sets, "key"), "alike-chunks")
 
@@ -205,42 +291,16 @@ class _Trees:
         again = dealt.drop("label").join(known.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
         again = materialize(again, "alike-labels")
         often = again.groupBy("path", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("grams") / 8).alias("grams"))
-        most = often.groupBy("path").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("grams").alias("all"), F.max_by("grams", F.struct("rows", "label")).alias("in_main"))
-        most = materialize(most.select("path", "main", F.ceil((F.col("all") - F.col("in_main")) / self.block_grams).cast("int").alias("parts")).where("parts > 0"), "open-parts")
+        most = often.groupBy("path").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("grams").alias("all"), F.max_by("grams", F.struct("rows", "label")).alias("in_main"), F.sum("rows").alias("every"), F.max("rows").alias("of_main"))
+        most = materialize(most.select("path", "main", F.greatest(F.ceil((F.col("all") - F.col("in_main")) / self.block_grams), F.ceil((F.col("every") - F.col("of_main")) / self.block_rows)).cast("int").alias("parts")).where("parts > 0"), "open-parts")
         outside = again.join(most, "path").where("label <> main").withColumn("part", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int"))
         outside = outside.withColumn("chunk", each("chunks")).withColumn("row", F.lit(True))
         all_rows = again.join(most.select("path", "parts"), "path").withColumn("part", each("parts")).withColumn("row", F.lit(False))
         more = _dealt(outside.select(*block).unionByName(all_rows.select(*block)), ["path", "part", "chunk"], self.buckets).mapInArrow(held, LINKS)
         return links.unionByName(materialize(more, "open-links"))
 
-    def grow(self, members: DataFrame) -> DataFrame:
-        """members (path, key, n, label) of the first level of some trees -> links."""
-        found = []
-        level = 1
-        while True:
-            nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"), F.expr("bit_xor(xxhash64(key))").alias("mark"), (F.min("label") != F.max("label")).alias("apart"))
-            nodes = materialize(nodes.where("rows > 1 AND apart"), "nodes")
-            small = (F.col("rows") <= self.leaf_rows) & (F.col("grams") <= self.leaf_grams)
-            once = nodes.where(small).groupBy("rows", "mark").agg(F.min("path").alias("path"))  # one of nodes with the same members
-            found.append(materialize(self.leaves(members.join(once.select("path"), "path")), "leaf-links"))
-            large = nodes.where(~small).select("path", "rows")
-            if large.isEmpty():
-                break
-            inside = materialize(members.join(large, "path"), "large-members")
-            children = materialize(self.branch(inside), "children")
-            kept = children.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("stay"), F.max("rows").alias("rows"))
-            alike = materialize(kept.where((F.col("stay") >= ALIKE * F.col("rows")) | F.lit(level >= DEEPEST)).select("parent").distinct(), "alike")
-            if not alike.isEmpty():
-                found.append(self.blocks(inside.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi").select("path", "key", "n", "label")))
-            members = materialize(children.join(alike, "parent", "left_anti").select("path", "key", "n", "label"), "members")
-            level += 1
-        out = found[0]
-        for links in found[1:]:
-            out = out.unionByName(links)
-        return out
-
-
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = TREES, leaf_rows: int = LEAF_ROWS, leaf_grams: int = LEAF_GRAMS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = TREES, leaf_rows: int = LEAF_ROWS, leaf_grams: int = LEAF_GRAMS, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``kept`` (it is its own).
 
     Two rows link when 100 * overlap >= percent * union of their sets of distinct word runs of ``width``; a text with
@@ -254,25 +314,34 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     kind = rows.schema["id"].dataType.simpleString()
     picks = trees * PICKS
 
+    sizes = _Sizes(leaf_rows, leaf_grams, block_rows, block_grams)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, paths = [], [], []
+            keys, counts, paths, sketches = [], [], [], []
             for sets in _sets(batch.column(1), width):
                 full = [s for s in sets if len(s)]
-                own = iter(first_paths(full, picks).view(np.int64).tolist() if full else [])
+                tokens = minwise(full) if full else np.empty((0, SKETCH), np.uint64)
+                own = iter(zip(tokens[:, :picks].view(np.int64).tolist(), (tokens & np.uint64(255)).astype(np.uint8)))
                 keys += [set_key(s) for s in sets]
-                sizes += [len(s) for s in sets]
-                paths += [next(own) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(paths, pa.list_(pa.int64()))], ["id", "key", "n", "paths"])
-
-    docs = materialize(rows.mapInArrow(read, f"id {kind}, key long, n long, paths array<long>"), "shingle-sets")
-    classes = materialize(docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("paths").alias("paths")), "set-classes")
-    entries = classes.select("key", "n", F.posexplode("paths").alias("pick", "path"))
+                counts += [len(s) for s in sets]
+                for s in sets:
+                    path, sketch = next(own) if len(s) else (None, None)
+                    paths.append(path)
+                    sketches.append(None if sketch is None else sketch.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(paths, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "key", "n", "paths", "sketch"])
+
+    docs = materialize(rows.mapInArrow(read, f"id {kind}, key long, n long, paths array<long>, sketch binary"), "shingle-sets")
+    classes = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max(F.struct("paths", "sketch")).alias("own"))
+    classes = materialize(classes.select("key", "least", "n", "own.paths", "own.sketch"), "set-classes")
+    entries = classes.select("key", F.posexplode("paths").alias("pick", "path"))
     shared = entries.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("path")
-    members = materialize(entries.join(shared, "path"), "shared-paths")
+    entries = entries.join(shared, "path").join(classes.select("key", "n", "sketch"), "key")
+    members = materialize(entries.select(F.expr(f"pick div {PICKS}").cast("int").alias("tree"), "path", "key", "n", "sketch"), "shared-paths")
+    groups = grow(members, percent, sizes)
 
-    # One document stands for each set that shares a node; its shingles are fetched once.
-    needed = materialize(members.select("key").distinct().join(classes.select("key", "least"), "key"), "standing")
+    # One document stands for each set of a group; its shingles are fetched once.
+    needed = materialize(groups.select("key").distinct().join(classes.select("key", "least"), "key"), "standing")
     chosen = needed.select(F.col("least").alias("standing")).distinct()
     if needed.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
@@ -284,13 +353,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "grams"])
 
     sets = picked.mapInArrow(fetch, "key long, grams binary").join(needed.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    grown = _Trees(materialize(sets, "shingles"), percent, leaf_rows, leaf_grams, block_grams)
+    verify = _Verify(materialize(sets, "shingles"), percent, sizes)
 
-    links = grown.grow(members.where(F.col("pick") < PICKS).select("path", "key", "n", F.col("key").alias("label")))
+    links = verify.links(groups.where("tree = 0").select("path", "key", "n", F.col("key").alias("label")))
     known = connected_components(links).withColumnRenamed("node", "key")
     if trees > 1:
-        later = members.where(F.col("pick") >= PICKS).join(known, "key", "left").select("path", "key", "n", F.coalesce("component", "key").alias("label"))
-        links = links.unionByName(grown.grow(later))
+        later = groups.where("tree > 0").join(known, "key", "left").select("path", "key", "n", F.coalesce("component", "key").alias("label"))
+        links = links.unionByName(verify.links(later))
         known = connected_components(links).withColumnRenamed("node", "key")
 
     named = classes.select("key", "least").join(known, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))

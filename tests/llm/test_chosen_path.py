@@ -60,7 +60,7 @@ def test_near_copies_are_all_pairs(docs):
     assert got(docs(rows)) == brute(rows)
 
 
-@pytest.mark.parametrize("sizes", [dict(leaf_rows=12), dict(leaf_rows=5, block_grams=700)])
+@pytest.mark.parametrize("sizes", [dict(leaf_rows=12), dict(leaf_rows=5, block_rows=40, block_grams=900)])
 def test_large_nodes_branch_or_go_in_blocks(docs, sizes):
     rng = random.Random(9)
     line = " ".join(f"common{k}" for k in range(60))
