@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,19 +71,22 @@ def fold_status(c, done: str = COMPLETED, other: str = NOT_COMPLETED) -> Column:
     return F.when(_col(c) == done, F.lit(done)).otherwise(F.lit(other))
 
 
+INLINE_IDS = 1000
+
+
 def exclude_ids(df: DataFrame, column: str, ids) -> DataFrame:
     """Drop rows whose ``column`` is in ``ids``; NULL keys are kept.
 
-    ``ids`` is a Python collection or a one-column DataFrame; either way the
-    rows meet it in one left anti join, whose strategy Catalyst picks by
-    size. A NULL key never matches, so it is kept, like ``~isin``.
+    ``ids`` is a Python collection or a one-column DataFrame. Up to ``INLINE_IDS`` listed ids are a predicate of the scan's
+    stage, without a join. A longer list is a relation of known size, and a DataFrame is one of its own size; rows meet it in
+    one left anti join, whose strategy Catalyst picks by that size. A NULL key never matches, so it is kept, like ``~isin``.
     """
     if ids is None:
         return df
     if not isinstance(ids, DataFrame):
         vals = sorted({str(v) for v in ids})
-        if not vals:
-            return df
-        ids = df.sparkSession.createDataFrame([(v,) for v in vals], "id string")
-    other = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull()).distinct()
+        if len(vals) <= INLINE_IDS:
+            return df.filter(not_in_null_safe(column, vals)) if vals else df
+        ids = df.sparkSession.createDataFrame(pa.table({"id": pa.array(vals, pa.string())}))
+    other = ids.select(F.col(ids.columns[0]).alias(column)).where(F.col(column).isNotNull())
     return df.join(other, on=column, how="left_anti")

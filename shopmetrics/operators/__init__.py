@@ -17,7 +17,10 @@ from .clean import clean_ltv, clean_orders, clean_users, external_orders, paymen
 from .cohort import (
     churn_deltas,
     cohort_counts,
+    cohort_counts_estimate,
     cohort_matrix,
+    month_sketches,
+    period_range,
     retention,
     retention_matrix,
     retention_text,

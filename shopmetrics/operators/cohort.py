@@ -1,15 +1,17 @@
 """Monthly cohort retention.
 
-Plan shape: slice → distinct (customer, month) with map-side partial
-aggregation → cohort = first month per customer (window over the
-distinct table, whose rows per customer are bounded by the number of
-months, so a heavy customer cannot overload a task) → count per
-(cohort, month). The distinct customer count of the reference becomes a
-plain count because each (customer, month) appears once.
+Plan shape: slice → one plain hash aggregate per customer that keeps the active months as bits of a BIGINT
+(``bit_or``, combined map-side) → cohort = lowest bit → per cohort one sum for each month bit (a few rows per
+task leave the map side) → the sums unpivoted to long form. A range of over 63 months adds the number of the 63-month
+word to the group, and the cohort is the smallest over a customer's words.
+
+``month_sketches`` is the approximate form: one mergeable distinct-count sketch per month, origin and category, stored
+once; ``cohort_counts_estimate`` answers any slice from them without reading orders.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +22,11 @@ from ..functions.timefn import month_diff, month_label, month_start
 from ..vocab import COMPLETED
 from .slices import drop_null_keys, slice_rows
 
+WORD = 63  # months of one BIGINT; the sign bit stays free
+EPOCH = dt.date(1970, 1, 1)
+SKETCH_LG = 12
+
+
 def cohort_counts(
     orders: DataFrame,
     origin: str | None = None,
@@ -34,21 +41,87 @@ def cohort_counts(
     then take the minimum.
     """
     sl = slice_rows(orders, {"origin": origin, "business_cat": category}, "date", start, end)
-    sl = drop_null_keys(sl.filter(F.col("status") == status), "customer_id")
-    # One exchange on the customer: a customer's months are a set bounded by the months of the slice.
-    active = sl.groupBy("customer_id").agg(F.collect_set(month_start("date")).alias("months"))
-    with_cohort = active.select(F.array_min("months").alias("cohort"), F.explode("months").alias("order_month"))
-    return (
-        with_cohort.groupBy("cohort", "order_month")
-        .agg(F.count(F.lit(1)).alias("n_customers"))
-        .select(
-            "cohort",
-            month_diff("order_month", "cohort").alias("period_number"),
-            "n_customers",
-        )
+    sl = drop_null_keys(sl.filter(F.col("status") == status), "customer_id", "date")
+    base, one_word = EPOCH, False
+    if start is not None and end is not None:
+        base = dt.date(start.year, start.month, 1)
+        one_word = len(period_range(start, end)) <= WORD
+    return _counts_from_words(_month_words(sl, base, one_word), base, len(period_range(start, end)) if one_word else WORD)
+
+
+def _month_words(rows: DataFrame, base: dt.date, one_word: bool) -> DataFrame:
+    """customer_id, ``word``, ``bits`` (bit k: active in month ``63 * word + k`` since ``base``), ``cohort`` (first month)."""
+    index = (F.year("date") - base.year) * 12 + F.month("date") - base.month
+    rows = rows.select("customer_id", index.alias("month"))
+    if one_word:
+        words = rows.groupBy("customer_id").agg(F.expr("bit_or(shiftleft(1L, month))").alias("bits"))
+        return words.select("customer_id", F.lit(0).alias("word"), "bits", _lowest_bit("bits").alias("cohort"))
+    rows = rows.select("customer_id", F.floor(F.col("month") / WORD).cast("int").alias("word"), F.pmod("month", F.lit(WORD)).alias("bit"))
+    words = rows.groupBy("customer_id", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    first = F.min(F.col("word") * WORD + _lowest_bit("bits")).over(Window.partitionBy("customer_id"))  # a row for each word
+    return words.select("customer_id", "word", "bits", first.alias("cohort"))
+
+
+def _lowest_bit(bits: str):
+    return F.bit_count((F.col(bits).bitwiseAND(-F.col(bits))) - F.lit(1).cast("long")).cast("int")
+
+
+def _counts_from_words(words: DataFrame, base: dt.date, months: int) -> DataFrame:
+    """cohort, period_number, n_customers: a sum per month bit, then long form."""
+    sums = [F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1).cast("long"))).alias(str(k)) for k in range(months)]
+    wide = words.groupBy("cohort", "word").agg(*sums)
+    long = wide.unpivot(["cohort", "word"], [str(k) for k in range(months)], "bit", "n_customers").where("n_customers > 0")
+    month = F.col("word") * WORD + F.col("bit").cast("int")
+    return long.select(
+        F.add_months(F.lit(base), F.col("cohort")).alias("cohort"), (month - F.col("cohort")).cast("int").alias("period_number"), "n_customers"
     )
 
 
+def month_sketches(orders: DataFrame, status: str = COMPLETED, lg_entries: int = SKETCH_LG) -> DataFrame:
+    """``month, origin, category, customers``: a theta sketch of the distinct customers of each (A1, approximate).
+
+    A sketch holds about ``2^lg_entries`` hashes at most, whatever the customers' number, and is exact below. Sketches
+    unite, intersect and subtract, so one stored table answers every slice by month, origin and category.
+    """
+    rows = drop_null_keys(orders.filter(F.col("status") == status), "customer_id", "date")
+    groups = rows.groupBy(month_start("date").alias("month"), "origin", F.col("business_cat").alias("category"))
+    return groups.agg(F.theta_sketch_agg("customer_id", lg_entries).alias("customers"))
+
+
+def cohort_counts_estimate(sketches: DataFrame, origin: str | None = None, category: str | None = None, start=None, end=None, lg_entries: int = SKETCH_LG) -> DataFrame:
+    """``cohort, period_number, estimate, error_bound`` from ``month_sketches``, for whole months (A1, R1 approximate).
+
+    A month's cohort is its customers less those of all months before it in the slice. ``error_bound`` is three standard errors,
+    ``3 / sqrt(2^lg_entries)`` of the largest set that an estimate draws on (all customers up to the later month);
+    it is 0 while that set fits the sketch, where the estimate is exact.
+    """
+    months = slice_rows(sketches, {"origin": origin, "category": category}, None)
+    if start is not None:
+        months = months.where(F.col("month") >= F.lit(dt.date(start.year, start.month, 1)))
+    if end is not None:
+        months = months.where(F.col("month") <= F.lit(dt.date(end.year, end.month, 1)))
+    active = months.groupBy("month").agg(F.theta_union_agg("customers", lg_entries).alias("active"))
+    # The rest works on one row a month. Each month meets the months up to it, by equal keys (every month names those it needs).
+    so_far = active.select("month", "active").join(_months_up_to(active), "month")
+    upto = so_far.groupBy("later").agg(F.theta_union_agg("active", lg_entries).alias("upto"))
+    before = so_far.where("month < later").groupBy("later").agg(F.theta_union_agg("active", lg_entries).alias("before"))
+    new = active.join(before, active.month == before.later, "left")
+    new = new.select(F.col("month").alias("cohort"), F.when(F.col("before").isNull(), F.col("active")).otherwise(F.theta_difference("active", "before")).alias("new"))
+    later = active.select(F.col("month").alias("later"), "active").join(upto, "later")
+    pairs = new.join(_months_up_to(active).withColumnRenamed("month", "cohort"), "cohort").join(later, "later")
+    stay = F.theta_sketch_estimate(F.theta_intersection("new", "active"))
+    drawn = F.theta_sketch_estimate("upto")
+    bound = F.when(drawn < 2**lg_entries, 0.0).otherwise(drawn * (3.0 / 2 ** (lg_entries / 2)))
+    return pairs.select("cohort", month_diff("later", "cohort").alias("period_number"), stay.alias("estimate"), bound.alias("error_bound")).where("estimate > 0")
+
+
+def _months_up_to(active: DataFrame) -> DataFrame:
+    """(month, later) for all pairs of present months with month <= later, by equal keys on a gathered list (a row a month)."""
+    listed = active.groupBy(F.lit(0).alias("all")).agg(F.sort_array(F.collect_set("month")).alias("months"))
+    pairs = listed.select(F.explode("months").alias("later"), "months")
+    return pairs.select(F.explode(F.filter("months", lambda m: m <= F.col("later"))).alias("month"), "later")
+
+
 def period_range(start, end) -> list[int]:
     """Every period number that a slice from ``start`` to ``end`` can hold."""
     return list(range((end.year - start.year) * 12 + end.month - start.month + 1))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..schemas import RAW_ORDERS
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from ..sources.export import write_segments
 from ..sources.readers import load_tables
@@ -143,6 +143,23 @@ def segment_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(written.columns)
 
 
+def cohort_counts_estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort counts of one origin from stored month sketches, beside the exact ones (A1): whether each estimate is within its bound."""
+    i = Inputs(spark, sf_dir)
+    sketches = materialize(op.month_sketches(i.orders), "month_sketches")
+    estimate = op.cohort_counts_estimate(sketches, "Local", None, P.SLICE_START, P.SLICE_END)
+    exact = i.counts("Local")
+    both = exact.join(estimate, ["cohort", "period_number"], "full")
+    off = F.abs(F.coalesce("estimate", F.lit(0.0)) - F.coalesce("n_customers", F.lit(0)))
+    # Half a customer for the doubles of an exact sketch; a cell without an estimate is within the bound of its month's.
+    return both.select("cohort", "period_number", F.coalesce("n_customers", F.lit(0)).alias("n_customers"), (off <= F.coalesce("error_bound", F.lit(0.0)) + 0.5).alias("within_bound"))
+
+
+def cohort_counts_all_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort counts without a date range: months in words of 63."""
+    return op.cohort_counts(Inputs(spark, sf_dir).orders)
+
+
 def _segment(name: str) -> Query:
     return _q(lambda i: i.segments()[name])
 
@@ -172,6 +189,8 @@ def queries() -> dict[str, Query]:
         # retention
         "cohort_counts": _q(lambda i: i.counts()),
         "cohort_counts_local_airtime": _q(lambda i: i.counts("Local", "Airtime")),
+        "cohort_counts_all_time": cohort_counts_all_time,
+        "cohort_counts_estimated": cohort_counts_estimated,
         "cohort_counts_nan_ids": _q(lambda i: op.cohort_counts(
             i.orders_nan_ids, None, None, P.SLICE_START, P.SLICE_END)),
         "cohort_matrix": _q(lambda i: op.cohort_matrix(i.counts(), P.COHORT_PERIODS)),

@@ -214,6 +214,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_
 
 
 def _cohort_sql(where_extra: str = "TRUE", table: str = "orders_clean", start=P.SLICE_START) -> str:
+    dates = f"date >= {_ts_day(start)} AND date <= {_ts_day(P.SLICE_END)}" if start else "date IS NOT NULL"
     return f"""
 SELECT cohort, CAST((year(order_month) - year(cohort)) * 12 + month(order_month) - month(cohort) AS INTEGER)
   AS period_number, count(*) AS n_customers
@@ -222,7 +223,7 @@ FROM (
   FROM (
     SELECT DISTINCT customer_id, CAST(date_trunc('month', date) AS DATE) AS order_month
     FROM {table}
-    WHERE date >= {_ts_day(start)} AND date <= {_ts_day(P.SLICE_END)}
+    WHERE {dates}
       AND status = 'COMPLETED' AND customer_id IS NOT NULL AND {where_extra}
   )
 ) GROUP BY cohort, order_month
@@ -412,6 +413,8 @@ BODIES: dict[str, str] = {
     ),
     "cohort_counts": "SELECT * FROM cohort_counts_std",
     "cohort_counts_local_airtime": _cohort_sql("origin = 'Local' AND business_cat = 'Airtime'"),
+    "cohort_counts_all_time": _cohort_sql(start=None),
+    "cohort_counts_estimated": f"SELECT cohort, period_number, n_customers, TRUE AS within_bound FROM ({_cohort_sql("origin = 'Local'")})",
     "cohort_counts_nan_ids": _cohort_sql(table="orders_clean_nan"),
     "cohort_matrix": "SELECT cohort, "
     + ", ".join(

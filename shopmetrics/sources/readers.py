@@ -42,14 +42,41 @@ def read_table(spark: SparkSession, base_dir: str, name: str, ttl: float | None
     hit = per_session.get(path)
     if hit is not None and now - hit[0] < ttl:
         return hit[1]
-    df = spark.read.parquet(path)
+    df = _open_parquet(spark, path)
     per_session[path] = (now, df)
     return df
 
 
+# The schema of a single Parquet file, with the file's size and time of writing: reading a footer costs a job, so an
+# unchanged file is opened by the schema found before. Its listing is always new.
+_schemas: "weakref.WeakKeyDictionary[SparkSession, dict[str, tuple[tuple, T.StructType]]]" = weakref.WeakKeyDictionary()
+
+
+def _open_parquet(spark: SparkSession, path: str) -> DataFrame:
+    stamp = _stamp(spark, path)
+    known = _schemas.setdefault(spark, {})
+    if stamp is not None and path in known and known[path][0] == stamp:
+        return spark.read.schema(known[path][1]).parquet(path)
+    df = spark.read.parquet(path)
+    if stamp is not None:
+        known[path] = (stamp, df.schema)
+    return df
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple | None:
+    """Size and time of writing of a single file; None for folders, whose parts can change unseen."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        return None if status.isDirectory() or not status.getModificationTime() else (status.getLen(), status.getModificationTime())
+    except Exception:  # noqa: BLE001 - no such file (the reader names it), or a session without a JVM at hand
+        return None
+
+
 def forget_tables() -> None:
-    """Drop every cached table listing (e.g. after files were rewritten)."""
+    """Drop every remembered listing and schema."""
     _opened.clear()
+    _schemas.clear()
 
 
 def read_csv_table(
