@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as op
-from ..schemas import RAW_ORDERS
+from ..schemas import DOWNLOADS_COLUMNS, RAW_GEO_EXPORT, RAW_ORDERS
 from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
-from ..sources.export import write_segments
-from ..sources.readers import load_tables
+from ..sources.export import write_report, write_segments
+from ..sources.readers import load_tables, read_csv_table, read_csv_with_misfits, read_sheets, read_text_sheet, typed_by_value
 from . import params as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,16 +125,85 @@ def _q(build: Callable[[Inputs], DataFrame]) -> Query:
 # --- queries with side effects (files round trip) -------------------------
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order export written as CSV to the shared folder and read back through
+    """Order export written as CSV files of two layouts to the shared folder and read back through
     the manifest loader by explicit schema (S1–S3)."""
     path = os.path.join(scratch_path(spark, "csv_roundtrip"), "orders_export.csv")
-    # A foreign layout: columns in reverse, one that no report uses, doubled quotes.
+    # Columns in reverse with one that no report uses, doubled quotes; and as they are, with line breaks in cells.
     raw = Inputs(spark, sf_dir).raw("raw_orders")
     foreign = raw.select(*reversed(raw.columns), F.lit('a "quoted", remark').alias("remark"))
-    foreign.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    _as_csv(foreign.where("paymentType = 'CARD'"), path)
+    _as_csv(raw.withColumn("note", F.lit('two\n"lines"')).where("paymentType <> 'CARD'"), path, "append")
     return load_tables(spark, {path: RAW_ORDERS}, register_views=False)["orders_export"]
 
 
+def _as_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def report_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user report with quotes, commas and line breaks in names, exported as CSV and read back."""
+    users = Inputs(spark, sf_dir).users.withColumn("first_name", F.concat(F.lit('Say "'), "first_name", F.lit('",\nplease')))
+    path = scratch_path(spark, "user-report")
+    write_report(users, path, "csv", index_cols=("customer_id",))
+    return read_csv_table(spark, path, users.schema).select(*users.columns)
+
+
+def _faulty_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The order export with cells that do not fit their types, read in two outputs."""
+    raw = Inputs(spark, sf_dir).raw("raw_orders")
+    text = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns])
+    amount = F.when(F.col("paymentType") == "CARD", F.col("total_amount_dzd")).otherwise(F.replace("total_amount_dzd", F.lit("1."), F.lit("1,")))
+    text = text.withColumn("total_amount_dzd", amount).withColumn("Occurence", F.when(F.col("Occurence") == "3", "3.5").otherwise(F.col("Occurence")))
+    path = os.path.join(scratch_path(spark, "faulty"), "orders.csv")
+    _as_csv(text, path)
+    return read_csv_with_misfits(spark, path, RAW_ORDERS, keys=("order_id",))
+
+
+def csv_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the order export that do not fit their columns, with column and reason."""
+    return _faulty_orders(spark, sf_dir)[1].drop("row")
+
+
+def cohort_counts_of_good_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohort counts over the rows of a faulty order export that fit."""
+    orders = op.clean_orders(_faulty_orders(spark, sf_dir)[0], P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS)
+    return op.cohort_counts(orders, None, None, P.SLICE_START, P.SLICE_END)
+
+
+def _first_open_sheets(spark: SparkSession, i: Inputs) -> DataFrame:
+    """Three worksheets written as files, rows in sheet order and without a key, and read by path list."""
+    folder = scratch_path(spark, "first-open")
+    paths = [os.path.join(folder, f"sheet{n}.csv") for n in range(3)]
+    for n, path in enumerate(paths):
+        _as_csv(i.raw("raw_first_open").where(F.col("sheet_no") == n).orderBy("row_key").select("email", "first_open_date"), path)
+    sheets = read_sheets(spark, paths)
+    return sheets.withColumn("first_open_date", F.col("first_open_date").cast("date"))
+
+
+def first_open_from_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-open sign-ups from worksheet files: keep-first goes by a row's place in its file."""
+    i = Inputs(spark, sf_dir)
+    return op.first_open_signups(i.users, _first_open_sheets(spark, i), None, P.USERS_START, P.USERS_END)
+
+
+def communes_from_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per commune from the location export as it is, without a row key."""
+    path = os.path.join(scratch_path(spark, "geo"), "customer_geolocalisation.csv")
+    _as_csv(Inputs(spark, sf_dir).raw("raw_geo").orderBy("row_key").drop("row_key"), path)
+    return op.customers_by_commune(read_csv_table(spark, path, RAW_GEO_EXPORT, position="row_key"))
+
+
+def funnel_metrics_from_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel over worksheet files: downloads under the sheet's own column name, cells typed by value."""
+    i = Inputs(spark, sf_dir)
+    path = os.path.join(scratch_path(spark, "downloads"), "downloads.csv")
+    own = {new: old for old, new in DOWNLOADS_COLUMNS.items()}
+    _as_csv(i.raw("raw_downloads").withColumnsRenamed(own), path)
+    downloads = typed_by_value(read_text_sheet(spark, path), rename=DOWNLOADS_COLUMNS)
+    first_open = op.first_open_signups(i.users, _first_open_sheets(spark, i), None, P.USERS_START, P.USERS_END)
+    return op.funnel_metrics(op.downloads_slice(downloads, None, P.USERS_START, P.USERS_END), i.signups, first_open, i.order_flags())
+
+
 def segment_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sets of the acquisition page written partitioned by segment and read back, every column."""
     path, i = scratch_path(spark, "segments"), Inputs(spark, sf_dir)
@@ -168,6 +237,12 @@ def queries() -> dict[str, Query]:
     return {
         # sources and cleaning
         "csv_roundtrip": csv_roundtrip,
+        "csv_misfits": csv_misfits,
+        "cohort_counts_of_good_rows": cohort_counts_of_good_rows,
+        "report_export_roundtrip": report_export_roundtrip,
+        "first_open_from_sheets": first_open_from_sheets,
+        "communes_from_export": communes_from_export,
+        "funnel_metrics_from_sheets": funnel_metrics_from_sheets,
         "clean_orders": _q(lambda i: i.orders),
         "clean_ltv": _q(lambda i: op.decimals_as_double(i.ltv)),
         "clean_users": _q(lambda i: i.users),

@@ -230,6 +230,14 @@ FROM (
 """
 
 
+_AMOUNT = "CAST(total_amount_dzd AS VARCHAR)"
+_BAD_AMOUNT = f"paymentType <> 'CARD' AND {_AMOUNT} LIKE '%1.%'"
+BASE["misfits"] = f"""
+SELECT order_id, 'total_amount_dzd' AS "column", replace({_AMOUNT}, '1.', '1,') AS value, 'not double' AS reason FROM raw_orders WHERE {_BAD_AMOUNT}
+UNION ALL SELECT order_id, 'Occurence', '3.5', 'not bigint' FROM raw_orders WHERE Occurence = 3
+"""
+BASE["orders_good"] = "SELECT * FROM orders_clean WHERE order_id NOT IN (SELECT order_id FROM misfits)"
+
 BASE["cohort_counts_std"] = _cohort_sql()
 
 BASE["retention_std"] = """
@@ -391,6 +399,11 @@ BODIES: dict[str, str] = {
     "clean_orders": "SELECT * FROM orders_clean",
     "clean_ltv": "SELECT * REPLACE (" + _MONEY_AS_DOUBLE + ") FROM ltv_clean",
     "clean_users": "SELECT * FROM users_clean",
+    "csv_misfits": "SELECT * FROM misfits",
+    "cohort_counts_of_good_rows": _cohort_sql(table="orders_good"),
+    "report_export_roundtrip": "SELECT * REPLACE (concat('Say \"', first_name, '\",', chr(10), 'please') AS first_name) FROM users_clean",
+    "first_open_from_sheets": "SELECT * FROM first_open_std",
+    "communes_from_export": "SELECT * FROM communes_std",
     "external_orders": "SELECT * FROM orders_clean WHERE order_type = 'EXTERNE'",
     "payment_screen_view": "SELECT date, business_cat, order_id, status, customer_email AS email FROM orders_clean",
     "slice_orders": f"SELECT * FROM orders_clean WHERE origin = 'Local' AND business_cat = 'Alimentation' AND {_SLICE98}",
@@ -611,6 +624,7 @@ def _funnel_sql(flags: str, formatted: bool = False, origin: str | None = None)
 
 
 BODIES["funnel_metrics"] = _funnel_sql("flags_std")
+BODIES["funnel_metrics_from_sheets"] = BODIES["funnel_metrics"]
 BODIES["funnel_metrics_text"] = _funnel_sql("flags_std", formatted=True)
 BODIES["funnel_metrics_alimentation"] = _funnel_sql("flags_alimentation")
 BODIES["funnel_metrics_local"] = _funnel_sql("flags_local", origin="Local")

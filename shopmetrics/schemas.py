@@ -72,6 +72,12 @@ RAW_GEO = _schema(
     ("Longitude", DBL),
 )
 
+# The location export itself has no row key; its rows' places in the files order them.
+RAW_GEO_EXPORT = _schema(("commune", S), ("wilaya", S), ("Latitude", DBL), ("Longitude", DBL))
+
+# Fixed value: the downloads sheet's own column name.
+DOWNLOADS_COLUMNS = {"Téléchargement": "downloads"}
+
 RAW_DOWNLOADS = _schema(("date", D), ("customer_origine", S), ("downloads", L))
 
 RAW_FIRST_OPEN = _schema(

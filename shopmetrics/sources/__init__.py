@@ -2,23 +2,35 @@
 
 from .export import read_segment, report_path, write_report, write_segments
 from .readers import (
+    file_position,
+    header_catalogue,
     load_tables,
     read_csv_table,
+    read_csv_with_misfits,
+    read_sheets,
     read_table,
     read_text_sheet,
     table_name,
+    typed_by_value,
     union_sheets,
+    value_types,
 )
 
 __all__ = [
+    "file_position",
+    "header_catalogue",
     "load_tables",
     "read_csv_table",
+    "read_csv_with_misfits",
     "read_segment",
+    "read_sheets",
     "read_table",
     "read_text_sheet",
     "report_path",
     "table_name",
+    "typed_by_value",
     "union_sheets",
+    "value_types",
     "write_report",
     "write_segments",
 ]

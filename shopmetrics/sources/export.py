@@ -45,14 +45,14 @@ def write_report(
 
     ``index_cols`` move to the front (the spreadsheet index). Values are
     written in full; with CSV, ``decimals`` names columns to write with a fixed
-    number of places.
+    number of places, and quotes are doubled inside quoted cells, as ``read_csv_table`` and spreadsheets read them.
     """
     ordered = [*index_cols, *[c for c in df.columns if c not in index_cols]]
     out = df.select(*ordered)
     writer_df = _numeric_text(out, decimals) if (fmt == "csv" and decimals) else out
     w = writer_df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
