@@ -191,7 +191,8 @@ SEGMENT_ORDER_COLUMNS = ("order_date", "order_id", "status", "new_status", "orde
 
 def segments_long(signups: DataFrame, flags: DataFrame, first_open: DataFrame | None = None) -> DataFrame:
     """The funnel's sets, the first-open sign-ups and all new sign-ups as one long table for export
-    partitioned by ``segment`` (S10), with every column of each set; those a set lacks are NULL.
+    partitioned by ``segment`` (S10), with every column of each set; those a set lacks are NULL. ``new_signups`` is the whole
+    sign-up table (an id may repeat or be missing); the funnel's sets hold one row a customer.
 
     ``flags`` is ``order_flags``: the (deduplicated) sign-ups meet it in one left join, and each row
     is repeated for the sets it is in. ``registration_date`` is the sign-up's date.
@@ -201,7 +202,6 @@ def segments_long(signups: DataFrame, flags: DataFrame, first_open: DataFrame |
     ordered, first_ok = F.col("new_status").isNotNull(), F.col("new_status") == COMPLETED
     in_progress = F.col("status") == IN_PROGRESS
     member = {
-        "new_signups": F.lit(True),
         "not_ordered": ~ordered,
         "ordered": ordered,
         "completed": first_ok,
@@ -212,6 +212,8 @@ def segments_long(signups: DataFrame, flags: DataFrame, first_open: DataFrame |
     sets = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in member.items()]))
     columns = [*own.columns, *(c for c in SEGMENT_ORDER_COLUMNS if c in rows.columns)]
     long = rows.select(F.explode(sets).alias("segment"), *columns)
+    every = signups.withColumnRenamed("date", "registration_date").withColumn("segment", F.lit("new_signups"))
+    long = long.unionByName(every, allowMissingColumns=True)
     if first_open is None:
         return long
     opened = first_open.withColumnRenamed("date", "registration_date").withColumn("segment", F.lit("first_open"))

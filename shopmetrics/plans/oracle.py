@@ -634,8 +634,7 @@ _AS_SIGNUPS = "SELECT * RENAME (date AS registration_date) FROM ({})"
 _AS_ORDERS = "SELECT * RENAME (date AS order_date) FROM ({})"
 BODIES["segment_export_roundtrip"] = " UNION ALL BY NAME ".join(
     [
-        f"SELECT 'new_signups' AS segment, s.*, {_ORDER_COLUMNS} FROM ({_AS_SIGNUPS.format('SELECT * FROM signups_distinct')}) s "
-        f"LEFT JOIN (SELECT customer_id, {_ORDER_COLUMNS} FROM ({_AS_ORDERS.format('SELECT * FROM flags_std')})) f USING (customer_id)",
+        f"SELECT 'new_signups' AS segment, {_SIGNUP_COLUMNS} FROM ({_AS_SIGNUPS.format('SELECT * FROM signups_std')})",
         f"SELECT 'not_ordered' AS segment, {_SIGNUP_COLUMNS} FROM ({_AS_SIGNUPS.format(BODIES['segment_not_ordered'])})",
         *(
             f"SELECT '{seg}' AS segment, {_SIGNUP_COLUMNS}, {_ORDER_COLUMNS} FROM ({_AS_ORDERS.format(BODIES['segment_' + seg])})"

@@ -87,9 +87,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "shopmetrics", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared folder."""
-    return os.path.join(shared_dir(spark), "shopmetrics", f"{name}-{uuid.uuid4().hex}")
+    """A new, unique path under the shared folder, in a folder of this application."""
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application. DataFrames that were read from one cannot be evaluated any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df, name: str):

@@ -1,6 +1,7 @@
 """Readers, writers and the driver-table fixtures."""
 
 from .export import read_segment, report_path, write_report, write_segments
+from .publish import drop_old_runs, parameters_key, publish, published, read_published
 from .readers import (
     file_position,
     header_catalogue,
@@ -17,11 +18,16 @@ from .readers import (
 )
 
 __all__ = [
+    "drop_old_runs",
     "file_position",
     "header_catalogue",
     "load_tables",
+    "parameters_key",
+    "publish",
+    "published",
     "read_csv_table",
     "read_csv_with_misfits",
+    "read_published",
     "read_segment",
     "read_sheets",
     "read_table",

@@ -10,10 +10,12 @@ session (``fs.s3a.*``), never from code.
 from __future__ import annotations
 
 import os
+import re
 import time
 import weakref
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +92,12 @@ def header_catalogue(spark: SparkSession, path: str | list[str], encoding: str =
     odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     files = lines.groupBy("file").agg(F.min_by("value", F.when(F.col("start") == 0, F.col("at"))).alias("header"), F.max(odd).alias("breaks"))
     groups = files.groupBy("header", "breaks").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [(r.files, r.breaks) for r in groups.orderBy("files").collect()]
+    return [([_as_path(f) for f in r.files], r.breaks) for r in groups.orderBy("files").collect()]
+
+
+def _as_path(uri: str) -> str:
+    """A path to open from a file's URI: decoded, and what would read as a pattern escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
 
 def _text_groups(spark: SparkSession, path: str | list[str], sep: str, encoding: str, multi_line: bool | None, position: str | None) -> list[DataFrame]:

@@ -10,10 +10,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shopmetrics.schemas import RAW_ORDERS
+from shopmetrics.session import shared_dir
 from shopmetrics.sources import (
     load_tables,
     read_csv_table,
     read_segment,
+    read_sheets,
     read_text_sheet,
     report_path,
     table_name,
@@ -170,12 +172,15 @@ def test_refresh_command_line_from_csv_exports(spark, small_dir, capsys):
     paths = {}
     for name, build in (("orders", fx.raw_orders), ("ltv", fx.raw_ltv), ("users", fx.raw_users), ("geo", fx.raw_geo)):
         paths[name] = os.path.join(d, f"{name}.csv")
-        build(t).write.option("header", True).csv(paths[name])
+        frame = build(t)
+        frame = frame.orderBy("row_key").drop("row_key") if name == "geo" else frame
+        frame.write.option("header", True).option("escape", '"').csv(paths[name])
     out = os.path.join(d, "reports")
     main([*sum(([f"--{k}", v] for k, v in paths.items()), []), "--out", out,
           "--start", "1998-01-01", "--end", "1998-12-31", "--as-of", "2001-09-01T12:00:00", "--origin", "Local"])
     lines = capsys.readouterr().out.strip().splitlines()
     assert len(lines) == 18 and all("origin=Local" in ln for ln in lines)
+    assert not os.path.exists(os.path.join(shared_dir(spark), "shopmetrics", spark.sparkContext.applicationId))
     assert spark.read.parquet(dict(ln.split("\t") for ln in lines)["retention"]).count() > 0
 
 
@@ -201,8 +206,8 @@ def test_first_open_from_text_sheets_keeps_sheet_order(spark):
         p = os.path.join(d, f"first_open_{i}.csv")
         with open(p, "w") as f:
             f.write("email,opened\n" + "".join(x + "\n" for x in lines))
-        sheets.append(read_text_sheet(spark, p))
-    fo = union_sheets(sheets, row_col="row_key")
+        sheets.append(p)
+    fo = read_sheets(spark, sheets)
     users = spark.createDataFrame(
         [(dt.date(2020, 1, 1), e, "p", "Local", c) for c, e in (("1", "a@x"), ("2", "b@x"), ("9", "z@x"))],
         "date date, email string, phone string, origin string, customer_id string",
