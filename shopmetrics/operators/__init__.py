@@ -37,7 +37,8 @@ from .retargeting import (
     retarget_buyers,
     retarget_non_buyers,
 )
-from .present import by_count_desc, by_keys, by_total_asc, decimals_as_double
+from .present import by_count_desc, by_keys, by_total_asc, decimals_as_double, with_position
+from .skew import heavy_keys, spread_join
 from .slices import choices, default_range, drop_null_keys, since, slice_rows
 
 __all__ = [name for name in dir() if not name.startswith("_")]

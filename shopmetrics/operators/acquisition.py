@@ -20,6 +20,7 @@ from ..functions.textfmt import thousands
 from ..functions.timefn import month_label, sunday_week_start
 from ..vocab import COMPLETED, IN_PROGRESS
 from .dedupe import keep_first
+from .skew import spread_join
 from .slices import since as since_filter
 from .slices import slice_rows
 
@@ -109,10 +110,17 @@ def _order_rows(orders: DataFrame, since=None) -> DataFrame:
     ).withColumn("new_status", fold_status("status"))
 
 
-def signup_orders(orders: DataFrame, signups: DataFrame, since=None) -> DataFrame:
-    """Orders of the new sign-ups since a date, with a two-value status (R14: F12, J2, P14)."""
+def signup_orders(orders: DataFrame, signups: DataFrame, since=None, spread: bool = False) -> DataFrame:
+    """Orders of the new sign-ups since a date, with a two-value status (R14: F12, J2, P14).
+
+    With ``spread``, customers with very many orders are found by a frequency sketch first (a pass over the ids)
+    and their orders dealt over several tasks (``skew.spread_join``); without, that is left to AQE's skew join.
+    """
     s = signups.withColumnRenamed("date", "registration_date")
-    return _order_rows(orders, since).join(s, "customer_id", "inner")
+    rows = _order_rows(orders, since)
+    if spread:
+        return spread_join(rows, s, "customer_id", "order_id")
+    return rows.join(s, "customer_id", "inner")
 
 
 def order_flags(

@@ -8,6 +8,7 @@ twin of each key.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..schemas import DOWNLOADS_COLUMNS, RAW_GEO_EXPORT, RAW_ORDERS
 from ..session import materialize, scratch_path
 from ..sources import fixtures as fx
 from ..sources.export import write_report, write_segments
+from ..sources.order_store import default_range_of_store, write_order_store
 from ..sources.readers import load_tables, read_csv_table, read_csv_with_misfits, read_sheets, read_text_sheet, typed_by_value
 from . import params as P
 
@@ -229,6 +231,28 @@ def cohort_counts_all_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.cohort_counts(Inputs(spark, sf_dir).orders)
 
 
+def _order_store(spark: SparkSession, i: Inputs) -> tuple[DataFrame, str]:
+    path = scratch_path(spark, "order-store")
+    return write_order_store(i.orders, f"order_store_{uuid.uuid4().hex}", path, buckets=16), path
+
+
+def default_date_range_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default range from the statistics of a stored order table's files."""
+    return default_range_of_store(spark, _order_store(spark, Inputs(spark, sf_dir))[1], P.DEFAULT_RANGE_AS_OF)
+
+
+def non_buyers_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-buyers from the order store bucketed by customer: no shuffle."""
+    return op.non_buyers(_order_store(spark, Inputs(spark, sf_dir))[0])
+
+
+def customer_flags_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sign-ups who ordered, from the order store: only the sign-ups are shuffled."""
+    i = Inputs(spark, sf_dir)
+    store = _order_store(spark, i)[0]
+    return op.signup_flags(store, i.signups, P.FUNNEL_SINCE).drop("any_completed")
+
+
 def _segment(name: str) -> Query:
     return _q(lambda i: i.segments()[name])
 
@@ -259,6 +283,9 @@ def queries() -> dict[str, Query]:
             i.users, {"origin": "Local", "customer_country": P.USERS_COUNTRY}, "date", P.USERS_START, P.USERS_END)),
         "slice_by_status": _q(lambda i: op.slice_rows(
             i.orders, {"status": "In_Progress"}, "date", P.SLICE_START, P.SLICE_END)),
+        "default_date_range_from_store": default_date_range_from_store,
+        "non_buyers_from_store": non_buyers_from_store,
+        "customer_flags_from_store": customer_flags_from_store,
         "default_date_range": _q(lambda i: op.default_range(i.orders, P.DEFAULT_RANGE_AS_OF)),
         "choices_origin": _q(lambda i: op.choices(i.orders, "origin")),
         # retention
@@ -287,7 +314,7 @@ def queries() -> dict[str, Query]:
         "ltv_series_dzd": _q(lambda i: op.ltv_series(i.summary(), "DZD")),
         # geography
         "customers_by_commune": _q(lambda i: i.communes),
-        "communes_ranked": _q(lambda i: op.by_count_desc(i.communes, "n_customers", "commune")),
+        "communes_ranked": _q(lambda i: op.with_position(i.communes, F.desc("n_customers"), "commune")),
         "commune_map_points": _q(lambda i: op.commune_map_points(i.communes, P.MAP_WILAYA)),
         "commune_map_points_all": _q(lambda i: op.commune_map_points(i.communes)),
         "wilaya_centres": _q(lambda i: op.wilaya_centres(i.communes)),
@@ -302,10 +329,12 @@ def queries() -> dict[str, Query]:
         "signups_by_month": _q(lambda i: op.signups_by_period(i.signups, "month")),
         "signups_by_week": _q(lambda i: op.signups_by_period(i.signups, "week")),
         "signups_by_day": _q(lambda i: op.signups_by_period(i.signups, "day")),
-        "signups_by_month_ranked": _q(lambda i: op.by_total_asc(
+        "signups_by_month_ranked": _q(lambda i: op.with_position(
             op.signups_by_period(i.signups, "month"), "n_signups", "period")),
+        "cohort_counts_in_order": _q(lambda i: op.with_position(i.counts(), "cohort", "period_number")),
         "first_open_signups": _q(lambda i: i.first_open),
         "signup_orders": _q(lambda i: i.signup_orders),
+        "signup_orders_spread": _q(lambda i: op.signup_orders(i.orders, i.signups, P.FUNNEL_SINCE, spread=True)),
         "segment_ordered": _segment("ordered"),
         "segment_not_ordered": _segment("not_ordered"),
         "segment_completed": _segment("completed"),

@@ -487,7 +487,8 @@ LEFT JOIN cohort_counts_std b ON b.cohort = c.cohort AND b.period_number = p.pre
         "UNION ALL SELECT category_label, 'ltv_margin_dzd', ltv_margin_dzd FROM ltv_summary_std"
     ),
     "customers_by_commune": "SELECT * FROM communes_std",
-    "communes_ranked": "SELECT * FROM communes_std ORDER BY n_customers DESC, commune",
+    "communes_ranked": "SELECT *, row_number() OVER (ORDER BY n_customers DESC, commune) AS position FROM communes_std",
+    "cohort_counts_in_order": "SELECT *, row_number() OVER (ORDER BY cohort, period_number) AS position FROM cohort_counts_std",
     "commune_map_points": f"""
 SELECT wilaya, commune, latitude, longitude, n_customers,
   round(CASE WHEN mn = mx THEN CAST(20.0 AS DOUBLE)
@@ -532,8 +533,8 @@ FROM (SELECT *, min(n_customers) OVER (PARTITION BY wilaya) AS mn, max(n_custome
     ),
     "signups_by_day": "SELECT date AS period, count(*) AS n_signups FROM signups_std GROUP BY 1",
     "signups_by_month_ranked": (
-        "SELECT strftime(date, '%Y-%m') AS period, count(*) AS n_signups FROM signups_std GROUP BY 1 "
-        "ORDER BY n_signups, period"
+        "SELECT *, row_number() OVER (ORDER BY n_signups, period) AS position "
+        "FROM (SELECT strftime(date, '%Y-%m') AS period, count(*) AS n_signups FROM signups_std GROUP BY 1)"
     ),
     "first_open_signups": "SELECT * FROM first_open_std",
     "signup_orders": "SELECT * FROM signup_orders_std",
@@ -623,6 +624,10 @@ def _funnel_sql(flags: str, formatted: bool = False, origin: str | None = None)
     )
 
 
+BODIES["default_date_range_from_store"] = BODIES["default_date_range"]
+BODIES["non_buyers_from_store"] = BODIES["non_buyers_latest"]
+BODIES["customer_flags_from_store"] = BODIES["segment_ordered"]
+BODIES["signup_orders_spread"] = BODIES["signup_orders"]
 BODIES["funnel_metrics"] = _funnel_sql("flags_std")
 BODIES["funnel_metrics_from_sheets"] = BODIES["funnel_metrics"]
 BODIES["funnel_metrics_text"] = _funnel_sql("flags_std", formatted=True)

@@ -15,6 +15,7 @@ import datetime as dt
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..schemas import DOWNLOADS_COLUMNS, RAW_GEO_EXPORT, RAW_LTV, RAW_ORDERS, RAW_USERS
@@ -74,7 +75,7 @@ def reports(tables: dict[str, DataFrame], p: ReportParams, materialize_inputs: b
         "customer_ltv": op.customer_ltv(ltv, p.origin, p.category, p.start, p.end),
         "category_ltv_summary": op.category_ltv_summary(cat_ltv, formatted=True),
         "ltv_series": op.ltv_series(summary, p.currency),
-        "customers_by_commune": op.by_count_desc(communes, "n_customers", "commune"),
+        "customers_by_commune": op.with_position(communes, F.desc("n_customers"), "commune"),
         "commune_map_points": op.commune_map_points(communes, p.wilaya),
         "wilaya_centres": op.wilaya_centres(communes),
         "signups_by_period": op.signups_by_period(signups, p.granularity),
