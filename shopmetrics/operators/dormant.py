@@ -37,8 +37,8 @@ def checkout_payment_screen(
     """Users who reached the payment screen on a day they placed an order
     that did not complete, one row per e-mail (the latest) (Z1–Z5).
 
-    Users (with the registration date renamed) join the screen sheet on
-    e-mail, then the order view on the composite key (e-mail, day). A
+    The order view, without completed orders, meets the screen sheet on the composite key (e-mail, day); the last
+    such order per e-mail joins the user of that e-mail (registration date renamed). A
     NULL status counts as not completed (T5). Optional slice on the
     registration date (Z5).
     """
@@ -50,16 +50,14 @@ def checkout_payment_screen(
     # last row per e-mail wins; keeping the last user per e-mail first avoids
     # k users × d days pairs for a shared address.
     u = keep_last(u, ["email"], ["date_registration", "customer_id"])
-    # The sheet repeats (e-mail, day) for every visit; the report keeps one
-    # row per e-mail, so repeats only multiply join rows. Distinct first
-    # (partial aggregation), so a customer with k orders in a day meets k
-    # order rows, not k² pairs.
-    screen = payment_screen_table(sheet).distinct()
-    su = u.join(screen, "email", "inner")
     # The reference matches the order timestamp against the screen day at
     # midnight; orders later in the day therefore do not match.
-    ov = payment_screen_view(orders).filter(F.col("date") == F.to_timestamp_ntz(F.to_date("date")))
+    ov = payment_screen_view(orders).filter(~F.coalesce(F.col("status") == COMPLETED, F.lit(False)) & (F.col("date") == F.to_timestamp_ntz(F.to_date("date"))))
     ov = ov.withColumn("date", F.to_date("date"))
-    j = su.join(ov, ["email", "date"], "inner")
-    nc = j.filter(~F.coalesce(F.col("status") == COMPLETED, F.lit(False)))
-    return keep_last(nc, ["email"], list(order_by))
+    # One row per e-mail is kept, so the sheet, which repeats (e-mail, day) for every visit, only has to hold the
+    # order's day (a semi join: no pairs), and the orders are reduced per e-mail before they meet the users.
+    seen = ov.join(payment_screen_table(sheet), ["email", "date"], "left_semi")
+    last = keep_last(seen, ["email"], list(order_by))
+    return u.join(last, "email", "inner").select(
+        "email", "date", "date_registration", "phone", "origin", "customer_id", *[c for c in last.columns if c not in ("email", "date")]
+    )

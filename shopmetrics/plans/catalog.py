@@ -270,6 +270,9 @@ def queries() -> dict[str, Query]:
         "clean_orders": _q(lambda i: i.orders),
         "clean_ltv": _q(lambda i: op.decimals_as_double(i.ltv)),
         "clean_users": _q(lambda i: i.users),
+        "clean_orders_overridden": _q(lambda i: op.clean_orders(
+            i.raw("raw_orders"), P.EXCLUDED_ORDERS, P.EXCLUDED_CUSTOMERS, order_type_overrides=P.EXTERNAL_CUSTOMERS)),
+        "ordering_customers": _q(lambda i: op.distinct_ids(i.orders, "customer_id")),
         "external_orders": _q(lambda i: op.external_orders(i.orders)),
         "payment_screen_view": _q(lambda i: op.payment_screen_view(i.orders)),
         # slices

@@ -36,14 +36,12 @@ def _days(later: str, earlier: str) -> str:
 
 
 def _half_even(num: str, den: str, scale: int) -> str:
-    n = f"(CAST({num} AS BIGINT) * {10 ** scale})"
-    d = f"CAST({den} AS BIGINT)"
-    q = f"({n} // {d})"
-    r = f"({n} - {q} * {d})"
-    return (
-        f"(CASE WHEN {d} <> 0 THEN {q} + CASE WHEN 2 * {r} > {d} OR (2 * {r} = {d} AND {q} % 2 = 1) "
-        f"THEN 1 ELSE 0 END END)"
-    )
+    """``num / den`` in units of 10^-scale, ties to even: the engine's own rounding of the exact double or remainder tie."""
+    n, d = f"(CAST({num} AS HUGEINT) * {10 ** scale})", f"CAST({den} AS HUGEINT)"
+    tie = f"(2 * abs({n}) % abs({d}) = 0 AND (2 * abs({n}) // abs({d})) % 2 = 1)"
+    down = f"(abs({n}) // abs({d}))"
+    size = f"CASE WHEN {tie} THEN {down} + {down} % 2 ELSE (2 * abs({n}) + abs({d})) // (2 * abs({d})) END"
+    return f"(CASE WHEN {d} <> 0 THEN CAST(sign({n}) * sign({d}) AS BIGINT) * CAST({size} AS BIGINT) END)"
 
 
 def _fixed2(h: str) -> str:
@@ -399,6 +397,8 @@ BODIES: dict[str, str] = {
     "clean_orders": "SELECT * FROM orders_clean",
     "clean_ltv": "SELECT * REPLACE (" + _MONEY_AS_DOUBLE + ") FROM ltv_clean",
     "clean_users": "SELECT * FROM users_clean",
+    "clean_orders_overridden": f"SELECT * REPLACE (CASE WHEN customer_id IN ({_in(P.EXTERNAL_CUSTOMERS)}) THEN 'EXTERNE' ELSE order_type END AS order_type) FROM orders_clean",
+    "ordering_customers": "SELECT DISTINCT customer_id FROM orders_clean WHERE customer_id IS NOT NULL",
     "csv_misfits": "SELECT * FROM misfits",
     "cohort_counts_of_good_rows": _cohort_sql(table="orders_good"),
     "report_export_roundtrip": "SELECT * REPLACE (concat('Say \"', first_name, '\",', chr(10), 'please') AS first_name) FROM users_clean",

@@ -21,6 +21,7 @@ DEFAULT_RANGE_AS_OF = dt.datetime(1999, 6, 30, 0, 0, 0)
 
 EXCLUDED_ORDERS = ("10", "20", "30")
 EXCLUDED_CUSTOMERS = ("5", "15", "25")
+EXTERNAL_CUSTOMERS = ("7", "11", "40", "100")
 LTV_CATEGORIES = ("Airtime", "Alimentation", "Shopping")
 
 BUYER_DAYS = 120
