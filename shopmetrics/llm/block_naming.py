@@ -16,14 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import materialize, row_key
+from .frames import free_name, materialize, row_key
 
 BLOCK_BYTES = 4096
 
 
 def normalised(text: Column) -> Column:
-    """Null is empty; each run of ASCII white space is one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    """Null is empty; each run of ASCII white space is one space. (A single space is such a run already, and is not matched.)"""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
 def _names(symbols: DataFrame, cols: list[str], level: int) -> DataFrame:
@@ -60,12 +60,12 @@ def text_identities(
     checksum = F.xxhash64("block")
     if checksum_bits < 64:
         checksum = F.shiftrightunsigned(checksum, 64 - checksum_bits)
-    blocks = blocks.withColumn("checksum", checksum)
+    blocks = blocks.withColumn("checksum", checksum).withColumn("key", row_key(F.col("id"), F.col("text_sha256")))
+    keyed = materialize(blocks, "blocks")  # texts are normalised and hashed once; later readers leave the blocks' bytes out
 
-    names = materialize(_names(blocks, ["checksum", "block"], 0).select("checksum", "name"), "block-names")
+    names = materialize(_names(keyed.select("checksum", "block"), ["checksum", "block"], 0).select("checksum", "name"), "block-names")
     by_checksum = names.groupBy("checksum").agg(F.count(F.lit(1)).alias("owners"), F.min("name").alias("name"))
     by_checksum = materialize(by_checksum, "block-checksums")
-    keyed = blocks.withColumn("key", row_key(F.col("id"), F.col("text_sha256")))
     clear = by_checksum.where("owners = 1").select("checksum", "name")
     parts = keyed.select("key", "id", "text_sha256", "n", "at", "checksum").join(clear, "checksum").drop("checksum")
     shared = by_checksum.where("owners > 1").select("checksum")
@@ -130,9 +130,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def keep_first_of_equals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, all columns; exact repeats of a row that stays leave one."""
+    """The rows of ``df`` that stay, all columns; exact repeats of a row that stays leave one.
+
+    Null and empty texts are equal texts, of which one row stays. An empty table stays empty. No column name clashes.
+    """
     # One key for the join and for exact repeats, so that texts are shuffled once for both.
-    marks = exact_dedup(df, id_col, text_col).where("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias("_key"))
+    key = free_name(df, "key")
+    marks = exact_dedup(df, id_col, text_col).where("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias(key))
     marks = materialize(marks.distinct(), "kept-texts")
-    mine = df.withColumn("_key", row_key(F.col(id_col), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
-    return mine.join(marks, "_key", "left_semi").dropDuplicates(["_key"]).select(*df.columns)
+    mine = df.withColumn(key, row_key(F.col(id_col), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
+    return mine.join(marks, key, "left_semi").dropDuplicates([key]).select(*df.columns)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import ascii_lower, materialize, row_key
+from .frames import ascii_lower, free_name, materialize, row_key
 
 WINDOW = 13
 MAX_WINDOWS = 100_000
@@ -150,15 +150,17 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """``df`` without its contaminated documents, or (``remove="spans"``) with the hit words taken out of their texts.
 
     With spans, a contaminated text becomes its remaining words joined by one space; other rows stay as they are.
+    Null texts stay; repeated rows go or stay together; an empty table stays empty. No column name clashes.
     """
+    key, runs = free_name(df, "item_key"), free_name(df, "item_runs")
     found = contamination(df, benchmark, id_col, text_col, **rule).where("contaminated")
-    found = materialize(found.select(F.col("key").alias("_key"), F.col("runs").alias("_runs")).dropDuplicates(["_key"]), "contaminated")
-    keyed = df.withColumn("_key", _key(id_col, text_col))
+    found = materialize(found.select(F.col("key").alias(key), F.col("runs").alias(runs)).dropDuplicates([key]), "contaminated")
+    keyed = df.withColumn(key, _key(id_col, text_col))
     if remove == "documents":
-        return keyed.join(found, "_key", "left_anti").select(*df.columns)
+        return keyed.join(found, key, "left_anti").select(*df.columns)
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove}")
     places = F.transform(words_of(F.col(text_col)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    left = F.filter(places, lambda x: ~F.exists("_runs", lambda r: (x["i"] >= r["from"]) & (x["i"] < r["to"])))
+    left = F.filter(places, lambda x: ~F.exists(runs, lambda r: (x["i"] >= r["from"]) & (x["i"] < r["to"])))
     cut = F.array_join(F.transform(left, lambda x: x["w"]), " ")
-    return keyed.join(found, "_key", "left").withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(cut)).select(*df.columns)
+    return keyed.join(found, key, "left").withColumn(text_col, F.when(F.col(runs).isNull(), F.col(text_col)).otherwise(cut)).select(*df.columns)

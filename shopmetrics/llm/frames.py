@@ -16,7 +16,7 @@ from shopmetrics.session import materialize, scratch_path, shared_dir
 
 __all__ = [
     "ASCII_UPPER", "ASCII_LOWER", "ascii_lower", "row_key", "materialize", "scratch_path", "shared_dir",
-    "shuffle_width", "utf8_view", "python_ready", "read_table",
+    "free_name", "shuffle_width", "utf8_view", "python_ready", "read_table",
 ]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,6 +37,12 @@ def row_key(id_col: Column, text_digest: Column) -> Column:
     return F.concat(F.when(id_col.isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), text_digest)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with a number if ``df`` has a column of that name already (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{name}{k or ''}" for k in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions to deal packed rows to; follows the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import materialize, row_key, shuffle_width, utf8_view
+from .frames import free_name, materialize, row_key, shuffle_width, utf8_view
 from .wordhash import mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 2_000_000
@@ -324,15 +324,16 @@ def keep_first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     groups = near_groups(df, id_col, text_col, width, percent, by_row=True).where("n_shingles > 0")
     # Equal texts are in one group, so a row key is of one group only.
-    keyed = groups.withColumn("_key", row_key(F.col(id_col), F.col("text_sha256"))).groupBy("_key")
+    key = free_name(df, "row_key")
+    keyed = groups.withColumn(key, row_key(F.col(id_col), F.col("text_sha256"))).groupBy(key)
     keyed = keyed.agg(F.max("component").alias("component"), F.max(id_col).alias("id"), F.max("key").alias("set"), F.count(F.lit(1)).alias("copies"))
     keyed = materialize(keyed, "near-rows")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "set", "_key", "copies")
-    first = materialize(keyed.groupBy("component").agg(F.min(order).alias("first")).select("first._key", "first.copies"), "first-rows")
-    gone = materialize(keyed.join(first, "_key", "left_anti").select("_key"), "near-copies")
-    stay = df.withColumn("_key", row_key(F.col(id_col), text_digest(F.col(text_col)))).join(gone, "_key", "left_anti")
-    repeated = materialize(first.where("copies > 1").select("_key"), "repeated-rows")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "set", key, "copies")
+    first = materialize(keyed.groupBy("component").agg(F.min(order).alias("first")).select(f"first.{key}", "first.copies"), "first-rows")
+    gone = materialize(keyed.join(first, key, "left_anti").select(key), "near-copies")
+    stay = df.withColumn(key, row_key(F.col(id_col), text_digest(F.col(text_col)))).join(gone, key, "left_anti")
+    repeated = materialize(first.where("copies > 1").select(key), "repeated-rows")
     if not repeated.isEmpty():
-        once = stay.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-        stay = stay.join(repeated, "_key", "left_anti").unionByName(once)
+        once = stay.join(repeated, key, "left_semi").dropDuplicates([key])
+        stay = stay.join(repeated, key, "left_anti").unionByName(once)
     return stay.select(*df.columns)
