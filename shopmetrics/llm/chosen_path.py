@@ -19,9 +19,7 @@ fetched for candidates only.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -32,10 +30,9 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .frames import materialize, shuffle_width, utf8_view
 from .ngram_join import set_key
-from .wordhash import mix, pieces, shingle_hashes, word_hashes
+from .wordhash import SKETCH, least_agreeing, minwise, mix, pieces, shingle_hashes, word_hashes
 
 TREES, PICKS = 6, 2
-SKETCH = 64
 MISS = 1e-9
 LEAF_ROWS, LEAF_GRAMS = 256, 1 << 20
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1 << 21
@@ -43,35 +40,12 @@ HUBS = 4  # of a chunk
 ALIKE = 0.7  # of a node's rows in one child
 DEEPEST = 8  # a node still large there is compared in blocks
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
-_SEEDS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64)).reshape(2, SKETCH)
-
-
-def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """The minwise tokens of non-empty sets, a row for each set."""
-    grams = np.concatenate(sets)
-    size = np.array([len(s) for s in sets])
-    first = np.cumsum(size) - size
-    out = np.empty((len(sets), SKETCH), np.uint64)
-    for k in range(SKETCH):
-        out[:, k] = np.minimum.reduceat((grams ^ _SEEDS[0, k]) * (_SEEDS[1, k] | np.uint64(1)), first)
-    return mix(out ^ _SEEDS[0])
-
-
-@lru_cache(maxsize=64)
-def least_agreeing(percent: int) -> int:
-    """In how many places the sketches of a pair at the threshold agree at least, but for a chance of ``MISS``."""
-    chance, total = percent / 100, 0.0
-    for k in range(SKETCH + 1):
-        total += math.comb(SKETCH, k) * chance**k * (1 - chance) ** (SKETCH - k)
-        if total > MISS:
-            return k
-    return SKETCH
 
 
 def candidates(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """A number for each row of a node; rows that may link, directly or over others, have the same."""
     label = np.arange(len(sizes))
-    least = least_agreeing(percent)
+    least = least_agreeing(percent / 100, MISS)
     for k in range(len(sizes)):
         near = (sketches[k:] == sketches[k]).sum(1) >= least
         near &= 100 * np.minimum(sizes[k:], sizes[k]) >= percent * np.maximum(sizes[k:], sizes[k])

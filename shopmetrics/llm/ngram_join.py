@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import free_name, materialize, row_key, shuffle_width, utf8_view
-from .wordhash import mix, pieces, shingle_hashes, word_hashes
+from .wordhash import SKETCH, least_agreeing, minwise, mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 2_000_000
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
 BLOCK_BYTES = 16 << 20
+MISS = 1e-9  # chance that the sketches of a pair that passes rule it out
+MOST_TESTS = 50_000_000  # of sketches in one bucket
 
 
 def most_different(sizes: int, percent: int) -> int:
@@ -108,6 +110,61 @@ def set_key(grams: np.ndarray) -> int:
     return int(h.view(np.int64)[0]) or 1
 
 
+def packed_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Four bits of each minwise token of non-empty sets, 16 tokens to a word."""
+    nibbles = (minwise(sets) & np.uint64(15)).reshape(len(sets), SKETCH // 16, 16)
+    return (nibbles << np.arange(0, 64, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches leave it open that two sets pass."""
+    chance = percent / 100
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+    return SKETCH - differ >= least_agreeing(chance + (1 - chance) / 16, MISS)
+
+
+def tested_meetings(group: np.ndarray, row: np.ndarray, sketches: np.ndarray, percent: int, most: int = MOST_TESTS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect, within each group, all rows whose sketches are alike (not all such pairs).
+
+    ``group`` is sorted. In each round one row of every group is held against the whole group, for all groups at once. The
+    first one's star is the group's main part; a later star that touches it joins it. Rows outside the main part are
+    each held against all, so two rows that stay apart have been tested. Past ``most`` tests the groups that are
+    left are connected untested, which only makes a family larger.
+    """
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+    size = np.diff(np.append(begin, len(group)))
+    row = row[np.repeat(size > 1, size)]
+    group = np.repeat(np.arange(int((size > 1).sum())), size[size > 1])
+    main, held = np.zeros(len(group), bool), np.zeros(len(group), bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    tests = 0
+    while (~main & ~held).any():
+        live = np.zeros(group[-1] + 1, bool)
+        live[group[~main & ~held]] = True
+        stay = live[group]
+        group, row, main, held = group[stay], row[stay], main[stay], held[stay]
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(begin, len(group)))
+        if tests > most:
+            found.append((np.repeat(row[begin], size), row))
+            break
+        open_rows = np.flatnonzero(~main & ~held)
+        pivots = open_rows[np.append(True, group[open_rows][1:] != group[open_rows][:-1])]
+        pivot = np.repeat(row[pivots], size)
+        near = alike(sketches[pivot], sketches[row], percent)
+        found.append((pivot[near], row[near]))
+        touches = np.logical_or.reduceat(near & main, begin) if tests else np.ones(len(begin), bool)
+        main |= near & np.repeat(touches, size)
+        held[pivots] = True
+        tests += len(row)
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links between rows marked ``left`` and rows marked ``right`` that connect them (a spanning forest of all these links).
 
@@ -197,7 +254,7 @@ def _multiplied(members: DataFrame, percent: int, buckets: int, most_bytes: int)
     return dealt.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, block_bytes: int = BLOCK_BYTES, by_row: bool = False) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, block_bytes: int = BLOCK_BYTES, by_row: bool = False, sketches: bool = False) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links), ``key`` (of its set).
 
     Two rows link when 100 * overlap >= percent * union of their sets of distinct word runs of ``width``; a text with
@@ -208,6 +265,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     ``by_row`` adds ``component``, the number of the component itself (null without words), as components of repeated or
     null ids can have one component_id, and ``text_sha256``, which tells rows of one id apart.
+
+    With ``sketches``, sets that share a block meet only if their sketches (64 minwise tokens of 4 bits) leave a link open, which
+    a pair that passes fails with a probability under ``MISS``. At low thresholds a block holds few n-grams, and texts that share
+    passages would otherwise chain into families that grow with the corpus.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -224,6 +285,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        drawn: dict[int, bytes] = {}
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -236,14 +298,21 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 first = np.flatnonzero(np.append(True, key[own][1:] != key[own][:-1]))
                 many = np.diff(np.append(first, len(own)))
                 parts = (sig[own] >> np.uint64(32)).astype("u4").tobytes(), key[own][first].tobytes(), many.astype("u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], ["bucket", "sig", "key", "many"])
+                parts += (b"".join(drawn[k] for k in key[own][first].tolist()) if sketches else b"",)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([p], pa.binary()) for p in parts)], ["bucket", "sig", "key", "many", "sketch"])
+            drawn.clear()
 
         for batch in batches:
             for _, sets in _sets(batch.column(1), width):
+                full = [s for s in sets if len(s)] if sketches else []
+                own = iter(packed_sketches(full)) if full else iter(())
                 for s in sets:
                     key = set_key(s)
+                    sketch = next(own) if sketches and len(s) else None
                     if len(s) and key not in seen:
                         seen.add(key)
+                        if sketches:
+                            drawn[key] = sketch.tobytes()
                         if len(seen) > FLUSH:
                             seen.clear()
                         sig = signatures(s, percent)
@@ -257,13 +326,20 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For the sets of a partition's buckets that share a signature: each with the first of them."""
-        parts: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        parts: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                parts.setdefault(row["bucket"], []).append((row["sig"], row["key"], row["many"]))
+                parts.setdefault(row["bucket"], []).append((row["sig"], row["key"], row["many"], row["sketch"]))
         for bucket in sorted(parts):
             own = parts.pop(bucket)
             sig, key, many = (np.frombuffer(b"".join(p[k] for p in own), t) for k, t in enumerate(("u4", "i8", "u4")))
+            if sketches:
+                names, one, number = np.unique(key, return_index=True, return_inverse=True)
+                drawn = np.frombuffer(b"".join(p[3] for p in own), np.uint64).reshape(-1, SKETCH // 16)[one]
+                both = np.unique(sig.astype(np.uint64) << np.uint64(32) | np.repeat(number, many).astype(np.uint64))
+                a, b = tested_meetings(both >> np.uint64(32), (both & np.uint64(2**32 - 1)).astype(np.int64), drawn, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+                continue
             key = np.repeat(key, many)
             order = np.lexsort((key, sig))
             sig, key = sig[order], key[order]
@@ -276,7 +352,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
     told = rows.withColumn("text_sha256", text_digest(F.col("text"))) if by_row else rows
     docs = materialize(told.mapInArrow(keys, f"id {kind}, key long, n long" + ", text_sha256 string" * by_row), "set-keys")
-    dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary, many binary").repartitionById(buckets, F.col("bucket"))
+    dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary, many binary, sketch binary").repartitionById(buckets, F.col("bucket"))
     meant = materialize(dealt.mapInArrow(meetings, "a long, b long").distinct(), "meetings")
     families = materialize(connected_components(meant).withColumnRenamed("node", "key").withColumnRenamed("component", "family"), "families")
 
@@ -322,7 +398,7 @@ def keep_first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     the smallest hash. Rows are told apart by id and text, so rows of other groups that have the same id, or none
     either, stay. Exact repeats of a row that stays leave one.
     """
-    groups = near_groups(df, id_col, text_col, width, percent, by_row=True).where("n_shingles > 0")
+    groups = near_groups(df, id_col, text_col, width, percent, by_row=True, sketches=True).where("n_shingles > 0")
     # Equal texts are in one group, so a row key is of one group only.
     key = free_name(df, "row_key")
     keyed = groups.withColumn(key, row_key(F.col(id_col), F.col("text_sha256"))).groupBy(key)

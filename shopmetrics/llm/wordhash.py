@@ -7,6 +7,9 @@ word alone, so equal words have equal hashes in every task.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 
 MASK = (1 << 64) - 1
@@ -97,3 +100,29 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int) -> list[np.nda
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+SKETCH = 64
+_SEEDS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64)).reshape(2, SKETCH)
+
+
+def minwise(sets: list[np.ndarray]) -> np.ndarray:
+    """The minwise tokens of non-empty sets, a row for each set."""
+    grams = np.concatenate(sets)
+    size = np.array([len(s) for s in sets])
+    first = np.cumsum(size) - size
+    out = np.empty((len(sets), SKETCH), np.uint64)
+    for k in range(SKETCH):
+        out[:, k] = np.minimum.reduceat((grams ^ _SEEDS[0, k]) * (_SEEDS[1, k] | np.uint64(1)), first)
+    return mix(out ^ _SEEDS[0])
+
+
+@lru_cache(maxsize=64)
+def least_agreeing(chance: float, miss: float) -> int:
+    """In how many places two sketches agree at least, but for a probability of ``miss``, if each place agrees with ``chance``."""
+    total = 0.0
+    for k in range(SKETCH + 1):
+        total += math.comb(SKETCH, k) * chance**k * (1 - chance) ** (SKETCH - k)
+        if total > miss:
+            return k
+    return SKETCH

@@ -276,6 +276,38 @@ def test_near_groups_are_brute_force(docs, width, percent, block_bytes):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == groups(rows, width, percent)
 
 
+@pytest.mark.parametrize("width, percent", [(5, 80), (1, 50)])
+def test_near_groups_with_sketches_are_brute_force(docs, width, percent):
+    rows = [r for r in ROWS if r[1] is None or len(r[1]) < 4000]
+    out = ngram_join.near_groups(docs(rows), width=width, percent=percent, sketches=True).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == groups(rows, width, percent)
+
+
+@pytest.mark.parametrize("most", [10**9, 60])
+def test_rows_that_stay_apart_were_tested(most):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (4, 4)).astype(np.uint64)
+    sketches = base[rng.integers(0, 4, 90)].copy()
+    for k in range(90):  # change some of the 64 places
+        for _ in range(rng.integers(0, 30)):
+            sketches[k, rng.integers(4)] ^= np.uint64(int(rng.integers(1, 16)) << (4 * int(rng.integers(16))))
+    group = np.sort(rng.integers(0, 6, 200))
+    row = np.concatenate([rng.choice(90, (group == g).sum(), replace=False) for g in range(6)])
+    a, b = ngram_join.tested_meetings(group, row, sketches, 80, most)
+    label = list(range(90))
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert x < y
+        label = [label[x] if v == label[y] else v for v in label]
+    for g in range(6):
+        own = row[group == g]
+        for x in own:
+            near = ngram_join.alike(np.repeat(sketches[x][None], len(own), 0), sketches[own], 80)
+            assert all(label[x] == label[y] for y in own[near])
+    if most > 1000:
+        assert all(ngram_join.alike(sketches[x][None], sketches[y][None], 80)[0] for x, y in zip(a, b))
+    assert all(len(v) == 0 for v in ngram_join.tested_meetings(np.empty(0, np.int64), np.empty(0, np.int64), sketches, 80))
+
+
 def test_near_copies_go_by_row(docs):
     a, b, c, d, e, z, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcdezo")
     rows = [(1, a), (None, a + " tail"), (None, z), (3, b), (5, b + " tail"), (5, other)]  # an id that a near copy shares with a text of its own
