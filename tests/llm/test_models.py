@@ -91,7 +91,7 @@ def test_pipeline_stages(ready, small_dir, tmp_path):
 def test_query_matches_sql(ready, small_dir, name):
     out = catalog.queries()[name](ready, small_dir)
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(small_dir, t)}.parquet')")
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert Counter(map(tuple, out.collect())) == Counter(want)
