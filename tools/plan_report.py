@@ -39,7 +39,7 @@ def main() -> None:
 
     spark = build_session("local[8]", "shopmetrics-plans", shuffle_partitions=16)
     spark.sparkContext.setLogLevel("ERROR")
-    import __spark_entry__ as E
+    from shopmetrics.plans import catalog
 
     lines = [
         "# Physical plans of the registered queries",
@@ -53,7 +53,7 @@ def main() -> None:
         "| query | hash shuffles | single-partition | broadcasts | SMJ | windows | sort aggs | scans | scans with pushed filters | nested loop |",
         "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |",
     ]
-    for key, q in E.queries().items():
+    for key, q in catalog.queries().items():  # the reports
         df = q(spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
