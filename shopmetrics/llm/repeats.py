@@ -32,7 +32,6 @@ ANCHOR = 50
 PIECE = 1 << 19
 FLUSH = 400_000
 MANY = 512  # different surroundings of one beginning that are compared in one tree
-BROADCAST_BYTES = 64 << 20
 
 _ROWS = "kind int, bucket int, n int, data binary, size long, row long, first long, last long, at long, key long, many boolean"
 SUFFIXES, SPAN, NEED, WINDOWS = range(4)
@@ -118,7 +117,7 @@ def _spans(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.
     new = np.append(True, first[1:] + step[1:] > reach[:-1])
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(row)) - 1
-    yield _out(len(at), kind=SPAN, bucket=0, row=row[at], first=first[at], last=(reach - step)[ends])
+    yield _out(len(at), kind=SPAN, row=row[at], first=first[at], last=(reach - step)[ends])
 
 
 def _deal(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +218,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         many = np.repeat(classes > MANY, classes)
         some = own[needed]
         if len(some):
-            yield _out(len(some), kind=NEED, bucket=0, row=row[some], at=at[some], key=key[some].view(np.int64), many=many[needed])
+            yield _out(len(some), kind=NEED, row=row[some], at=at[some], key=key[some].view(np.int64), many=many[needed])
 
 
 def _fetch_surroundings(least: int, buckets: int):
@@ -368,6 +367,11 @@ def _scan_trees(least: int):
     return run
 
 
+def _to_buckets(found: DataFrame, buckets: int) -> DataFrame:
+    """Packed rows to the tasks of their buckets; spans, which have none, by a hash of their row."""
+    return found.repartitionById(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")))
+
+
 def repeat_spans(df: DataFrame, text_col: str = "text", row_col: str = "row", least: int = 200) -> DataFrame:
     """``row``, ``first``, ``last``: stretches of UTF-8 bytes covered by strings of ``least`` bytes that begin elsewhere too. A stretch may come in overlapping parts."""
     spark = df.sparkSession
@@ -375,13 +379,13 @@ def repeat_spans(df: DataFrame, text_col: str = "text", row_col: str = "row", le
         raise ValueError(f"least must be over {ANCHOR} and at most 255")
     buckets = max(8, shuffle_width(spark))
     rows = df.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.mapInArrow(_find_suffixes(least, buckets), _ROWS).repartitionById(buckets, F.col("bucket"))
+    dealt = _to_buckets(rows.mapInArrow(_find_suffixes(least, buckets), _ROWS), buckets)
     found = materialize(dealt.mapInArrow(_sort_suffixes, _ROWS), "suffixes")
     needs = found.where(F.col("kind") == NEED).groupBy("row").agg(F.collect_list(F.struct("at", "key", "many")).alias("needs"))
     needs = materialize(needs, "needed-places")
-    size = needs.agg(F.coalesce(F.sum(F.size("needs") * 24 + 40), F.lit(0))).first()[0]
-    some = rows.join(F.broadcast(needs) if size <= BROADCAST_BYTES else needs, "row").select("row", "text", "needs")
-    dealt = some.mapInArrow(_fetch_surroundings(least, buckets), _ROWS).repartitionById(buckets, F.col("bucket"))
+    # What is needed grows with the corpus, so it is never broadcast: a sorted join, which can spill, at every size.
+    some = rows.join(needs.hint("merge"), "row").select("row", "text", "needs")
+    dealt = _to_buckets(some.mapInArrow(_fetch_surroundings(least, buckets), _ROWS), buckets)
     more = dealt.mapInArrow(_scan_trees(least), _ROWS)
     spans = found.where(F.col("kind") == SPAN).select("row", "first", "last")
     return spans.unionByName(more.where(F.col("kind") == SPAN).select("row", "first", "last"))
@@ -399,8 +403,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["id"].dataType.simpleString()
     spans = repeat_spans(rows, least=least).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = materialize(spans, "repeat-spans")
-    size = spans.agg(F.coalesce(F.sum(F.size("spans") * 24 + 40), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "row", "left").select("id", "text", "spans")
+    joined = rows.join(spans.hint("merge"), "row", "left").select("id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

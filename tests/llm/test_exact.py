@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shopmetrics.llm import block_naming, bpe, decontaminate, kneser_ney, ngram_join, repeats, sharding, training_order, url_reputation
 from shopmetrics.llm.catalog import vocabulary_path
@@ -97,6 +98,22 @@ def test_repeats_are_brute_force(docs, monkeypatch, many):
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == want
 
 
+def test_repeats_broadcast_nothing(docs):
+    plan = repeats.remove_repeats(docs(ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_repeat_spans_are_dealt_evenly(ready):
+    def spans(batches):
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            yield from repeats._spans(row, np.zeros(len(row), np.int64), np.full(len(row), 300))
+
+    found = ready.range(4000, numPartitions=3).mapInArrow(spans, repeats._ROWS)
+    parts = Counter(r.p for r in repeats._to_buckets(found, 8).selectExpr("spark_partition_id() as p").collect())
+    assert sum(parts.values()) == 4000 and len(parts) == 8 and max(parts.values()) < 2 * 500
+
+
 def in_process(rows, least):
     """The four steps of the operator on batches, without Spark between them."""
     import pyarrow as pa
@@ -134,23 +151,67 @@ def test_intervals_of_a_suffix_array():
 # op3
 
 
-def test_training_order_round_trip(docs, tmp_path):
-    rows = [(k, t) for k, t in ROWS if k != 5]
-    n = sum(-(-len((t or "").encode()) // 64) for _, t in rows)
-    frame = docs(rows).coalesce(2).cache()
+def texts_read_back(out, folder, per_shard, length, dtype="u1"):
+    """Each text's ids from the files, by its parts; checks that the parts of a record fill it without gaps."""
+    records, parts = {}, {}
+    for r in out:
+        records.setdefault(r.slot, []).append(r)
+    for slot, own in records.items():
+        (ids,) = training_order.read_slots(folder, slot, 1, per_shard, length, dtype)
+        own.sort(key=lambda r: r.at)
+        assert [r.at for r in own] == [sum(x.n_tokens for x in own[:k]) for k in range(len(own))]
+        assert {(r.shard, r.record, r.crc32) for r in own} == {(*divmod(slot, per_shard), zlib.crc32(ids.tobytes()))}
+        assert not ids[own[-1].at + own[-1].n_tokens :].any()
+        for r in own:
+            parts.setdefault(r.doc_id, []).append((r.first, ids[r.at : r.at + r.n_tokens]))
+    filled = [sum(r.n_tokens for r in own) for own in records.values()]
+    return {i: np.concatenate([x for _, x in sorted(p, key=lambda q: q[0])]) for i, p in parts.items()}, filled
+
+
+@pytest.mark.parametrize("most", [1 << 20, 700])
+def test_training_order_round_trip(docs, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(training_order, "PIECE_BYTES", most)  # small pieces: a record goes on from piece to piece
+    rows = [(k, t) for k, (_, t) in enumerate(ROWS)]
+    frame = docs(rows).coalesce(2)
     out = training_order.write_training_order(frame, str(tmp_path / "o"), length=64, per_shard=50, key="k").collect()
-    frame.unpersist()
-    assert sorted(r.slot for r in out) == list(range(n))
-    assert all((r.shard, r.record) == divmod(r.slot, 50) for r in out)
-    back = {}
-    for r, ids in zip(sorted(out, key=lambda r: r.slot), training_order.read_slots(str(tmp_path / "o"), 0, n, 50, 64)):
-        assert zlib.crc32(ids.tobytes()) == r.crc32 and not ids[r.n_tokens :].any()
-        back.setdefault((r.doc_id, r.seq), []).append(ids[: r.n_tokens].tobytes())
-    for i, text in set(rows):
-        if text and i is not None and [x for x, _ in rows].count(i) == 1:
-            whole = b"".join(back[i, k][0] for k in range(-(-len(text.encode()) // 64)))
-            assert whole == text.encode()
-    assert [r.slot for r in sorted(out, key=lambda r: (str(r.doc_id), r.seq))] != list(range(n))
+    back, filled = texts_read_back(out, str(tmp_path / "o"), 50, 64)
+    assert {k: x.tobytes() for k, x in back.items()} == {k: t.encode() for k, t in rows if t}
+    # Only the last record of a partition is padded.
+    assert sum(n < 64 for n in filled) <= 2 and sum(filled) == sum(len((t or "").encode()) for _, t in rows)
+    assert sorted({r.slot for r in out}) == list(range(len(filled)))
+    assert [r.slot for r in sorted(out, key=lambda r: (r.doc_id, r.first))] != sorted(r.slot for r in out)
+
+
+def test_training_order_of_repeated_rows_and_null_ids(docs, tmp_path):
+    rows = [(1, "ab" * 40), (1, "ab" * 40), (None, "cd" * 9), (None, None), (2, "")]
+    out = training_order.write_training_order(docs(rows), str(tmp_path / "o"), length=16, per_shard=3).collect()
+    assert Counter(r.doc_id for r in out if r.first == 0) == {1: 2, None: 1}
+    assert sum(r.n_tokens for r in out) == 178
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long"])
+def test_training_order_ids_of_any_type(ready, tmp_path, kind):
+    frame = ready.createDataFrame([(7, "some text"), (8, "more")], "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    out = training_order.write_training_order(frame, str(tmp_path / "o"), length=4)
+    assert dict(out.dtypes)["doc_id"] == {"long": "bigint"}.get(kind, kind)
+    assert {str(r.doc_id) for r in out.collect()} == {"7", "8"}
+
+
+def test_training_order_of_nothing(ready, tmp_path):
+    out = training_order.write_training_order(ready.createDataFrame([], "doc_id long, text string"), str(tmp_path / "o"))
+    assert out.collect() == [] and not (tmp_path / "o").exists()
+
+
+def test_training_order_tasks_write_several_shards(docs, ready, tmp_path):
+    width = ready.conf.get("spark.sql.shuffle.partitions")
+    ready.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rows = [(k, t) for k, (_, t) in enumerate(ROWS)]
+        out = training_order.write_training_order(docs(rows), str(tmp_path / "o"), length=64, per_shard=20).collect()
+    finally:
+        ready.conf.set("spark.sql.shuffle.partitions", width)
+    assert len({r.shard for r in out}) > 4
+    assert {k: x.tobytes() for k, x in texts_read_back(out, str(tmp_path / "o"), 20, 64)[0].items()} == {k: t.encode() for k, t in rows if t}
 
 
 def test_training_order_holds_the_vocabulary_ids(ready, docs, tmp_path, monkeypatch):
@@ -163,19 +224,34 @@ def test_training_order_holds_the_vocabulary_ids(ready, docs, tmp_path, monkeypa
     with open(vocabulary_path(), encoding="utf-8") as f:
         coder = bpe.BytePairs(f.read())
     dtype = "<u2" if len(coder.token_size) <= 1 << 16 else "<u4"
-    back: dict = {}
-    for r in sorted(out, key=lambda r: (r.doc_id, r.seq)):
-        (ids,) = training_order.read_slots(str(tmp_path / "o"), r.slot, 1, dtype=dtype)
-        back.setdefault(r.doc_id, []).extend(ids[: r.n_tokens].tolist())
-    assert back == {k: coder.encode(t) for k, t in rows if t}
+    back, _ = texts_read_back(out, str(tmp_path / "o"), training_order.PER_SHARD, training_order.SEQUENCE, dtype)
+    assert {k: x.tolist() for k, x in back.items()} == {k: coder.encode(t) for k, t in rows if t}
+
+
+def feistel(x, n, key):
+    """The slot of a number, one integer at a time."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    low, wide = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & low
+        for r in range(training_order.ROUNDS):
+            k = int.from_bytes(hashlib.sha256(f"{key}:{r}".encode()).digest()[:8], "little")
+            h = (right ^ k) * 0x9E3779B97F4A7C15 & wide
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & wide
+            left, right = right, left ^ (h ^ h >> 32) & low
+        x = right << half | left
+        if x < n:
+            return x
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_slots_are_a_bijection(n):
     order = training_order.SlotPermutation(n, "key")
     slots = order.slot(np.arange(n))
+    assert slots.tolist() == [feistel(x, n, "key") for x in range(n)]
     assert sorted(slots.tolist()) == list(range(n))
-    assert order.number(slots).tolist() != [] and (n < 1000 or (training_order.SlotPermutation(n, "other").slot(np.arange(n)) != slots).any())
+    assert order.number(slots).tolist() == list(range(n))
+    assert n < 1000 or (training_order.SlotPermutation(n, "other").slot(np.arange(n)) != slots).any()
 
 
 # op4
