@@ -139,4 +139,5 @@ def keep_first_of_equals(df: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = exact_dedup(df, id_col, text_col).where("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias(key))
     marks = materialize(marks.distinct(), "kept-texts")
     mine = df.withColumn(key, row_key(F.col(id_col), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
-    return mine.join(marks, key, "left_semi").dropDuplicates([key]).select(*df.columns)
+    # The marks grow with the corpus, so they are not broadcast at any size.
+    return mine.join(marks.hint("merge"), key, "left_semi").dropDuplicates([key]).select(*df.columns)

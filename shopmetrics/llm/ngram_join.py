@@ -264,7 +264,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     by 64-bit hashes.
 
     ``by_row`` adds ``component``, the number of the component itself (null without words), as components of repeated or
-    null ids can have one component_id, and ``text_sha256``, which tells rows of one id apart.
+    null ids can have one component_id, and ``row``, a digest of id and text (see ``row_digest``).
 
     With ``sketches``, sets that share a block meet only if their sketches (64 minwise tokens of 4 bits) leave a link open, which
     a pair that passes fails with a probability under ``MISS``. At low thresholds a block holds few n-grams, and texts that share
@@ -274,7 +274,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     buckets = shuffle_width(spark)
-    digest = ["text_sha256"] if by_row else []
+    digest = ["row"] if by_row else []
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,8 +350,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             new = np.append(True, (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])) & (pivot != key)
             yield pa.RecordBatch.from_arrays([pa.array(pivot[new]), pa.array(key[new])], ["a", "b"])
 
-    told = rows.withColumn("text_sha256", text_digest(F.col("text"))) if by_row else rows
-    docs = materialize(told.mapInArrow(keys, f"id {kind}, key long, n long" + ", text_sha256 string" * by_row), "set-keys")
+    told = rows.withColumn("row", row_digest(F.col("id"), F.col("text"))) if by_row else rows
+    docs = materialize(told.mapInArrow(keys, f"id {kind}, key long, n long" + ", row binary" * by_row), "set-keys")
     dealt = rows.select("id", "text").mapInArrow(blocks, "bucket int, sig binary, key binary, many binary, sketch binary").repartitionById(buckets, F.col("bucket"))
     meant = materialize(dealt.mapInArrow(meetings, "a long, b long").distinct(), "meetings")
     families = materialize(connected_components(meant).withColumnRenamed("node", "key").withColumnRenamed("component", "family"), "families")
@@ -386,9 +386,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return linked.unionByName(alone).withColumnRenamed("n", "n_shingles").withColumnRenamed("id", id_col)
 
 
-def text_digest(text: Column) -> Column:
-    """Never null, so that a row key of it is not either."""
-    return F.coalesce(F.sha2(text.cast("string").cast("binary"), 256), F.lit(""))
+def row_digest(id_col: Column, text: Column) -> Column:
+    """16 bytes that tell rows of another id or text apart; never null."""
+    whole = F.coalesce(F.sha2(text.cast("string").cast("binary"), 256), F.lit(""))
+    return F.substring(F.unhex(F.sha2(row_key(id_col, whole).cast("binary"), 256)), 1, 16)
 
 
 def keep_first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -399,15 +400,16 @@ def keep_first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     either, stay. Exact repeats of a row that stays leave one.
     """
     groups = near_groups(df, id_col, text_col, width, percent, by_row=True, sketches=True).where("n_shingles > 0")
-    # Equal texts are in one group, so a row key is of one group only.
+    # Equal texts are in one group, so a row's digest is of one group only.
     key = free_name(df, "row_key")
-    keyed = groups.withColumn(key, row_key(F.col(id_col), F.col("text_sha256"))).groupBy(key)
+    keyed = groups.withColumn(key, F.col("row")).groupBy(key)
     keyed = keyed.agg(F.max("component").alias("component"), F.max(id_col).alias("id"), F.max("key").alias("set"), F.count(F.lit(1)).alias("copies"))
     keyed = materialize(keyed, "near-rows")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "set", key, "copies")
     first = materialize(keyed.groupBy("component").agg(F.min(order).alias("first")).select(f"first.{key}", "first.copies"), "first-rows")
     gone = materialize(keyed.join(first, key, "left_anti").select(key), "near-copies")
-    stay = df.withColumn(key, row_key(F.col(id_col), text_digest(F.col(text_col)))).join(gone, key, "left_anti")
+    # The rows that go grow with the corpus, so they are not broadcast at any size.
+    stay = df.withColumn(key, row_digest(F.col(id_col), F.col(text_col))).join(gone.hint("merge"), key, "left_anti")
     repeated = materialize(first.where("copies > 1").select(key), "repeated-rows")
     if not repeated.isEmpty():
         once = stay.join(repeated, key, "left_semi").dropDuplicates([key])
