@@ -26,7 +26,7 @@ from .components import connected_components
 from .frames import free_name, materialize, row_key, shuffle_width, utf8_view
 from .wordhash import SKETCH, least_agreeing, minwise, mix, pieces, shingle_hashes, word_hashes
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
 BLOCK_BYTES = 16 << 20
 MISS = 1e-9  # chance that the sketches of a pair that passes rule it out
