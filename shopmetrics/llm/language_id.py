@@ -5,6 +5,10 @@ share of the text's n-grams times its inverse document frequency. Document frequ
 all training documents. The classifier is fitted by follow-the-regularised-leader (per coordinate) with
 L1 and L2 penalties on a bounded sample (``max_per_language``, a parameter), then calibrated by one
 temperature on a part of that sample it was not fitted on. Prediction runs over every whole text.
+
+What is in none of the languages is told by the novelty of a text: the mean idf of its n-grams. It counts as foreign if it
+is nearer to the idf of an n-gram that no training document has than to the highest novelty in the part
+that was not fitted on. Scores can't tell, as they only rank the known languages.
 """
 
 from __future__ import annotations
@@ -45,28 +49,38 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """``table``: for each feature the weights of the languages times its idf; ``bias`` per language."""
+    """``table``: for each feature the weights of the languages times its idf, then its idf; ``bias`` per language.
+
+    A text of more than ``most_novel`` mean idf is foreign.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    most_novel: float = float("inf")
 
-    def scores(self, text: str) -> np.ndarray:
-        """Linear scores; the mean of the table over the text's n-grams, in pieces so that memory is bounded."""
-        total, n = np.zeros(len(self.languages)), 0
+    def scores(self, text: str) -> tuple[np.ndarray, float]:
+        """Linear scores and novelty; the mean of the table over the text's n-grams, in pieces so that memory is bounded."""
+        total, n = np.zeros(len(self.languages) + 1), 0
         for at in range(0, len(text), PIECE_CHARS):
             found = features_of(text[at : at + PIECE_CHARS])
             total += self.table[found].sum(0, dtype=np.float64)
             n += len(found)
-        return total / max(n, 1) + self.bias
+        mean = total / max(n, 1)
+        return mean[:-1] + self.bias, float(mean[-1])
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is foreign to all languages."""
         if text is None or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        p = softmax(self.scores(text) / self.temperature)
+            return UNKNOWN, 0.0, False
+        scores, novelty = self.scores(text)
+        p = softmax(scores / self.temperature)
         k = int(p.argmax())
-        return self.languages[k], float(p[k])
+        return self.languages[k], float(p[k]), novelty > self.most_novel
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -152,7 +166,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((FEATURES, 1), np.float32), np.zeros(0))
     found, n = _document_frequencies(rows.select("text"))
     idf = np.log((1.0 + n) / (1.0 + found)) + 1.0
     share = F.lit(0.0)
@@ -180,11 +194,14 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_per
         data.append((languages.index(lang), at, np.frombuffer(part, "<f4") * idf[at] * SCALE))
     held = [k % 5 == 4 for k in range(len(data))]
     fitted = fit_ftrl([r for r, h in zip(data, held) if not h], len(languages))
-    model = Model(languages, (fitted[:FEATURES] * idf[:, None] * SCALE).astype(np.float32), fitted[FEATURES])
+    table = np.concatenate([fitted[:FEATURES] * SCALE, np.ones((FEATURES, 1))], axis=1) * idf[:, None]
+    model = Model(languages, table.astype(np.float32), fitted[FEATURES])
     apart = [r for r, h in zip(data, held) if h]
     if apart:
         scores = np.array([(v[:, None] * fitted[at]).sum(0) + fitted[FEATURES] for _, at, v in apart])
         model.temperature = best_temperature(scores, np.array([r[0] for r in apart]))
+        unseen = np.log(1.0 + n) + 1.0
+        model.most_novel = (max(float(v.sum()) / SCALE for _, _, v in apart) + unseen) / 2
     return model
 
 
@@ -196,7 +213,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, ``lang_pred``, ``score`` (0 to 1; 0 for ``und``).
 
     ``und`` if the text is null, empty or has no letter, or if the model knows no language. Ties go to
-    the first language by name. The model (features times languages, 4 bytes each) is broadcast.
+    the first language by name. Repeated rows are judged each; an empty table gives an empty result. The model
+    (features times languages and one, 4 bytes each) is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -211,22 +229,26 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5, languages: list[str] | None = None) -> DataFrame:
-    """The rows of ``df`` whose language is known with at least this score (and, if given, is among ``languages``); all columns stay.
+def keep_known(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.0, languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``df`` whose language is known: not ``und``, not foreign to all languages, all columns stay.
 
-    A model of no language rejects nothing: unless ``languages`` are given, every text with a letter stays.
+    With ``least``, rows of a lower score go too; with ``languages``, rows of others. Foreign is what is nearer to an unseen
+    text than to the strangest one of the held-out sample (see above), whatever the number of languages; a model without
+    held-out rows (a sample under five texts) finds nothing foreign. A model of no language rejects nothing: unless
+    ``languages`` are given, every text with a letter stays. Repeated rows go or stay together, an empty table stays empty.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(text: str | None) -> bool:
         own = shared.value
+        if not own.languages and languages is None:
+            return text is not None and has_letter(text)
+        lang, score, foreign = own.judge(text)
+        return lang != UNKNOWN and not foreign and score >= least and (languages is None or lang in languages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            if not own.languages and languages is None:
-                yield batch.filter(pa.array([t is not None and has_letter(t) for t in texts], pa.bool_()))
-                continue
-            said = [own.predict(t) for t in texts]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least and (languages is None or lang in languages) for lang, score in said], pa.bool_()))
+            yield batch.filter(pa.array([known(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

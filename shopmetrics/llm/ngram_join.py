@@ -31,6 +31,7 @@ BROADCAST_ROWS = 1_000_000  # of 8 bytes
 BLOCK_BYTES = 16 << 20
 MISS = 1e-9  # chance that the sketches of a pair that passes rule it out
 MOST_TESTS = 50_000_000  # of sketches in one bucket
+TESTS_AT_ONCE = 1 << 16
 
 
 def most_different(sizes: int, percent: int) -> int:
@@ -126,6 +127,15 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return SKETCH - differ >= least_agreeing(chance + (1 - chance) / 16, MISS)
 
 
+def alike_rows(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """``alike`` of the rows ``a`` with the rows ``b``, some at a time, as the sketches of all of them would fill the memory."""
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), TESTS_AT_ONCE):
+        own = slice(at, at + TESTS_AT_ONCE)
+        out[own] = alike(sketches[a[own]], sketches[b[own]], percent)
+    return out
+
+
 def tested_meetings(group: np.ndarray, row: np.ndarray, sketches: np.ndarray, percent: int, most: int = MOST_TESTS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that connect, within each group, all rows whose sketches are alike (not all such pairs).
 
@@ -154,7 +164,7 @@ def tested_meetings(group: np.ndarray, row: np.ndarray, sketches: np.ndarray, pe
         open_rows = np.flatnonzero(~main & ~held)
         pivots = open_rows[np.append(True, group[open_rows][1:] != group[open_rows][:-1])]
         pivot = np.repeat(row[pivots], size)
-        near = alike(sketches[pivot], sketches[row], percent)
+        near = alike_rows(sketches, pivot, row, percent)
         found.append((pivot[near], row[near]))
         touches = np.logical_or.reduceat(near & main, begin) if tests else np.ones(len(begin), bool)
         main |= near & np.repeat(touches, size)
@@ -336,7 +346,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             if sketches:
                 names, one, number = np.unique(key, return_index=True, return_inverse=True)
                 drawn = np.frombuffer(b"".join(p[3] for p in own), np.uint64).reshape(-1, SKETCH // 16)[one]
-                both = np.unique(sig.astype(np.uint64) << np.uint64(32) | np.repeat(number, many).astype(np.uint64))
+                both = sig.astype(np.uint64)
+                both <<= np.uint64(32)
+                both |= np.repeat(number.astype(np.uint64), many)
+                both = np.unique(both)
                 a, b = tested_meetings(both >> np.uint64(32), (both & np.uint64(2**32 - 1)).astype(np.int64), drawn, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
                 continue

@@ -359,8 +359,9 @@ def test_near_groups_with_sketches_are_brute_force(docs, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == groups(rows, width, percent)
 
 
-@pytest.mark.parametrize("most", [10**9, 60])
-def test_rows_that_stay_apart_were_tested(most):
+@pytest.mark.parametrize("most, at_once", [(10**9, 1 << 16), (10**9, 7), (60, 7)])
+def test_rows_that_stay_apart_were_tested(most, at_once, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TESTS_AT_ONCE", at_once)
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, (4, 4)).astype(np.uint64)
     sketches = base[rng.integers(0, 4, 90)].copy()

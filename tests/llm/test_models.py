@@ -41,6 +41,20 @@ def test_language_stage_without_languages(ready, docs):
     assert language_id.keep_known(frame, language_id.train(frame), languages=["en"]).count() == 0
 
 
+def test_texts_of_no_known_language_go(ready, small_dir):
+    docs = ready.read.parquet(f"{small_dir}/documents.parquet")
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес", "敏捷的棕色狐狸跳过了懒狗然后跑进了森林", "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί"]
+    clean = docs.where("lang is not null and length(text) > 200").limit(40).collect()
+    rows = [(10**9 + k, t) for k, t in enumerate(foreign * 2)] + [(r.doc_id, r.text) for r in clean]
+    frame = ready.createDataFrame(rows, "doc_id long, text string")
+    for part in (docs, docs.where("lang in ('en', 'de')"), docs.where("lang = 'en'")):  # also with one language, of which every score is 1
+        model = language_id.train(part)
+        if model.languages:
+            kept = {r.doc_id for r in language_id.keep_known(frame, model).collect()}
+            own = {r.doc_id for r in clean if r.lang in model.languages}
+            assert not {i for i in kept if i >= 10**9} and own <= kept
+
+
 def test_copies_take_no_place_in_the_sample(docs, monkeypatch):
     rows = [(k, f"the of and with {k}", "en", "s") for k in range(30)] + [(k, f"der die und mit {k}", "de", "s") for k in range(30)]
     rows += [(100 + k, "das ist ein text", "de", "s") for k in range(3000)]
