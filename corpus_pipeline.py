@@ -13,37 +13,37 @@ from shopmetrics.llm import block_naming, bpe, decontaminate, language_id, ngram
 from shopmetrics.llm.catalog import vocabulary_path
 from shopmetrics.llm.frames import materialize, python_ready, read_table
 
-LEAST_LANGUAGE_SCORE = 0.3  # little above chance among four languages: a clean text with names or borrowed lines stays
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier knows; a text that is null, has no letter or is told with less than the least score goes.
+    """Documents whose language the classifier knows; a text that is null, has no letter or is in none of the languages goes.
 
-    If no row has a ``lang``, there is no classifier, and all texts with a letter stay.
+    The bound beyond which a text is in none is learned with the model, from labelled texts that it was not fitted on
+    (see ``language_id``). If no row has a ``lang``, there is no classifier, and all texts with a letter stay.
     """
     python_ready(spark)
-    return language_id.keep_known(docs, language_id.train(docs), least=LEAST_LANGUAGE_SCORE)
+    return language_id.keep_known(docs, language_id.train(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the one with the smallest id."""
+    """Of equal texts (white space aside) the one with the smallest id; a null text is an empty one, an empty table stays empty."""
     return block_naming.keep_first_of_equals(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by 80 % of common five-word runs."""
+    """One document of each group that is linked by 80 % of common five-word runs; texts without words, or null, stay."""
     python_ready(spark)
     return ngram_join.keep_first_of_groups(docs, width=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words is in benchmark windows."""
+    """Documents of which less than a twentieth of the words is in benchmark windows; null texts stay, repeated rows go or stay together."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of what they decode to."""
+    """Token ids of each document, repeated rows each, and the digest of what they decode to; a null text has none."""
     python_ready(spark)
     out = bpe.encode_and_decode(docs, vocabulary_path())
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -37,6 +37,9 @@ PLANNING_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Deletes a query's shuffle files when it ends; ``materialize`` sets it for its own write only.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(
     master: str | None = None,
@@ -108,8 +111,18 @@ def materialize(df, name: str):
     For a caller that runs several reports over the same cleaned table
     (a dashboard refresh): later reports start from the written table, the
     lineage is cut, and a lost executor costs a re-read, not a recompute.
+    The shuffle files of the write are deleted as soon as it has ended, so a
+    job of many steps holds those of one step at a time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.parquet(path)

@@ -142,6 +142,29 @@ def test_materialize_writes_under_shared_folder(spark, small_dir):
     assert shared_dir(spark) in m.inputFiles()[0]
 
 
+def test_materialize_leaves_no_shuffle_files(spark):
+    import gc
+    import glob
+
+    from shopmetrics.session import SHUFFLE_CLEANUP, materialize
+
+    def shuffled():
+        folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+        return {f for d in folders for f in glob.glob(os.path.join(d, "**", "shuffle_*.data"), recursive=True)}
+
+    df = spark.range(20_000).selectExpr("id % 999 AS k", "id").groupBy("k").sum("id").repartition(3, "k")
+    setting = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    gc.collect()
+    before = shuffled()
+    assert materialize(df, "sums").count() == 999  # the count leaves its own file of one partition
+    assert len(shuffled() - before) <= 4  # the write alone makes two shuffles, of several files each
+    assert materialize(df, "sums-again").count() == df.count() == 999
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == setting
+    with pytest.raises(Exception):
+        materialize(df.selectExpr("raise_error('no')"), "failed")
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == setting
+
+
 def test_refresh_writes_every_report(spark, small_dir):
     import datetime as _dt
 
