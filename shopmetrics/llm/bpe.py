@@ -30,7 +30,7 @@ from .wordhash import mix, pieces, powers
 SHORT = 32
 MAX_VOCABULARY_BYTES = 64 << 20
 REMEMBERED = 400_000
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 NONE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
