@@ -30,7 +30,9 @@ FLUSH = 1_000_000
 BROADCAST_ROWS = 1_000_000  # of 8 bytes
 BLOCK_BYTES = 16 << 20
 MISS = 1e-9  # chance that the sketches of a pair that passes rule it out
-MOST_TESTS = 50_000_000  # of sketches in one bucket
+MOST_TESTS = 50_000_000  # of sketches in one slice of a bucket
+SLICE_ROWS = 1_000_000  # of a bucket's rows, tested together
+PIECE = 1 << 20
 TESTS_AT_ONCE = 1 << 16
 
 
@@ -98,7 +100,7 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, n-gram sets) of a batch, a piece at a time."""
     data, offsets = utf8_view(column)
-    for first, last in pieces(offsets):
+    for first, last in pieces(offsets, PIECE):
         words, at = word_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         yield first, shingle_hashes(words, at, width)
 
@@ -175,6 +177,19 @@ def tested_meetings(group: np.ndarray, row: np.ndarray, sketches: np.ndarray, pe
     return pairs[:, 0], pairs[:, 1]
 
 
+def group_slices(both: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    """Sorted words (32 bits of group, 32 of row) in slices of about ``rows``; a group is never cut, so a larger one is a slice of its own."""
+    at, low = 0, np.uint64(2**32 - 1)
+    while at < len(both):
+        last = at + rows
+        if last < len(both):
+            last = int(np.searchsorted(both, both[last] & ~low))
+            if last <= at:
+                last = int(np.searchsorted(both, both[at] | low, "right"))
+        yield both[at:last]
+        at = last
+
+
 def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links between rows marked ``left`` and rows marked ``right`` that connect them (a spanning forest of all these links).
 
@@ -350,8 +365,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 both <<= np.uint64(32)
                 both |= np.repeat(number.astype(np.uint64), many)
                 both = np.unique(both)
-                a, b = tested_meetings(both >> np.uint64(32), (both & np.uint64(2**32 - 1)).astype(np.int64), drawn, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+                for part in group_slices(both, SLICE_ROWS):
+                    a, b = tested_meetings(part >> np.uint64(32), (part & np.uint64(2**32 - 1)).astype(np.int64), drawn, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
                 continue
             key = np.repeat(key, many)
             order = np.lexsort((key, sig))

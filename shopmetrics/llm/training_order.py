@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .bpe import MAX_VOCABULARY_BYTES, PIECE_BYTES, BytePairs, _coder
+from .bpe import MAX_VOCABULARY_BYTES, BytePairs, _coder
 from .frames import materialize, shuffle_width, utf8_view
 from .wordhash import pieces
 
 SEQUENCE = 512
 PER_SHARD = 65_536
 ROUNDS = 6
+PIECE_BYTES = 4 << 20
 ZSTD_LEVEL = 6  # ids of two bytes: a quarter less than at level 1
 
 

@@ -385,6 +385,18 @@ def test_rows_that_stay_apart_were_tested(most, at_once, monkeypatch):
     assert all(len(v) == 0 for v in ngram_join.tested_meetings(np.empty(0, np.int64), np.empty(0, np.int64), sketches, 80))
 
 
+def test_slices_keep_groups_whole():
+    group = np.sort(np.random.default_rng(2).choice(np.append(np.arange(40), 2**32 - 1), 500)).astype(np.uint64)
+    both = np.sort((group << np.uint64(32)) | np.arange(500, dtype=np.uint64))
+    for rows in (1, 7, 60, 499, 500, 1000):
+        own = list(ngram_join.group_slices(both, rows))
+        assert np.array_equal(np.concatenate(own), both) and all(len(x) for x in own)
+        ends = [{int(v) >> 32 for v in x} for x in own]
+        assert sum(map(len, ends)) == len(set().union(*ends))
+        assert all(len(x) <= rows or len(e) == 1 for x, e in zip(own, ends))
+    assert not list(ngram_join.group_slices(both[:0], 5))
+
+
 def test_near_copies_go_by_row(docs):
     a, b, c, d, e, z, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcdezo")
     rows = [(1, a), (None, a + " tail"), (None, z), (3, b), (5, b + " tail"), (5, other)]  # an id that a near copy shares with a text of its own
