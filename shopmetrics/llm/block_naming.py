@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import free_name, materialize, row_key
+from .frames import discard, free_name, materialize, row_key
 
 BLOCK_BYTES = 4096
 
@@ -74,6 +74,7 @@ def text_identities(
         own = materialize(_names(meant, ["checksum", "block"], 63).select("checksum", "block", "name"), "block-names-by-content")
         parts = parts.unionByName(meant.join(own, ["checksum", "block"]).drop("checksum", "block"))
     parts = materialize(parts, "block-parts")
+    discard(keyed)  # as large as the texts, and not read again
 
     done = parts.where("n = 1").select("key", "id", "text_sha256", "name")
     finished, level = [done], 0

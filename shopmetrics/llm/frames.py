@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopmetrics.session import materialize, scratch_path, shared_dir
+from shopmetrics.session import discard, materialize, scratch_path, shared_dir
 
 __all__ = [
-    "ASCII_UPPER", "ASCII_LOWER", "ascii_lower", "row_key", "materialize", "scratch_path", "shared_dir",
+    "ASCII_UPPER", "ASCII_LOWER", "ascii_lower", "row_key", "discard", "materialize", "scratch_path", "shared_dir",
     "free_name", "shuffle_width", "utf8_view", "python_ready", "read_table",
 ]
 

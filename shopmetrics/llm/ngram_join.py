@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import free_name, materialize, row_key, shuffle_width, utf8_view
+from .frames import discard, free_name, materialize, row_key, shuffle_width, utf8_view
 from .wordhash import SKETCH, least_agreeing, minwise, mix, pieces, shingle_hashes, word_hashes
 
 FLUSH = 1_000_000
@@ -34,6 +34,8 @@ MOST_TESTS = 50_000_000  # of sketches in one slice of a bucket
 SLICE_ROWS = 1_000_000  # of a bucket's rows, tested together
 PIECE = 1 << 20
 TESTS_AT_ONCE = 1 << 16
+BANDS = np.arange(60).reshape(10, 6)
+BANDS = np.concatenate([BANDS, BANDS.reshape(6, 10).T])  # places of a sketch, six to a band
 
 
 def most_different(sizes: int, percent: int) -> int:
@@ -119,6 +121,13 @@ def packed_sketches(sets: list[np.ndarray]) -> np.ndarray:
     return (nibbles << np.arange(0, 64, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
+def band_signatures(sketches: np.ndarray) -> np.ndarray:
+    """Signatures of the bands of each sketch, a row for each."""
+    nibbles = ((sketches[:, :, None] >> np.arange(0, 64, 4, dtype=np.uint64)) & np.uint64(15)).reshape(len(sketches), SKETCH)
+    value = (nibbles[:, BANDS] << np.arange(0, 24, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
+    return mix(value ^ mix(np.arange(1, len(BANDS) + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+
+
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches leave it open that two sets pass."""
     chance = percent / 100
@@ -190,6 +199,70 @@ def group_slices(both: np.ndarray, rows: int) -> Iterator[np.ndarray]:
         at = last
 
 
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row that each row reaches, if ``label`` was that and the rows ``a`` are linked with the rows ``b`` now."""
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, high[apart], low[apart])
+        while not np.array_equal(further := label[label], label):
+            label = further
+    return label
+
+
+def band_buckets(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the first band that the sketches of the rows ``a`` and ``b`` have in common; -1 if they have none."""
+    out = np.empty(len(a), np.int64)
+    for at in range(0, len(a), TESTS_AT_ONCE // len(BANDS)):
+        own = slice(at, at + TESTS_AT_ONCE // len(BANDS))
+        bands = band_signatures(sketches[a[own]])
+        same = bands == band_signatures(sketches[b[own]])
+        first = bands[np.arange(len(bands)), same.argmax(1)] % np.uint64(buckets)
+        out[own] = np.where(same.any(1), first.astype(np.int64), -1)
+    return out
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[bytes, ...]]]:
+    """The parts (signatures, keys, how many of each, sketches) of each bucket."""
+    parts: dict[int, list[tuple[bytes, ...]]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            parts.setdefault(row["bucket"], []).append((row["sig"], row["key"], row["many"], row["sketch"]))
+    return parts
+
+
+def shared_rows(both: np.ndarray) -> np.ndarray:
+    """Of sorted words (see ``group_slices``) each once, without groups of one row."""
+    both = both[np.append(True, both[1:] != both[:-1])]
+    same = (both[1:] ^ both[:-1]) <= np.uint64(2**32 - 1)
+    return both[np.append(same, False) | np.append(False, same)]
+
+
+def bucket_links(both: np.ndarray, sketches: np.ndarray, percent: int, bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Few links between the rows of a bucket, which with those of all other buckets connect what ``tested_meetings`` does.
+
+    Near copies meet in most buckets, and each would hand their pair on. The bands of a set's sketch are among its
+    signatures, so rows whose sketches are alike and have a band in common are connected in the bucket of the first such
+    band, and the other buckets leave the pair out. What connects the rows of a band there has that band in common, or an
+    earlier one too, so this ends at a bucket that hands a link on. Each bucket hands on a forest of its own pairs, which
+    leans on no other bucket, and one of the pairs without a common band, between rows that are still apart after those
+    with one. ``both`` are sorted words of signature and row (see ``group_slices``).
+    """
+    every = np.arange(len(sketches))
+    own = banded = met = every
+    for part in map(shared_rows, group_slices(both, SLICE_ROWS)):
+        a, b = tested_meetings(part >> np.uint64(32), (part & np.uint64(2**32 - 1)).astype(np.int64), sketches, percent, MOST_TESTS)
+        at = band_buckets(sketches, a, b, buckets)
+        at[~alike_rows(sketches, a, b, percent)] = bucket  # connected untested
+        mine, with_band = at == bucket, at >= 0
+        own, banded, met = joined(own, a[mine], b[mine]), joined(banded, a[with_band], b[with_band]), joined(met, a, b)
+    new = np.flatnonzero(own != every)
+    apart = np.flatnonzero((banded == every) & (met != every))
+    return np.concatenate([own[new], met[apart]]), np.concatenate([new, apart])
+
+
 def product_links(sets: list[np.ndarray], percent: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links between rows marked ``left`` and rows marked ``right`` that connect them (a spanning forest of all these links).
 
@@ -330,10 +403,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         for batch in batches:
             for _, sets in _sets(batch.column(1), width):
                 full = [s for s in sets if len(s)] if sketches else []
-                own = iter(packed_sketches(full)) if full else iter(())
+                own = packed_sketches(full) if full else np.empty((0, SKETCH // 16), np.uint64)
+                own = zip(own, band_signatures(own))
                 for s in sets:
                     key = set_key(s)
-                    sketch = next(own) if sketches and len(s) else None
+                    sketch, bands = next(own) if sketches and len(s) else (None, None)
                     if len(s) and key not in seen:
                         seen.add(key)
                         if sketches:
@@ -341,6 +415,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                         if len(seen) > FLUSH:
                             seen.clear()
                         sig = signatures(s, percent)
+                        if sketches:
+                            sig = np.append(sig, bands)
                         held.append((sig, np.full(len(sig), key, np.int64)))
                         n += len(sig)
                         if n > FLUSH:
@@ -350,11 +426,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             yield from flush()
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For the sets of a partition's buckets that share a signature: each with the first of them."""
-        parts: dict[int, list[tuple[bytes, ...]]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                parts.setdefault(row["bucket"], []).append((row["sig"], row["key"], row["many"], row["sketch"]))
+        """For the sets of a partition's buckets that share a signature: each with the first of them; with sketches, see ``bucket_links``."""
+        parts = by_bucket(batches)
         for bucket in sorted(parts):
             own = parts.pop(bucket)
             sig, key, many = (np.frombuffer(b"".join(p[k] for p in own), t) for k, t in enumerate(("u4", "i8", "u4")))
@@ -362,12 +435,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 names, one, number = np.unique(key, return_index=True, return_inverse=True)
                 drawn = np.frombuffer(b"".join(p[3] for p in own), np.uint64).reshape(-1, SKETCH // 16)[one]
                 both = sig.astype(np.uint64)
+                del own, sig  # a bucket's signatures are large
                 both <<= np.uint64(32)
                 both |= np.repeat(number.astype(np.uint64), many)
-                both = np.unique(both)
-                for part in group_slices(both, SLICE_ROWS):
-                    a, b = tested_meetings(part >> np.uint64(32), (part & np.uint64(2**32 - 1)).astype(np.int64), drawn, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+                both.sort()
+                a, b = bucket_links(both, drawn, percent, bucket, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
                 continue
             key = np.repeat(key, many)
             order = np.lexsort((key, sig))
@@ -401,7 +474,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 )
 
     sets = picked.mapInArrow(grams, "key long, grams binary").join(families, "key").dropDuplicates(["key"])
-    links = materialize(_multiplied(materialize(sets, "gram-sets"), percent, buckets, block_bytes), "links")
+    sets = materialize(sets, "gram-sets")
+    links = materialize(_multiplied(sets, percent, buckets, block_bytes), "links")
+    discard(sets)
     found = connected_components(links)
 
     classes = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"))

@@ -126,3 +126,16 @@ def materialize(df, name: str):
         else:
             spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.parquet(path)
+
+
+def discard(written) -> None:
+    """Delete the table of a DataFrame that ``materialize`` has returned. What reads it cannot be evaluated any more."""
+    spark = written.sparkSession
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).getParent().toString() for f in written.inputFiles()}:
+        table = jvm.org.apache.hadoop.fs.Path(folder)
+        if not files.makeQualified(table.getParent()).equals(files.makeQualified(root)):
+            raise ValueError(f"{folder} is not a scratch table of this application")
+        files.delete(table, True)

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shopmetrics import session
 from shopmetrics.llm import block_naming, bpe, decontaminate, kneser_ney, ngram_join, repeats, sharding, training_order, url_reputation
 from shopmetrics.llm.catalog import vocabulary_path
 from tests.llm.conftest import SPECIAL
@@ -397,6 +398,50 @@ def test_slices_keep_groups_whole():
     assert not list(ngram_join.group_slices(both[:0], 5))
 
 
+@pytest.mark.parametrize("most, slice_rows, buckets", [(10**9, 10**6, 1), (10**9, 10**6, 12), (10**9, 100, 51), (300, 100, 12)])
+def test_buckets_together_connect_what_meets(most, slice_rows, buckets, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_TESTS", most)
+    monkeypatch.setattr(ngram_join, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(ngram_join, "TESTS_AT_ONCE", 500)
+    rng = np.random.default_rng(11)
+    sketches = rng.integers(0, 2**63, (20, 4)).astype(np.uint64)[rng.integers(0, 20, 200)]
+    sketches[:60] = sketches[0]  # a large family
+    for k in range(200):
+        for _ in range(rng.integers(0, 24)):
+            sketches[k, rng.integers(4)] ^= np.uint64(int(rng.integers(1, 16)) << (4 * int(rng.integers(16))))
+    meant = [(int(ngram_join.mix(np.array([g], np.uint64))[0]), k) for g in range(400) for k in rng.choice(200, 30, replace=False)]
+    meant += [(int(g), k) for k, own in enumerate(ngram_join.band_signatures(sketches)) for g in own]
+    meant += [(int(ngram_join.mix(np.array([1000 + k % 3], np.uint64))[0]), k) for k in range(60)]
+    sig, row = np.array([m[0] for m in meant], np.uint64), np.array([m[1] for m in meant])
+    plain, found, met = np.arange(200), [], []
+    for bucket in range(buckets):
+        own = sig % np.uint64(buckets) == bucket
+        both = np.sort(((sig[own] >> np.uint64(32)) << np.uint64(32)) | row[own].astype(np.uint64))
+        found.append(ngram_join.bucket_links(np.repeat(both, 2), sketches, 80, bucket, buckets))
+        both = np.unique(both)
+        met.append(ngram_join.tested_meetings(both >> np.uint64(32), (both & np.uint64(2**32 - 1)).astype(np.int64), sketches, 80))
+    for a, b in met:
+        plain = ngram_join.joined(plain, a, b)
+    label = np.arange(200)
+    for a, b in found:
+        label = ngram_join.joined(label, a, b)
+    assert np.array_equal(label[plain], label)  # nothing that meets is apart
+    if most > 1000:
+        assert np.array_equal(label, plain)
+        assert buckets == 1 or 4 * sum(len(a) for a, _ in found) < sum(len(a) for a, _ in met)  # a pair is not handed on by every bucket
+
+
+def test_joined_rows():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (2, 1), (50, 20), (50, 60), (300, 299)):
+        a, b = (np.arange(m), np.arange(m) + 1) if m == 299 else rng.integers(0, n, (2, m))
+        name = list(range(n))
+        for x, y in zip(a.tolist(), b.tolist()):
+            name = [min(name[x], name[y]) if v in (name[x], name[y]) else v for v in name]
+        half = ngram_join.joined(np.arange(n), a[: m // 2], b[: m // 2])
+        assert ngram_join.joined(half, a[m // 2 :], b[m // 2 :]).tolist() == name
+
+
 def test_near_copies_go_by_row(docs):
     a, b, c, d, e, z, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcdezo")
     rows = [(1, a), (None, a + " tail"), (None, z), (3, b), (5, b + " tail"), (5, other)]  # an id that a near copy shares with a text of its own
@@ -506,6 +551,20 @@ def test_exact_dedup_keeps_rows_whole(docs):
     assert block_naming.exact_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1])
+def test_exact_dedup_leaves_no_written_texts(docs, ready, monkeypatch, tmp_path, bits):
+    monkeypatch.setattr(session, "_scratch_root", lambda spark: str(tmp_path / "a scratch%20folder"))
+    for frame in (docs(ROWS), docs(ROWS).limit(0)):
+        out = block_naming.exact_dedup(frame, checksum_bits=bits)
+        assert not list(tmp_path.glob("*/blocks-*")) and list(tmp_path.glob("*/block-parts-*"))
+        assert out.count() == frame.count()
+    with pytest.raises(ValueError):
+        outside = str(tmp_path / "kept" / "table")
+        ready.range(3).write.parquet(outside)
+        session.discard(ready.read.parquet(outside))
+    assert ready.read.parquet(outside).count() == 3
+
+
 # op10
 
 
