@@ -130,6 +130,22 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[list[d
         yield list(own)
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each path of rows sorted by path; paths of one row are left out."""
+    rest = None
+    for batch in batches:
+        if rest is not None and len(rest):
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        path = batch.column("path").to_numpy()
+        at = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
+        for first, last in zip(at, at[1:]):
+            if last - first > 1:
+                yield batch.slice(first, last - first)
+        rest = batch.slice(at[-1])
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
 def _dealt(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
     return df.repartition(buckets, *by).sortWithinPartitions(*by, "key")
 
@@ -148,18 +164,22 @@ MEMBER = ["tree", "path", "key", "n", "sketch"]
 
 
 def grow(members: DataFrame, percent: int, sizes: _Sizes) -> DataFrame:
-    """members (tree, path, key, n, sketch) of first-level nodes -> (tree, path, key, n) of groups to verify."""
+    """members (tree, path, key, n, sketch) of first-level nodes -> (tree, path, key, n) of groups to verify.
+
+    A level costs one count of its nodes, which is also that of how its parents' rows were split; the small nodes of all
+    levels are compared in one step.
+    """
     buckets = shuffle_width(members.sparkSession)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _groups(batches, ["path"]):
-            sketches = np.frombuffer(b"".join(r["sketch"] for r in own), np.uint8).reshape(-1, SKETCH)
-            label = candidates(sketches, np.array([r["n"] for r in own]), percent)
-            stay = np.flatnonzero(np.bincount(label)[label] > 1).tolist()
-            if stay:
-                names = mix(np.uint64(own[0]["path"] & (2**64 - 1)) ^ mix(label.astype(np.uint64) + np.uint64(1))).view(np.int64)
-                columns = [[own[k]["tree"] for k in stay], names[stay], [own[k]["key"] for k in stay], [own[k]["n"] for k in stay]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int64(), pa.int64()])], ["tree", "path", "key", "n"])
+        for own in _nodes(batches):
+            sketches = np.frombuffer(b"".join(own.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            label = candidates(sketches, own.column("n").to_numpy(), percent)
+            stay = np.flatnonzero(np.bincount(label)[label] > 1)
+            if len(stay):
+                names = mix(own.column("path").to_numpy().view(np.uint64) ^ mix(label.astype(np.uint64) + np.uint64(1))).view(np.int64)
+                tree, key, n = (own.column(c).take(pa.array(stay)) for c in ("tree", "key", "n"))
+                yield pa.RecordBatch.from_arrays([tree, pa.array(names[stay]), key, n], ["tree", "path", "key", "n"])
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The children of large nodes, each row in PICKS of them."""
@@ -173,26 +193,34 @@ def grow(members: DataFrame, percent: int, sizes: _Sizes) -> DataFrame:
                     child = mix(choice ^ (token.astype(np.uint64) + np.uint64(1))).view(np.int64)
                     yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("rows"), batch.column("tree"), pa.array(child), batch.column("key"), batch.column("n"), batch.column("sketch")], ["parent", "rows", *MEMBER])
 
-    found = []
+    found, small = [], []
     level = 1
-    while True:
-        nodes = members.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).where("rows > 1")
-        nodes = materialize(nodes, "nodes")
-        small = members.join(nodes.where(F.col("rows") <= sizes.leaf_rows).select("path"), "path").select(*MEMBER)
-        found.append(materialize(_dealt(small, ["path"], buckets).mapInArrow(leaf, "tree int, path long, key long, n long"), "candidates"))
-        large = nodes.where(F.col("rows") > sizes.leaf_rows).select("path", "rows")
-        if large.isEmpty():
+    large = members.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > sizes.leaf_rows)
+    large = materialize(large, "large-nodes")
+    while not large.isEmpty():
+        small.append(members.join(large, "path", "left_anti"))
+        inside = members.join(large, "path").select("rows", *MEMBER)
+        if level == DEEPEST:
+            found.append(inside)
             break
-        inside = materialize(members.join(large, "path").select("rows", *MEMBER), "large-members")
+        inside = materialize(inside, "large-members")
         children = materialize(inside.mapInArrow(branch, "parent long, rows long, tree int, path long, key long, n long, sketch binary"), "children")
-        kept = children.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("stay"), F.max("rows").alias("rows"))
-        alike = materialize(kept.where((F.col("stay") >= ALIKE * F.col("rows")) | F.lit(level >= DEEPEST)).select("parent").distinct(), "alike")
-        found.append(inside.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi").select("tree", "path", "key", "n"))
-        members = materialize(children.join(alike, "parent", "left_anti").select(*MEMBER), "members")
+        nodes = children.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("stay"), F.max("rows").alias("rows"))
+        most = F.col("stay") >= ALIKE * F.col("rows")
+        nodes = materialize(nodes.where(most | (F.col("stay") > sizes.leaf_rows)), "large-children")
+        alike = nodes.where(most).select("parent")
+        found.append(inside.join(alike.withColumnRenamed("parent", "path"), "path", "left_semi"))
+        members = children.join(alike, "parent", "left_anti").select(*MEMBER)
+        large = nodes.where(F.col("stay") > sizes.leaf_rows).join(alike, "parent", "left_anti").select("path", F.col("stay").alias("rows"))
         level += 1
-    out = found[0]
-    for groups in found[1:]:
-        out = out.unionByName(groups)
+    else:
+        small.append(members)
+    compared = small[0].select(*MEMBER)
+    for more in small[1:]:
+        compared = compared.unionByName(more.select(*MEMBER))
+    out = _dealt(compared, ["path"], buckets).mapInArrow(leaf, "tree int, path long, key long, n long")
+    for groups in found:
+        out = out.unionByName(groups.select("tree", "path", "key", "n"))
     return materialize(out, "groups")
 
 
@@ -204,15 +232,19 @@ class _Verify:
         self.block_rows, self.block_grams = sizes.block_rows, sizes.block_grams
         self.buckets = shuffle_width(sets.sparkSession)
 
-    def links(self, members: DataFrame) -> DataFrame:
-        """members (path, key, n, label) -> links; groups that are connected already, or have the members of another group, go."""
+    def links(self, members: DataFrame, labelled: bool = False) -> DataFrame:
+        """members (path, key, n, label) -> links; groups that are connected already, or have the members of another group, go.
+
+        With ``labelled`` the labels are of what earlier links connect, so no hubs are looked for.
+        """
         groups = members.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams"), F.expr("bit_xor(xxhash64(key))").alias("mark"), (F.min("label") != F.max("label")).alias("apart"))
         groups = groups.where("rows > 1 AND apart").groupBy("rows", "mark", "grams").agg(F.min("path").alias("path"))
         groups = materialize(groups, "groups-once")
         out = self.leaves(members.join(groups.where(self.sizes.small()).select("path"), "path"))
-        large = groups.where(~self.sizes.small()).select("path")
+        chunks = F.greatest(F.ceil(F.col("grams") / self.block_grams), F.ceil(F.col("rows") / self.block_rows)).cast("int")
+        large = groups.where(~self.sizes.small()).select("path", chunks.alias("chunks"))
         if not large.isEmpty():
-            out = out.unionByName(self.blocks(members.join(large, "path").select("path", "key", "n", "label")))
+            out = out.unionByName(self.blocks(members.join(large, "path").select("path", "chunks", "key", "label"), labelled))
         return materialize(out, "links")
 
     def leaves(self, members: DataFrame) -> DataFrame:
@@ -227,15 +259,14 @@ class _Verify:
 
         return _dealt(members.select("path", "key", "label").join(self.sets, "key"), ["path"], self.buckets).mapInArrow(run, LINKS)
 
-    def blocks(self, members: DataFrame) -> DataFrame:
-        """members (path, key, n, label) of large nodes of documents that are alike -> links.
+    def blocks(self, members: DataFrame, labelled: bool) -> DataFrame:
+        """members (path, chunks, key, label) of large nodes of documents that are alike -> links.
 
-        The most central rows of every chunk of a node are held against all its rows; then those outside the node's
-        largest component, in blocks.
+        Unless labelled already, the most central rows of every chunk of a node are held against all its rows; then those
+        outside the node's largest component, in blocks.
         """
         percent, hubs_of_chunk = self.percent, HUBS
-        chunks = members.groupBy("path").agg(F.greatest(F.ceil(F.sum("n") / self.block_grams), F.ceil(F.count(F.lit(1)) / self.block_rows)).cast("int").alias("chunks"))
-        dealt = members.join(chunks, "path").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+        dealt = members.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         dealt = materialize(dealt.select("path", "chunk", "chunks", "key", "label").join(self.sets, "key"), "alike-chunks")
 
         def central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +287,15 @@ class _Verify:
 
         block = ["path", "part", "chunk", "key", "label", "grams", "row"]
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        hubs = _dealt(dealt, ["path", "chunk"], self.buckets).mapInArrow(central, "path long, chunks int, key long, label long, grams binary")
-        hubs = materialize(hubs, "hubs").withColumn("chunk", each("chunks")).withColumn("row", F.lit(True)).withColumn("part", F.lit(0))
-        plain = dealt.withColumn("row", F.lit(False)).withColumn("part", F.lit(0))
-        links = materialize(_dealt(hubs.select(*block).unionByName(plain.select(*block)), ["path", "part", "chunk"], self.buckets).mapInArrow(held, LINKS), "hub-links")
-
-        known = connected_components(links.unionByName(dealt.select(F.col("key").alias("a"), F.col("label").alias("b")).where("a <> b")))
-        again = dealt.drop("label").join(known.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
-        again = materialize(again, "alike-labels")
+        links, again = None, dealt
+        if not labelled:
+            hubs = _dealt(dealt, ["path", "chunk"], self.buckets).mapInArrow(central, "path long, chunks int, key long, label long, grams binary")
+            hubs = hubs.withColumn("chunk", each("chunks")).withColumn("row", F.lit(True)).withColumn("part", F.lit(0))
+            plain = dealt.withColumn("row", F.lit(False)).withColumn("part", F.lit(0))
+            links = materialize(_dealt(hubs.select(*block).unionByName(plain.select(*block)), ["path", "part", "chunk"], self.buckets).mapInArrow(held, LINKS), "hub-links")
+            known = connected_components(links, distinct=False)
+            again = dealt.drop("label").join(known.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+            again = materialize(again, "alike-labels")
         often = again.groupBy("path", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("grams") / 8).alias("grams"))
         most = often.groupBy("path").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.sum("grams").alias("all"), F.max_by("grams", F.struct("rows", "label")).alias("in_main"), F.sum("rows").alias("every"), F.max("rows").alias("of_main"))
         most = materialize(most.select("path", "main", F.greatest(F.ceil((F.col("all") - F.col("in_main")) / self.block_grams), F.ceil((F.col("every") - F.col("of_main")) / self.block_rows)).cast("int").alias("parts")).where("parts > 0"), "open-parts")
@@ -271,7 +303,7 @@ class _Verify:
         outside = outside.withColumn("chunk", each("chunks")).withColumn("row", F.lit(True))
         all_rows = again.join(most.select("path", "parts"), "path").withColumn("part", each("parts")).withColumn("row", F.lit(False))
         more = _dealt(outside.select(*block).unionByName(all_rows.select(*block)), ["path", "part", "chunk"], self.buckets).mapInArrow(held, LINKS)
-        return links.unionByName(materialize(more, "open-links"))
+        return more if links is None else links.unionByName(more)
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, trees: int = TREES, leaf_rows: int = LEAF_ROWS, leaf_grams: int = LEAF_GRAMS, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
@@ -308,15 +340,13 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     docs = materialize(rows.mapInArrow(read, f"id {kind}, key long, n long, paths array<long>, sketch binary"), "shingle-sets")
     classes = docs.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max(F.struct("paths", "sketch")).alias("own"))
     classes = materialize(classes.select("key", "least", "n", "own.paths", "own.sketch"), "set-classes")
-    entries = classes.select("key", F.posexplode("paths").alias("pick", "path"))
-    shared = entries.groupBy("path").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("path")
-    entries = entries.join(shared, "path").join(classes.select("key", "n", "sketch"), "key")
-    members = materialize(entries.select(F.expr(f"pick div {PICKS}").cast("int").alias("tree"), "path", "key", "n", "sketch"), "shared-paths")
+    entries = classes.select("key", "n", "sketch", F.posexplode("paths").alias("pick", "path"))
+    members = entries.select(F.expr(f"pick div {PICKS}").cast("int").alias("tree"), "path", "key", "n", "sketch")
     groups = grow(members, percent, sizes)
 
     # One document stands for each set of a group; its shingles are fetched once.
     needed = materialize(groups.select("key").distinct().join(classes.select("key", "least"), "key"), "standing")
-    chosen = needed.select(F.col("least").alias("standing")).distinct()
+    chosen = needed.select(F.col("least").alias("standing"))
     if needed.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     picked = rows.join(chosen, F.col("id").eqNullSafe(F.col("standing")), "left_semi")
@@ -330,11 +360,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     verify = _Verify(materialize(sets, "shingles"), percent, sizes)
 
     links = verify.links(groups.where("tree = 0").select("path", "key", "n", F.col("key").alias("label")))
-    known = connected_components(links).withColumnRenamed("node", "key")
+    known = connected_components(links, distinct=False).withColumnRenamed("node", "key")
     if trees > 1:
         later = groups.where("tree > 0").join(known, "key", "left").select("path", "key", "n", F.coalesce("component", "key").alias("label"))
-        links = links.unionByName(verify.links(later))
-        known = connected_components(links).withColumnRenamed("node", "key")
+        links = links.unionByName(verify.links(later, labelled=True))
+        known = connected_components(links, distinct=False).withColumnRenamed("node", "key")
 
     named = classes.select("key", "least").join(known, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     named = materialize(named, "class-components")

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .frames import materialize
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", distinct: bool = True) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for every node of a link with another.
 
     Each round a node takes the smallest label among its own and its neighbours', then the label of that label; links
     are drawn anew between labels, and those within one label go. So the links shrink fast, and the rounds grow
     with the logarithm of the longest chain. The neighbours' minimum is combined per map task, so a node with very many
-    links is no hot task. Each round is written to the shared folder, which cuts the lineage.
+    links is no hot task. Without ``distinct`` repeated links stay for the first round, for links that hardly repeat. Each round is written to the shared folder, which cuts the lineage.
     """
-    edges = materialize(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    edges = materialize(edges.distinct() if distinct else edges, "edges")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = None

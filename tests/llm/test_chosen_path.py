@@ -95,3 +95,39 @@ def test_rows_left_apart_were_compared():
                 same = len(np.intersect1d(sets[a], sets[b]))
                 if 100 * same >= 85 * (len(sets[a]) + len(sets[b]) - same):
                     assert label[a] == label[b], seed
+
+
+def test_few_steps_for_large_nodes(docs, monkeypatch):
+    """The steps written do not grow with levels but by two counts and a branching; labelled nodes look for no hubs."""
+    from shopmetrics.llm import components
+
+    rng = random.Random(9)
+    line = " ".join(f"common{k}" for k in range(60))
+    rows = [(k, t) for k, t in enumerate(copies(rng, 150, 60, 4))]
+    rows += [(500 + k, line + " " + t) for k, t in enumerate(copies(rng, 40, 45, 2))] + [(700 + k, line + " " + " ".join(f"own{k}x{j}" for j in range(35 + k % 9))) for k in range(60)]
+    written = []
+
+    def counted(df, name, write=cp.materialize):
+        written.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(cp, "materialize", counted)
+    monkeypatch.setattr(components, "materialize", counted)
+    assert got(docs(rows), leaf_rows=5, block_rows=40, block_grams=900) == brute(rows)
+    levels = written.count("children")
+    assert levels > 1 and written.count("groups-once") == 2
+    growing = written[written.index("set-classes") + 1 : written.index("standing")]
+    assert len(growing) <= 2 + 3 * levels
+    again = written[len(written) - written[::-1].index("groups-once") :]
+    assert "alike-labels" not in again and "hubs" not in again
+
+
+def test_nodes_over_several_batches():
+    import pyarrow as pa
+
+    path = [1, 2, 2, 2, 3, 4, 4, 5]
+    table = pa.table({"path": pa.array(path, pa.int64()), "key": pa.array(range(8), pa.int64())})
+    for rows in range(1, 9):
+        found = [b.column("key").to_pylist() for b in cp._nodes(iter(table.to_batches(rows)))]
+        assert found == [[1, 2, 3], [5, 6]], rows
+    assert list(cp._nodes(iter([]))) == []
